@@ -1,0 +1,222 @@
+"""k-means on the normalised features with Spark ML.
+
+* ``fit_kmeans``     fixed k (optionally standardised inside the pipeline)
+* ``auto_k``         grow k and stop when the relative drop of the within-SSE
+                     falls below ``min(0.02 + 10/n + 2.5/p², 0.8)``
+* ``scree_curve``    k = 1..16, 5-fold cross-validated held-out SSE
+* ``assign_nearest`` / ``within_sse`` / ``cluster_means`` for given centroids
+
+The fits are distributed (``KMeans`` runs over all executors); the driver
+only loops over k / folds / segments and sees at most k × p centroid numbers.
+Inputs are cut from their lineage with a reliable ``checkpoint`` into the
+shared ``spark.checkpoint.dir`` and laid out by key range, so every fit reads
+the same rows in the same order (Spark's k-means|| init depends on both).
+Cluster ids are renumbered deterministically: 1 = highest
+``F + M + T + S - R`` centroid score.
+"""
+
+from __future__ import annotations
+
+import math
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from custseg.session import ensure_checkpoint_dir
+
+KEY = "Customer_Key"
+SEED = 42
+DEFAULT_MAX_ITER = 10       # fixed value: default iteration cap of the reference's k-means
+SCREE_MAX_ITER = 25
+SCREE_K = 16
+SCREE_FOLDS = 5
+AUTO_K_MAX = 10
+
+
+def prepare(df: DataFrame, partitions: int | None = None, key: str = KEY) -> DataFrame:
+    """Checkpoint the feature rows, range-partitioned and sorted by key."""
+    ensure_checkpoint_dir(df.sparkSession)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = df.repartitionByRange(n, key).sortWithinPartitions(key)
+    return laid.checkpoint(eager=True)
+
+
+def _score_sign(cols: list[str]) -> list[float]:
+    return [-1.0 if c.lower().startswith("recency") else 1.0 for c in cols]
+
+
+@dataclass
+class Clustering:
+    model: PipelineModel
+    cols: list[str]
+    relabel: list[int]          # relabel[spark_prediction] = 1-based cluster id
+    cost: float
+
+    @property
+    def k(self) -> int:
+        return len(self.relabel)
+
+    def centers(self) -> list[list[float]]:
+        """Centroids in input units (standardisation undone), ordered by id."""
+        km = self.model.stages[-1]
+        centers = [list(map(float, c)) for c in km.clusterCenters()]
+        if len(self.model.stages) == 3:           # assembler, scaler, kmeans
+            sc = self.model.stages[1]
+            mean, std = sc.mean.toArray(), sc.std.toArray()
+            centers = [[v * (s if s else 1.0) + m for v, m, s in zip(c, mean, std)] for c in centers]
+        out = [None] * len(centers)
+        for i, c in enumerate(centers):
+            out[self.relabel[i] - 1] = c
+        return out
+
+    def cluster_column(self, prediction: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in self.relabel]),
+                            (prediction + 1).cast("int")).cast("int")
+
+    def predict(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        """``keep`` columns + ``Cluster`` (1-based, relabelled)."""
+        keep = keep if keep is not None else df.columns
+        out = self.model.transform(df)
+        return out.select(*keep, self.cluster_column(F.col("prediction")).alias("Cluster"))
+
+
+def _pipeline(cols, k, seed, max_iter, standardize) -> Pipeline:
+    stages = [VectorAssembler(inputCols=cols, outputCol="_raw", handleInvalid="skip")]
+    if standardize:
+        stages.append(StandardScaler(inputCol="_raw", outputCol="_features",
+                                     withMean=True, withStd=True))
+        feat = "_features"
+    else:
+        feat = "_raw"
+    stages.append(KMeans(featuresCol=feat, k=k, seed=seed, maxIter=max_iter,
+                         predictionCol="prediction"))
+    return Pipeline(stages=stages)
+
+
+def _relabel(centers: list[list[float]], cols: list[str]) -> list[int]:
+    sign = _score_sign(cols)
+    scores = [sum(s * v for s, v in zip(sign, c)) for c in centers]
+    order = sorted(range(len(centers)), key=lambda i: (-scores[i], i))
+    relabel = [0] * len(centers)
+    for rank, i in enumerate(order):
+        relabel[i] = rank + 1
+    return relabel
+
+
+def fit_kmeans(df: DataFrame, cols: list[str], k: int, seed: int = SEED,
+               max_iter: int = DEFAULT_MAX_ITER, standardize: bool = False) -> Clustering:
+    model = _pipeline(cols, k, seed, max_iter, standardize).fit(df)
+    km = model.stages[-1]
+    centers = [list(map(float, c)) for c in km.clusterCenters()]
+    return Clustering(model, cols, _relabel(centers, cols), float(km.summary.trainingCost))
+
+
+def total_ss(df: DataFrame, cols: list[str]) -> float:
+    """Within-SSE of one cluster (the k = 1 model): Σ over columns of
+    n · var_pop; exact, one aggregate."""
+    row = df.agg(*[(F.var_pop(c) * F.count(c)).alias(c) for c in cols]).collect()[0]
+    return float(sum(row[c] or 0.0 for c in cols))
+
+
+def auto_k(df: DataFrame, cols: list[str], k_max: int = AUTO_K_MAX, seed: int = SEED,
+           max_iter: int = DEFAULT_MAX_ITER) -> tuple[Clustering | None, list[tuple[int, float]]]:
+    """Grow k from 1; keep k while the relative SSE drop stays at or above
+    ``min(0.02 + 10/n + 2.5/p², 0.8)``.  Returns the chosen model (None when
+    k = 1) and the (k, SSE) curve that was evaluated."""
+    n = df.count()
+    p = len(cols)
+    cutoff = min(0.02 + 10.0 / max(n, 1) + 2.5 / (p * p), 0.8)
+    prev = total_ss(df, cols)
+    curve = [(1, prev)]
+    best = None
+    for k in range(2, min(k_max, n) + 1):
+        m = fit_kmeans(df, cols, k, seed, max_iter)
+        curve.append((k, m.cost))
+        drop = (prev - m.cost) / prev if prev > 0 else 0.0
+        if drop < cutoff:
+            break
+        best, prev = m, m.cost
+    return best, curve
+
+
+def _held_out_sse(model: Clustering | None, train: DataFrame, test: DataFrame,
+                  cols: list[str]) -> float:
+    if model is None:   # k = 1: distance to the training mean
+        mrow = train.agg(*[F.avg(c).alias(c) for c in cols]).collect()[0]
+        centers = [[float(mrow[c]) for c in cols]]
+        relabel = [1]
+        pred = test.select(*cols, F.lit(1).alias("Cluster"))
+    else:
+        centers = model.centers()
+        pred = model.predict(test, cols)
+    return float(pred.select(sq_dist_to(cols, centers, F.col("Cluster")).alias("d"))
+                 .agg(F.sum("d")).collect()[0][0] or 0.0)
+
+
+def sq_dist_to(cols: list[str], centers: list[list[float]], cluster: Column) -> Column:
+    """Squared distance of the row to centre ``cluster`` (1-based)."""
+    arrs = [F.array(*[F.lit(float(c[j])) for c in centers]) for j in range(len(cols))]
+    d = None
+    for j, col in enumerate(cols):
+        diff = F.col(col) - F.element_at(arrs[j], cluster)
+        d = diff * diff if d is None else d + diff * diff
+    return d
+
+
+def scree_curve(df: DataFrame, cols: list[str], k_max: int = SCREE_K, folds: int = SCREE_FOLDS,
+                max_iter: int = SCREE_MAX_ITER, seed: int = SEED, parallelism: int = 4,
+                key: str = KEY) -> list[tuple[int, float]]:
+    """Cross-validated within-SSE for k = 1..k_max: fold = pmod(xxhash64(key),
+    folds); each fold's model is fitted on the other folds and scored on it;
+    the held-out SSEs are summed.  Fits run ``parallelism`` at a time (like
+    ``CrossValidator(parallelism=…)``)."""
+    fold = F.pmod(F.xxhash64(F.col(key)), F.lit(folds))
+    tagged = df.withColumn("_fold", fold)
+    jobs = [(k, f) for k in range(1, k_max + 1) for f in range(folds)]
+
+    def run(job):
+        k, f = job
+        train = tagged.filter(F.col("_fold") != f)
+        test = tagged.filter(F.col("_fold") == f)
+        n_train = train.count()
+        if k == 1 or n_train < k:
+            m = None if k == 1 else fit_kmeans(train, cols, max(1, min(k, n_train)), seed, max_iter)
+        else:
+            m = fit_kmeans(train, cols, k, seed, max_iter)
+        return k, _held_out_sse(m, train, test, cols)
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        results = list(pool.map(run, jobs))
+    sse = {}
+    for k, v in results:
+        sse[k] = sse.get(k, 0.0) + v
+    return sorted(sse.items())
+
+
+def nearest_cluster(cols: list[str], centers: list[list[float]]) -> Column:
+    """1-based id of the nearest centre (ties -> lowest id); a pure column
+    expression, no join of points with centres."""
+    cands = []
+    for i, c in enumerate(centers):
+        d = None
+        for col, v in zip(cols, c):
+            diff = F.col(col) - F.lit(float(v))
+            d = diff * diff if d is None else d + diff * diff
+        cands.append(F.struct(d.alias("d"), F.lit(i + 1).alias("id")))
+    return F.array_min(F.array(*cands))["id"]
+
+
+def centers_by_group(df: DataFrame, cols: list[str], group_col: str, order_col: str) -> list:
+    """Mean of ``cols`` per group, ordered by ``order_col`` (k rows to the driver)."""
+    rows = df.groupBy(group_col, order_col).agg(*[F.avg(c).alias(c) for c in cols]) \
+        .orderBy(order_col).collect()
+    return [[float(r[c]) for c in cols] for r in rows], [r[order_col] for r in rows]
+
+
+def math_isfinite(v) -> bool:
+    return v is not None and math.isfinite(v)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def _ref_column(agg: DataFrame, reference: str | _dt.date, na_policy: str) -> Co
         return F.lit(reference)
     if reference != "frame":
         raise ValueError("reference must be 'frame' or a date")
-    # max over per-customer maxima == max over the lines; NULL propagates
+    # max over the per-customer maxima == max over the lines (NULL propagates)
     return agg.select(na_max("last_date", na_policy)).scalar()
 
 
@@ -67,6 +68,12 @@ def rfmt_features(lines: DataFrame, reference: str | _dt.date = "frame",
     """
     metrics = metrics or RFMT
     agg = customer_aggregates(lines, na_policy)
+    if not isinstance(reference, _dt.date):
+        # the reference date is read from the per-customer rows and the rows are
+        # used again for the features: keep them (customer grain, far smaller
+        # than the order lines) so the order fact is scanned once.  Lost blocks
+        # are recomputed from lineage.
+        agg = agg.persist(StorageLevel.MEMORY_AND_DISK)
     ref = _ref_column(agg, reference, na_policy)
     cols = {
         "RecencyDays": F.datediff(ref, F.col("last_date")).cast("int"),

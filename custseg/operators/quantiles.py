@@ -48,14 +48,12 @@ def exact_ntile(df: DataFrame, key: str, specs: list[TileSpec], buckets: int = 4
                 partitions: int | None = None) -> DataFrame:
     """``key`` plus one bucket column per spec, for every key with at least one
     non-NULL value (see ``with_ntiles`` to keep all rows of ``df``)."""
-    parts = []
-    for s in specs:
-        v = F.col(s.value).cast("double")
-        parts.append(df.select(F.col(key).alias("_k"), F.lit(s.out).alias("_m"),
-                               (v if s.ascending else -v).alias("_v")))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+    # one Expand over the input (a union of per-metric selects would prune
+    # columns differently per branch and recompute the input once per metric)
+    signed = df.select(F.col(key).alias("_k"), *[
+        (F.col(s.value).cast("double") * (1.0 if s.ascending else -1.0)).alias(s.out)
+        for s in specs])
+    long = signed.unpivot("_k", [s.out for s in specs], "_m", "_v")
     long = long.filter(F.col("_v").isNotNull())
     ranged = (long.repartitionByRange(partitions, "_m", "_v", "_k") if partitions
               else long.repartitionByRange("_m", "_v", "_k"))
