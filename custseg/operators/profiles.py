@@ -16,6 +16,7 @@ KEY = "Customer_Key"
 METRIC_ORDER = {"RecencyDays": 1, "Frequency": 2, "Monetary": 3, "Tenure": 4, "Streaming": 5,
                 "Recency": 1}
 ROUND = 6
+EDGE_EPS = 1e-9
 
 
 def r6(c):
@@ -155,8 +156,11 @@ def histogram_density(long: DataFrame, group_col: str, name_col: str = "name",
     rng = long.groupBy(name_col).agg(F.min(value_col).alias("_lo"), F.max(value_col).alias("_hi"))
     w = (F.col("_hi") - F.col("_lo")) / bins
     j = long.join(F.broadcast(rng), name_col)  # one row per name: bounded
+    # a value on a bin edge belongs to the upper bin; 1e-9 absorbs last-bit
+    # rounding so that every engine puts it in the same bin
     b = F.when(w == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col(value_col) - F.col("_lo")) / w), F.lit(bins - 1))).cast("int")
+        F.least(F.floor((F.col(value_col) - F.col("_lo")) / w + F.lit(EDGE_EPS)),
+                F.lit(bins - 1))).cast("int")
     counts = j.groupBy(name_col, group_col, "_lo", "_hi").agg(
         F.count(F.lit(1)).alias("_n")).select(name_col, group_col, "_n")
     hist = j.groupBy(name_col, group_col, b.alias("bin"), "_lo", "_hi").agg(

@@ -135,6 +135,349 @@ TIERS_3Y = with_(FIXTURES, orders_cte("o3", 3), lines_cte("l3", "o3"),
 
 
 def oracle_sql() -> dict[str, str]:
+    return all_oracles()
+
+
+# =====================================================================
+# Everything below extends the first slice to every O key of SURVEY §2.
+# =====================================================================
+BTC = "btc AS (SELECT DISTINCT Customer_Key FROM cltv_input WHERE Segment = 'BTC')"
+SEGS = "segs AS (SELECT DISTINCT Customer_Key, Segment FROM cltv_input)"
+
+BASE = [FIXTURES, orders_cte("o3", 3), orders_cte("o1", 1), lines_cte("l3", "o3"),
+        lines_cte("l1", "o1"), features_cte("f3", "l3"), quartiles_cte("q3", "f3"),
+        tiers_cte("t3", "q3"), STREAMING, BTC, SEGS]
+
+RFMT_COLS = ["RecencyDays", "Frequency", "Monetary", "Tenure"]
+RFMTS_COLS = RFMT_COLS + ["Streaming"]
+
+COHORT = [
+    "lc AS (SELECT * FROM l1 WHERE Customer_Key IN (SELECT Customer_Key FROM btc))",
+    features_cte("fc", "lc"),
+    """rfmts_c AS (
+  SELECT fc.*, s.n AS Streaming FROM fc
+  JOIN (SELECT * FROM streaming WHERE Customer_Key IN (SELECT Customer_Key FROM btc)) s
+    ON s.Customer_Key = fc.Customer_Key)""",
+]
+ALL_REF = [
+    features_cte("f1", "l1"),
+    """rfmts_a AS (
+  SELECT f1.*, s.n AS Streaming FROM f1
+  JOIN btc b ON b.Customer_Key = f1.Customer_Key
+  JOIN streaming s ON s.Customer_Key = f1.Customer_Key)""",
+    """rfmts_seg AS (
+  SELECT f1.*, s.n AS Streaming, g.Segment FROM f1
+  JOIN streaming s ON s.Customer_Key = f1.Customer_Key
+  JOIN segs g ON g.Customer_Key = f1.Customer_Key
+  WHERE g.Segment IS NOT NULL)""",
+]
+
+
+def W(*extra: str) -> str:
+    return with_(*BASE, *COHORT, *ALL_REF, *extra)
+
+
+def r6(x: str) -> str:
+    return f"round({x}, 6)"
+
+
+# ------------------------------------------------------------ Yeo-Johnson
+def yj(x: str, lam: str) -> str:
+    return (f"(CASE WHEN {lam} IS NULL THEN {x} "
+            f"WHEN {x} >= 0 THEN (CASE WHEN abs({lam}) < 0.001 THEN ln(1 + {x}) "
+            f"ELSE (pow({x} + 1, {lam}) - 1) / {lam} END) "
+            f"ELSE (CASE WHEN abs({lam} - 2) < 0.001 THEN -ln(1 - {x}) "
+            f"ELSE -(pow(1 - {x}, 2 - {lam}) - 1) / (2 - {lam}) END) END)")
+
+
+LAM = "(CAST(c AS DOUBLE) / CAST(1000 AS DOUBLE))"
+
+
+def long_cte(name: str, src: str, cols: list[str], ids: list[str]) -> str:
+    idl = ", ".join(ids)
+    parts = [f"SELECT {idl}, '{c}' AS metric, CAST({c} AS DOUBLE) AS x FROM {src} WHERE {c} IS NOT NULL"
+             for c in cols]
+    return f"{name} AS (\n  " + "\n  UNION ALL ".join(parts) + ")"
+
+
+def lambda_ctes(p: str, long: str, keys: list[str]) -> list[str]:
+    k = ", ".join(keys)
+    on = " AND ".join(f"l.{c} = b.{c}" for c in keys)
+    lk = ", ".join(f"l.{c}" for c in keys)
+    ctes = [f"""{p}_st AS (
+  SELECT {k}, count(*) AS n, count(DISTINCT x) AS nd, sum(sign(x) * ln(1 + abs(x))) AS const
+  FROM {long} GROUP BY {k})""",
+            f"""{p}_e0 AS (
+  SELECT {k}, c, var_pop(y) AS v, avg(y) AS mu FROM (
+    SELECT {lk}, g.c, {yj('l.x', '(CAST(g.c AS DOUBLE) / CAST(1000 AS DOUBLE))')} AS y
+    FROM {long} l, (SELECT range AS c FROM range(-5000, 5001, 100)) g) t
+  GROUP BY {k}, c)"""]
+
+    def best(level: int) -> str:
+        ek = ", ".join(f"e.{c}" for c in keys)
+        son = " AND ".join(f"e.{c} = s.{c}" for c in keys)
+        return f"""{p}_b{level} AS (
+  SELECT {k}, c, ll FROM (
+    SELECT {ek}, e.c, -0.5 * s.n * ln(e.v) + ({LAM.replace('c', 'e.c')} - 1) * s.const AS ll,
+           row_number() OVER (PARTITION BY {ek} ORDER BY -0.5 * s.n * ln(e.v) + ({LAM.replace('c', 'e.c')} - 1) * s.const DESC, e.c ASC) AS rn
+    FROM {p}_e{level} e JOIN {p}_st s ON {son}
+    WHERE e.v > 1e-12 * e.mu * e.mu AND e.v > 0) t WHERE rn = 1)"""
+
+    ctes.append(best(0))
+    for level, step in ((1, 10), (2, 1)):
+        ctes.append(f"""{p}_e{level} AS (
+  SELECT {k}, c, var_pop(y) AS v, avg(y) AS mu FROM (
+    SELECT {lk}, b.c + r.d * {step} AS c,
+           {yj('l.x', f'(CAST(b.c + r.d * {step} AS DOUBLE) / CAST(1000 AS DOUBLE))')} AS y
+    FROM {long} l JOIN {p}_b{level - 1} b ON {on}, range(-10, 11) r(d)
+    WHERE b.c + r.d * {step} BETWEEN -5000 AND 5000) t
+  GROUP BY {k}, c)""")
+        ctes.append(best(level))
+    sb = " AND ".join(f"s.{c} = b.{c}" for c in keys)
+    sk = ", ".join(f"s.{c}" for c in keys)
+    ctes.append(f"""{p}_lam AS (
+  SELECT {sk}, CASE WHEN s.nd < 5 OR b.c IS NULL
+                      OR abs({LAM.replace('c', 'b.c')} + 5) <= 0.001
+                      OR abs({LAM.replace('c', 'b.c')} - 5) <= 0.001
+                    THEN NULL ELSE {LAM.replace('c', 'b.c')} END AS lambda,
+         b.ll AS loglik, s.n, s.nd AS n_distinct
+  FROM {p}_st s LEFT JOIN {p}_b2 b ON {sb})""")
+    return ctes
+
+
+def normalise_ctes(p: str, long: str, keys: list[str], ids: list[str], cols: list[str],
+                   power: bool = True) -> list[str]:
+    """Fit λ (optional), mean, SD on ``long``; result ``{p}_z`` wide by ids."""
+    ctes = lambda_ctes(p, long, keys) if power else [
+        f"{p}_lam AS (SELECT DISTINCT {', '.join(keys)}, CAST(NULL AS DOUBLE) AS lambda FROM {long})"]
+    on = " AND ".join(f"l.{c} = m.{c}" for c in keys)
+    lk = ", ".join(f"l.{c}" for c in keys)
+    k = ", ".join(keys)
+    idl = ", ".join(f"l.{c}" for c in ids if c not in keys)
+    idsel = (idl + ", ") if idl else ""
+    ctes.append(f"""{p}_y AS (
+  SELECT {idsel}{lk}, {yj('l.x', 'm.lambda')} AS y
+  FROM {long} l JOIN {p}_lam m ON {on})""")
+    ctes.append(f"""{p}_ms AS (SELECT {k}, avg(y) AS mean, stddev_samp(y) AS sd FROM {p}_y GROUP BY {k})""")
+    ctes.append(f"""{p}_zl AS (
+  SELECT y.*, CASE WHEN m.sd IS NULL OR m.sd = 0 THEN 0.0 ELSE (y.y - m.mean) / m.sd END AS z
+  FROM {p}_y y JOIN {p}_ms m ON {' AND '.join(f'y.{c} = m.{c}' for c in keys)})""")
+    gk = [c for c in ids]
+    ctes.append(f"""{p}_z AS (
+  SELECT {', '.join(gk)}, {', '.join(f"max(CASE WHEN metric = '{c}' THEN z END) AS {c}" for c in cols)}
+  FROM {p}_zl GROUP BY {', '.join(gk)})""")
+    return ctes
+
+
+NORM_TIERS = [long_cte("lt", "t3", RFMT_COLS, ["Customer_Key", "Customer_Segment", "Segment_Order"]),
+              *normalise_ctes("nt", "lt", ["metric"], ["Customer_Key", "Customer_Segment", "Segment_Order"],
+                              RFMT_COLS)]
+NORM_RFMTS = [long_cte("lr", "rfmts_c", RFMTS_COLS, ["Customer_Key"]),
+              *normalise_ctes("nr", "lr", ["metric"], ["Customer_Key"], RFMTS_COLS)]
+STD_RFMTS = [long_cte("ls", "rfmts_c", RFMTS_COLS, ["Customer_Key"]),
+             *normalise_ctes("ns", "ls", ["metric"], ["Customer_Key"], RFMTS_COLS, power=False)]
+NORM_SEG = [long_cte("lg", "rfmts_seg", RFMTS_COLS, ["Customer_Key", "Segment"]),
+            *normalise_ctes("ng", "lg", ["Segment", "metric"], ["Customer_Key", "Segment"], RFMTS_COLS)]
+
+
+def rounded(src: str, ids: list[str], cols: list[str]) -> str:
+    return f"SELECT {', '.join(ids)}, {', '.join(f'{r6(c)} AS {c}' for c in cols)} FROM {src}"
+
+
+def hist_sql(src: str, group: str, bins: int = 30) -> str:
+    w = f"((r.hi - r.lo) / {bins})"
+    return f"""
+hrng AS (SELECT name, min(value) AS lo, max(value) AS hi FROM {src} GROUP BY name),
+hcnt AS (SELECT name, {group}, count(*) AS nn FROM {src} GROUP BY name, {group}),
+hb AS (
+  SELECT v.name, v.{group}, r.lo, r.hi,
+         CAST(CASE WHEN {w} = 0 THEN 0 ELSE least(floor((v.value - r.lo) / {w} + 1e-9), {bins - 1}) END AS INTEGER) AS bin
+  FROM {src} v JOIN hrng r ON r.name = v.name)
+SELECT hb.name, hb.{group}, hb.bin,
+       round(hb.lo + hb.bin * ((hb.hi - hb.lo) / {bins}), 6) AS bin_lo,
+       round(hb.lo + (hb.bin + 1) * ((hb.hi - hb.lo) / {bins}), 6) AS bin_hi,
+       count(*) AS n,
+       round(CASE WHEN (hb.hi - hb.lo) / {bins} > 0 THEN count(*) / (c.nn * ((hb.hi - hb.lo) / {bins})) END, 6) AS density
+FROM hb JOIN hcnt c ON c.name = hb.name AND c.{group} IS NOT DISTINCT FROM hb.{group}
+GROUP BY hb.name, hb.{group}, hb.bin, hb.lo, hb.hi, c.nn"""
+
+
+LOG_LONG = """lf AS (
+  SELECT Customer_Key, Customer_Segment, name, round(value, 6) AS value FROM (
+    SELECT Customer_Key, Customer_Segment, 'RecencyDays' AS name, CASE WHEN RecencyDays > 0 THEN ln(RecencyDays) END AS value FROM t3 WHERE Monetary >= 0
+    UNION ALL SELECT Customer_Key, Customer_Segment, 'logFrequency', CASE WHEN Frequency > 0 THEN ln(Frequency) END FROM t3 WHERE Monetary >= 0
+    UNION ALL SELECT Customer_Key, Customer_Segment, 'logMonetary', ln(1 + Monetary) FROM t3 WHERE Monetary >= 0
+    UNION ALL SELECT Customer_Key, Customer_Segment, 'Tenure', CAST(Tenure AS DOUBLE) FROM t3 WHERE Monetary >= 0) u
+  WHERE value IS NOT NULL)"""
+
+MORDER = ("CAST(CASE metric WHEN 'RecencyDays' THEN 1 WHEN 'Recency' THEN 1 WHEN 'Frequency' THEN 2 "
+          "WHEN 'Monetary' THEN 3 WHEN 'Tenure' THEN 4 WHEN 'Streaming' THEN 5 END AS INTEGER)")
+
+
+def profile_sql(src: str, group: str, cols: list[str]) -> str:
+    parts = " UNION ALL ".join(f"SELECT {group}, '{c}' AS metric, CAST({c} AS DOUBLE) AS value FROM {src}"
+                               for c in cols)
+    return f"""SELECT {group}, metric, {MORDER} AS metric_order, round(avg(value), 6) AS value
+FROM ({parts}) u GROUP BY {group}, metric"""
+
+
+CENTRES = """cen AS (
+  SELECT Segment_Order AS id, avg(RecencyDays) AS cr, avg(Frequency) AS cf, avg(Monetary) AS cm, avg(Tenure) AS ct
+  FROM nt_z GROUP BY Segment_Order),
+asg AS (
+  SELECT Customer_Key, RecencyDays, Frequency, Monetary, Tenure, id AS Cluster, d FROM (
+    SELECT z.*, c.id,
+           (z.RecencyDays - c.cr) * (z.RecencyDays - c.cr) + (z.Frequency - c.cf) * (z.Frequency - c.cf)
+           + (z.Monetary - c.cm) * (z.Monetary - c.cm) + (z.Tenure - c.ct) * (z.Tenure - c.ct) AS d,
+           row_number() OVER (PARTITION BY z.Customer_Key ORDER BY
+             (z.RecencyDays - c.cr) * (z.RecencyDays - c.cr) + (z.Frequency - c.cf) * (z.Frequency - c.cf)
+             + (z.Monetary - c.cm) * (z.Monetary - c.cm) + (z.Tenure - c.ct) * (z.Tenure - c.ct), c.id) AS rn
+    FROM nt_z z, cen c) t WHERE rn = 1)"""
+
+
+def box_sql() -> str:
+    parts = " UNION ALL ".join(f"SELECT Cluster, '{c}' AS metric, {c} AS value FROM asg" for c in RFMT_COLS)
+    return f"""
+bl AS (SELECT * FROM ({parts}) u WHERE value BETWEEN -5.0 AND 5.0),
+bq AS (SELECT Cluster, metric, count(*) AS n, quantile_cont(value, 0.25) AS q1,
+              quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3
+       FROM bl GROUP BY Cluster, metric)
+SELECT q.Cluster, q.metric, q.n, round(q.q1, 6) AS q1, round(q.median, 6) AS median, round(q.q3, 6) AS q3,
+       round(min(CASE WHEN b.value >= q.q1 - 1.5 * (q.q3 - q.q1) THEN b.value END), 6) AS lower,
+       round(max(CASE WHEN b.value <= q.q3 + 1.5 * (q.q3 - q.q1) THEN b.value END), 6) AS upper
+FROM bl b JOIN bq q ON q.Cluster = b.Cluster AND q.metric = b.metric
+GROUP BY q.Cluster, q.metric, q.n, q.q1, q.median, q.q3"""
+
+
+def _quartile_sql(metric: str, out: str, desc: bool = False) -> str:
+    order = f"{metric} DESC, Customer_Key" if desc else f"{metric}, Customer_Key"
+    return W() + f"\nSELECT Customer_Key, {metric}, CAST(NTILE(4) OVER (ORDER BY {order}) AS INTEGER) AS {out} FROM f3"
+
+
+def _rfmts_scores_sql() -> str:
+    q = quartiles_cte("qs", "rfmts_c", RFMTS_COLS)
+    return W(q) + """
+SELECT *, CASE WHEN Score > 14 THEN 'Gold' WHEN Score > 9 THEN 'Silver' WHEN Score > 0 THEN 'Bronze' END AS Customer_Segment,
+       CAST(CASE WHEN Score > 14 THEN 1 WHEN Score > 9 THEN 2 WHEN Score > 0 THEN 3 END AS INTEGER) AS Segment_Order
+FROM (SELECT *, CAST(R_Quantile AS VARCHAR) || CAST(F_Quantile AS VARCHAR) || CAST(M_Quantile AS VARCHAR)
+                 || CAST(T_Quantile AS VARCHAR) || CAST(S_Quantile AS VARCHAR) AS RFM_Segment,
+             CAST(R_Quantile + F_Quantile + M_Quantile + T_Quantile + S_Quantile AS INTEGER) AS Score
+      FROM qs) s"""
+
+
+def _relative_importance_sql() -> str:
+    g = """g AS (SELECT Customer_Segment, Segment_Order, avg(RecencyDays) AS r, avg(Frequency) AS f,
+                 avg(Monetary) AS m, avg(Tenure) AS t FROM t3 GROUP BY Customer_Segment, Segment_Order),
+p AS (SELECT avg(RecencyDays) AS r, avg(Frequency) AS f, avg(Monetary) AS m, avg(Tenure) AS t FROM t3)"""
+    parts = []
+    for name, col, pos in (("Recency", "r", 1), ("Frequency", "f", 2), ("Monetary", "m", 3), ("Tenure", "t", 4)):
+        v = f"(g.{col} / p.{col} - 1)"
+        parts.append(f"SELECT g.Customer_Segment, g.Segment_Order, '{name}' AS metric, {pos} AS metric_order, "
+                     f"round({v}, 6) AS value, round({v}, 2) AS label FROM g, p")
+    return W(g) + "\n" + "\nUNION ALL ".join(parts)
+
+
+def _feature_ranges_sql() -> str:
+    parts = [f"SELECT '{c}' AS \"column\", CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value FROM rfmts_c"
+             for c in ["Customer_Key", *RFMTS_COLS]]
+    return W() + "\n" + "\nUNION ALL ".join(parts)
+
+
+def _legacy_sql() -> str:
+    ctes = """lb AS (SELECT Customer_Key, Customer_Segment, ln(1 + RecencyDays) AS r, ln(1 + Frequency) AS f,
+                  ln(1 + CASE WHEN Monetary >= 0 THEN Monetary END) AS m, ln(1 + Tenure) AS t FROM t3),
+lm AS (SELECT avg(r) AS r, avg(f) AS f, avg(m) AS m, avg(t) AS t FROM lb),
+lr AS (SELECT lb.Customer_Key, lb.Customer_Segment, round_even(lb.r - lm.r, 1) AS r, round_even(lb.f - lm.f, 1) AS f,
+              round_even(lb.m - lm.m, 1) AS m, round_even(lb.t - lm.t, 1) AS t FROM lb, lm),
+ls AS (SELECT avg(r) AS ar, stddev_samp(r) AS sr, avg(f) AS af, stddev_samp(f) AS sf,
+              avg(m) AS am, stddev_samp(m) AS sm, avg(t) AS a_t, stddev_samp(t) AS st FROM lr)"""
+    return W(ctes) + """
+SELECT Customer_Key, Customer_Segment, round((r - ar) / sr, 6) AS RecencyDays, round((f - af) / sf, 6) AS Frequency,
+       round((m - am) / sm, 6) AS Monetary, round((t - a_t) / st, 6) AS Tenure FROM lr, ls"""
+
+
+def _cohort_features_sql() -> str:
+    ctes = [orders_cte("oa", 1, active=False), NON_PREMIUM, lines_cte("la", "oa"), lines_cte("ln", "orders_np"),
+            features_cte("fa", "la"), features_cte("fn", "ln")]
+    body = []
+    for name, f in (("premium", "fa"), ("non_premium", "fn")):
+        body.append(f"SELECT '{name}' AS cohort, f.Customer_Key, f.RecencyDays, f.Frequency, f.Monetary, g.Segment "
+                    f"FROM {f} f JOIN segs g ON g.Customer_Key = f.Customer_Key WHERE g.Segment = 'BTC'")
+    return W(*ctes) + "\n" + "\nUNION ALL ".join(body)
+
+
+def all_oracles() -> dict[str, str]:
+    n_t = W(*NORM_TIERS)
     return {
-        "customer_tiers": TIERS_3Y + "\nSELECT * FROM t3",
+        "source_orders": W() + "\nSELECT * FROM order_fact",
+        "orders_active_premium_3y": W() + "\nSELECT * FROM o3",
+        "orders_active_premium_1y": W() + "\nSELECT * FROM o1",
+        "orders_premium_any": W(orders_cte("oa", 1, active=False)) + "\nSELECT * FROM oa",
+        "orders_non_premium": W(NON_PREMIUM) + "\nSELECT * FROM orders_np",
+        "streaming_counts": W() + "\nSELECT * FROM streaming",
+        "segment_lookup": W() + "\nSELECT * FROM segs",
+        "segment_lookup_one": W() + "\nSELECT DISTINCT Customer_Key, Segment FROM cltv_input WHERE Segment = 'BTC'",
+        "cluster_label_counts": W() + "\nSELECT RFM_cluster, count(*) AS n FROM churn_data GROUP BY RFM_cluster",
+        "snapshot_roundtrip": n_t + "\n" + rounded("nt_z", ["Customer_Key", "Customer_Segment", "Segment_Order"], RFMT_COLS),
+        "order_lines": W() + "\nSELECT * FROM l1",
+        "reference_date": W() + "\nSELECT CASE WHEN count(Date) < count(*) THEN NULL ELSE max(Date) END AS last_date FROM l1",
+        "recency": W() + "\nSELECT Customer_Key, RecencyDays FROM f3",
+        "frequency": W() + "\nSELECT Customer_Key, Frequency FROM f3",
+        "monetary": W() + "\nSELECT Customer_Key, Monetary FROM f3",
+        "tenure": W() + "\nSELECT Customer_Key, Tenure FROM f3",
+        "rfmt_features": W() + "\nSELECT * FROM f3",
+        "rfmts_features": W() + "\nSELECT * FROM rfmts_c",
+        "rfmts_features_all": W() + "\nSELECT * FROM rfmts_a",
+        "rfmts_features_by_segment": W() + "\nSELECT * FROM rfmts_seg",
+        "cohort_semi_join": W() + "\nSELECT * FROM l1 WHERE Customer_Key IN (SELECT Customer_Key FROM btc)",
+        "cohort_features": _cohort_features_sql(),
+        "r_quartile": _quartile_sql("RecencyDays", "R_Quantile", desc=True),
+        "f_quartile": _quartile_sql("Frequency", "F_Quantile"),
+        "m_quartile": _quartile_sql("Monetary", "M_Quantile"),
+        "t_quartile": _quartile_sql("Tenure", "T_Quantile"),
+        "rfm_scores": W() + "\nSELECT Customer_Key, R_Quantile, F_Quantile, M_Quantile, T_Quantile, RFM_Segment, Score FROM t3",
+        "customer_tiers": W() + "\nSELECT * FROM t3",
+        "rfmts_scores": _rfmts_scores_sql(),
+        "monetary_quartile_stats": W() + "\nSELECT M_Quantile, round(avg(Monetary), 6) AS mean_value, min(Monetary) AS min_value FROM t3 GROUP BY M_Quantile",
+        "segment_code_sizes": W() + "\nSELECT RFM_Segment, count(*) AS n FROM t3 GROUP BY RFM_Segment",
+        "tier_summary": W() + """
+SELECT Customer_Segment, Segment_Order, round(avg(RecencyDays), 6) AS R_mean, round(avg(Frequency), 6) AS F_mean,
+       round(avg(Monetary), 6) AS M_mean, round(avg(Tenure), 6) AS T_mean
+FROM t3 GROUP BY Customer_Segment, Segment_Order""",
+        "tier_counts": W() + "\nSELECT Customer_Segment, Segment_Order, count(*) AS n FROM t3 GROUP BY Customer_Segment, Segment_Order",
+        "relative_importance": _relative_importance_sql(),
+        "feature_ranges": _feature_ranges_sql(),
+        "log_features_long": W(LOG_LONG) + "\nSELECT * FROM lf",
+        "density_by_tier": W(LOG_LONG) + ",\n" + hist_sql("lf", "Customer_Segment").lstrip(),
+        "legacy_normalise": _legacy_sql(),
+        "yeo_johnson_lambda": W(long_cte("lr", "rfmts_c", RFMTS_COLS, ["Customer_Key"]),
+                                *lambda_ctes("nr", "lr", ["metric"]))
+        + "\nSELECT metric, \"lambda\", round(loglik, 4) AS loglik, n, n_distinct FROM nr_lam",
+        "yeo_johnson_by_segment": W(long_cte("lg", "rfmts_seg", RFMTS_COLS, ["Customer_Key", "Segment"]),
+                                    *lambda_ctes("ng", "lg", ["Segment", "metric"]))
+        + "\nSELECT Segment, metric, \"lambda\", round(loglik, 4) AS loglik, n, n_distinct FROM ng_lam",
+        "yeo_johnson_apply": W(*NORM_RFMTS) + "\nSELECT Customer_Key, " + ", ".join(
+            f"round(max(CASE WHEN metric = '{c}' THEN y END), 6) AS {c}" for c in RFMTS_COLS)
+        + " FROM nr_y GROUP BY Customer_Key",
+        "standardise": W(*STD_RFMTS) + "\n" + rounded("ns_z", ["Customer_Key"], RFMTS_COLS),
+        "normalised_features": W(*NORM_RFMTS) + "\n" + rounded("nr_z", ["Customer_Key"], RFMTS_COLS),
+        "normalised_tiers": n_t + "\n" + rounded("nt_z", ["Customer_Key", "Customer_Segment", "Segment_Order"], RFMT_COLS),
+        "normalised_by_segment": W(*NORM_SEG) + "\n" + rounded("ng_z", ["Customer_Key", "Segment"], RFMTS_COLS),
+        "tier_profile": n_t + "\n" + profile_sql("nt_z", "Customer_Segment", RFMT_COLS),
+        "tier_profile_wide": n_t + ",\ntp AS (" + profile_sql("nt_z", "Customer_Segment", RFMT_COLS) + ")\n"
+        + "SELECT Customer_Segment, " + ", ".join(f"max(CASE WHEN metric = '{c}' THEN value END) AS {c}" for c in RFMT_COLS)
+        + " FROM tp GROUP BY Customer_Segment",
+        "clip_outliers": n_t + "\n" + rounded("nt_z", ["Customer_Key", "Customer_Segment", "Segment_Order"], RFMT_COLS)
+        + " WHERE Monetary BETWEEN -3 AND 3",
+        "density_normalised": n_t + """,
+dn AS (SELECT Customer_Key, Customer_Segment, name, value FROM (
+  SELECT Customer_Key, Customer_Segment, 'RecencyDays' AS name, RecencyDays AS value FROM nt_z WHERE Monetary BETWEEN -3 AND 3
+  UNION ALL SELECT Customer_Key, Customer_Segment, 'Frequency', Frequency FROM nt_z WHERE Monetary BETWEEN -3 AND 3
+  UNION ALL SELECT Customer_Key, Customer_Segment, 'Monetary', Monetary FROM nt_z WHERE Monetary BETWEEN -3 AND 3
+  UNION ALL SELECT Customer_Key, Customer_Segment, 'Tenure', Tenure FROM nt_z WHERE Monetary BETWEEN -3 AND 3) u
+  WHERE value IS NOT NULL),""" + hist_sql("dn", "Customer_Segment").lstrip(),
+        "assign_nearest_centroid": n_t + ",\n" + CENTRES + "\nSELECT Customer_Key, Cluster FROM asg",
+        "within_sse": n_t + ",\n" + CENTRES + "\nSELECT Cluster, count(*) AS n, round(sum(d), 6) AS sse FROM asg GROUP BY Cluster",
+        "cluster_means": n_t + ",\n" + CENTRES + "\n" + profile_sql("asg", "Cluster", RFMT_COLS),
+        "cluster_box_stats": n_t + ",\n" + CENTRES + "," + box_sql(),
     }

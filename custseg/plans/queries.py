@@ -120,7 +120,7 @@ def snapshot_roundtrip(spark, sf):
     tag = sf.rstrip("/").rsplit("/", 1)[-1]
     path = shared_path(spark, f"snapshots/normalised_{tag}_{_dt.date.today().isoformat()}.csv")
     write_snapshot(df, path)
-    return read_snapshot(spark, path, df.schema)
+    return _round_cols(read_snapshot(spark, path, df.schema), RFMT)
 
 
 # ------------------------------------------------------------------ features
