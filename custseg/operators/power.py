@@ -44,13 +44,12 @@ def to_long(df: DataFrame, cols: list[str], group_cols: list[str] | tuple = ())
             ["_one"], cols, "metric", "x").drop("_one").filter(F.col("x").isNotNull())
 
 
-def _loglik(long: DataFrame, keys: list[str], cand: Column, stats: DataFrame) -> DataFrame:
-    """Max-likelihood candidate per key from exploded integer candidates
-    ``cand`` (λ in thousandths)."""
+def _loglik(cands: DataFrame, keys: list[str], stats: DataFrame) -> DataFrame:
+    """Max-likelihood candidate per key; ``cands`` holds ``keys, x, _c`` (λ in
+    thousandths), one row per (value, candidate)."""
     lam = (F.col("_c") / F.lit(1000.0))
     y = yeo_johnson(F.col("x"), lam)
-    ev = (long.select(*keys, "x", F.explode(cand).alias("_c"))
-          .select(*keys, "_c", y.alias("_y"))          # transform once per row
+    ev = (cands.select(*keys, "_c", y.alias("_y"))          # transform once per row
           .groupBy(*keys, "_c")
           .agg(F.var_pop("_y").alias("_v"), F.avg("_y").alias("_mu")))
     ev = ev.join(F.broadcast(stats), keys)
@@ -66,6 +65,15 @@ def _loglik(long: DataFrame, keys: list[str], cand: Column, stats: DataFrame) ->
 def yeo_johnson_lambdas(df: DataFrame, cols: list[str], group_cols: list[str] | tuple = (),
                         limits=YJ_LIMITS, min_unique: int = YJ_MIN_UNIQUE) -> DataFrame:
     """``group…, metric, lambda, loglik, n, n_distinct`` (λ NULL = untransformed)."""
+    long = to_long(df, cols, group_cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _lambdas_long(long, list(group_cols), limits, min_unique)
+    finally:
+        long.unpersist()
+
+
+def _lambdas_long(long: DataFrame, group_cols: list[str], limits=YJ_LIMITS,
+                  min_unique: int = YJ_MIN_UNIQUE) -> DataFrame:
     keys = [*group_cols, "metric"]
     held = []
 
@@ -73,7 +81,6 @@ def yeo_johnson_lambdas(df: DataFrame, cols: list[str], group_cols: list[str] |
         held.append(frame.persist(StorageLevel.MEMORY_AND_DISK))
         return held[-1]
 
-    long = keep(to_long(df, cols, group_cols))
     try:
         stats = keep(long.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n"),
@@ -83,13 +90,16 @@ def yeo_johnson_lambdas(df: DataFrame, cols: list[str], group_cols: list[str] |
         small = stats.select(*keys, "n", "const")
         lo, hi = int(round(limits[0] * 1000)), int(round(limits[1] * 1000))
         grid = F.array(*[F.lit(v) for v in range(lo, hi + 1, _LEVELS[0])])
-        best = keep(_loglik(long, keys, grid, small))
+        best = keep(_loglik(long.select(*keys, "x", F.explode(grid).alias("_c")), keys, small))
         for step in _LEVELS[1:]:
+            # candidates around the current best: plain explode + predicate
+            # (kept inside whole-stage codegen, unlike higher-order functions)
             offs = F.array(*[F.lit(d * step) for d in range(-_HALF, _HALF + 1)])
-            cand = F.filter(F.transform(offs, lambda d: d + F.col("_c0")),
-                            lambda c: (c >= lo) & (c <= hi))
-            nxt = long.join(F.broadcast(best.select(*keys, F.col("_c").alias("_c0"))), keys)
-            best = keep(_loglik(nxt, keys, cand, small))
+            nxt = (long.join(F.broadcast(best.select(*keys, F.col("_c").alias("_c0"))), keys)
+                   .select(*keys, "x", "_c0", F.explode(offs).alias("_d"))
+                   .select(*keys, "x", (F.col("_c0") + F.col("_d")).alias("_c"))
+                   .filter(F.col("_c").between(lo, hi)))
+            best = keep(_loglik(nxt, keys, small))
         lam = F.col("_c") / F.lit(1000.0)
         at_limit = (F.abs(lam - F.lit(float(limits[0]))) <= YJ_EPS) | \
                    (F.abs(lam - F.lit(float(limits[1]))) <= YJ_EPS)
@@ -98,41 +108,47 @@ def yeo_johnson_lambdas(df: DataFrame, cols: list[str], group_cols: list[str] |
             F.when((F.col("n_distinct") < min_unique) | at_limit | F.col("_c").isNull(),
                    F.lit(None).cast("double")).otherwise(lam).alias("lambda"),
             F.col("ll").alias("loglik"), "n", "n_distinct")
-        return _materialise(out)
+        return _small_table(out)
     finally:
         for frame in held:
             frame.unpersist()
 
 
-def _materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (shared ``spark.checkpoint.dir``) of a small result."""
-    from custseg.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _small_table(df: DataFrame) -> DataFrame:
+    """Bring a fitted parameter table (bounded by #groups × #metrics rows, like
+    a model's coefficients) to the driver once and return it as a local
+    relation: later joins and broadcasts need no recomputation of the fit."""
+    rows = df.collect()
+    return df.sparkSession.createDataFrame(rows, df.schema)
 
 
 def _param_join(df: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
     """Join a (group…, metric)-keyed parameter table; broadcast only when its
     row count is under ``BROADCAST_PARAM_ROWS``."""
-    n = params.count()
+    n = params.count()     # a local relation: counted on the driver
     return df.join(F.broadcast(params) if n <= BROADCAST_PARAM_ROWS else params, keys)
 
 
 def fit_power_standardise(df: DataFrame, cols: list[str], group_cols: list[str] | tuple = (),
                           power: bool = True) -> DataFrame:
     """``group…, metric, lambda, mean, sd`` fitted on ``df`` itself: λ first,
-    then mean and sample SD of the transformed values (recipe order)."""
+    then mean and sample SD of the transformed values (recipe order).  The
+    long frame is built once and shared by both passes."""
+    group_cols = list(group_cols)
     keys = [*group_cols, "metric"]
-    if power:
-        lam = yeo_johnson_lambdas(df, cols, group_cols)
-    else:
-        lam = to_long(df, cols, group_cols).select(*keys).distinct() \
-            .withColumn("lambda", F.lit(None).cast("double"))
-    long = to_long(df, cols, group_cols)
-    y = yeo_johnson(F.col("x"), F.col("lambda"))
-    moments = _param_join(long, lam.select(*keys, "lambda"), keys).groupBy(*keys, "lambda").agg(
-        F.avg(y).alias("mean"), F.stddev_samp(y).alias("sd"))
-    return _materialise(moments.select(*keys, "lambda", "mean", "sd"))
+    long = to_long(df, cols, group_cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if power:
+            lam = _lambdas_long(long, group_cols).select(*keys, "lambda")
+        else:
+            lam = _small_table(long.select(*keys).distinct()
+                               .withColumn("lambda", F.lit(None).cast("double")))
+        y = yeo_johnson(F.col("x"), F.col("lambda"))
+        moments = _param_join(long, lam, keys).groupBy(*keys, "lambda").agg(
+            F.avg(y).alias("mean"), F.stddev_samp(y).alias("sd"))
+        return _small_table(moments.select(*keys, "lambda", "mean", "sd"))
+    finally:
+        long.unpersist()
 
 
 def apply_power_standardise(df: DataFrame, params: DataFrame, cols: list[str],
