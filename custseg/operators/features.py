@@ -130,3 +130,87 @@ def features_by_segment(features: DataFrame, segments: DataFrame) -> DataFrame:
     """Attach ``Segment`` to customer features (one row per customer x segment)."""
     return features.join(segments.select(KEY, "Segment").filter(F.col("Segment").isNotNull()),
                          KEY, "inner")
+
+
+def order_aggregates_premium(src, years: int, as_of, require_active: bool = True,
+                             customers: DataFrame | None = None,
+                             na_policy: str = "propagate") -> DataFrame:
+    """Per-customer aggregates of the premium order extract, aggregated
+    BEFORE the premium join.
+
+    Equivalent to ``customer_aggregates(order_lines(orders_extract(...)))``:
+    the inner join with the premium table multiplies every order of a key by
+    the key's multiplicity ``m`` in that table, so Frequency and Monetary are
+    scaled by ``m`` while first/last day are unchanged.  Aggregating first lets
+    the partial aggregation collapse the order lines map-side (one row per
+    customer and task, whatever the skew of a key), and the join then runs at
+    customer grain instead of order grain.  ``customers`` (key column only)
+    optionally restricts the cohort first (left semi join).
+    """
+    from custseg.sources import extracts
+    o = extracts.valid_orders(src, as_of, years).select(
+        F.col(KEY), parse_date_key("DateOrdered_Key").alias("Date"),
+        F.col("`5_DB2`").alias("DB2"))
+    if customers is not None:
+        o = o.join(customers, KEY, "left_semi")
+    agg = o.groupBy(KEY).agg(
+        na_max("Date", na_policy).alias("last_date"),
+        na_min("Date", na_policy).alias("first_date"),
+        F.count(F.lit(1)).alias("_n"),
+        na_sum("DB2", na_policy).alias("_m"))
+    prem = src.premium_active
+    if require_active:
+        prem = prem.filter(F.col("IsActive") == 1)
+    mult = prem.groupBy(KEY).agg(F.count(F.lit(1)).alias("_mult"))
+    return agg.join(mult, KEY, "inner").select(
+        KEY, "last_date", "first_date",
+        (F.col("_n") * F.col("_mult")).alias("Frequency"),
+        (F.col("_m") * F.col("_mult")).alias("Monetary_dec"))
+
+
+def features_from_aggregates(agg: DataFrame, reference: str | _dt.date = "frame",
+                             na_policy: str = "propagate", metrics: list[str] | None = None
+                             ) -> DataFrame:
+    """RFMT columns from per-customer aggregates (see ``rfmt_features``)."""
+    metrics = metrics or RFMT
+    if not isinstance(reference, _dt.date):
+        agg = agg.persist(StorageLevel.MEMORY_AND_DISK)
+    ref = _ref_column(agg, reference, na_policy)
+    cols = {
+        "RecencyDays": F.datediff(ref, F.col("last_date")).cast("int"),
+        "Frequency": F.col("Frequency").cast("bigint"),
+        "Monetary": F.col("Monetary_dec").cast("double"),
+        "Tenure": F.datediff(ref, F.col("first_date")).cast("int"),
+    }
+    return agg.select(KEY, *[cols[m].alias(m) for m in metrics])
+
+
+def premium_features(src, years: int, as_of, segment: str | None = None,
+                     reference: str = "cohort", streaming: DataFrame | None = None,
+                     segments: DataFrame | None = None, require_active: bool = True,
+                     metrics: list[str] | None = None, na_policy: str = "propagate"
+                     ) -> DataFrame:
+    """The features of the reference's scripts straight from the sources,
+    with the aggregation pushed below the premium join.
+
+    ``segment`` + ``reference='cohort'``: orders restricted to the segment
+    before aggregating (reference date = max of the cohort);
+    ``reference='all'``: features over all premium customers, then inner join
+    with the segment.  ``streaming`` (``Customer_Key, n``) adds Streaming.
+    """
+    metrics = metrics or RFMT
+    seg = None
+    if segment is not None:
+        seg = segments.filter(F.col("Segment") == segment).select(KEY)
+    cohort = seg if (seg is not None and reference == "cohort") else None
+    agg = order_aggregates_premium(src, years, as_of, require_active, cohort, na_policy)
+    ref = "frame" if reference in ("cohort", "all") else reference
+    feats = features_from_aggregates(agg, ref, na_policy, metrics)
+    if seg is not None and reference != "cohort":
+        feats = feats.join(seg, KEY, "inner")
+    if streaming is not None:
+        stream = streaming.select(KEY, F.col("n").alias("Streaming"))
+        if cohort is not None:
+            stream = stream.join(cohort, KEY, "left_semi")
+        feats = feats.join(stream, KEY, "inner")
+    return feats

@@ -176,19 +176,21 @@ def histogram_density(long: DataFrame, group_col: str, name_col: str = "name",
 
 
 def box_stats(long: DataFrame, group_col: str, name_col: str = "metric",
-              value_col: str = "value", value_range: tuple | None = None) -> DataFrame:
+              value_col: str = "value", value_range: tuple | None = None,
+              tiebreak: str = KEY) -> DataFrame:
     """Tukey box statistics per (group, name): quartiles by linear
     interpolation (R type 7), whiskers = most extreme values within 1.5·IQR.
     ``value_range`` first removes values outside the axis limits, as ggplot
-    does before computing the boxes."""
+    does before computing the boxes.  Quartiles come from a distributed exact
+    rank (no group is gathered into one task); whiskers are plain min/max."""
+    from custseg.operators.quantiles import exact_quantiles
     if value_range is not None:
         long = long.filter(F.col(value_col).between(*value_range))
-    q = long.groupBy(group_col, name_col).agg(
-        F.percentile(value_col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-        F.count(F.lit(1)).alias("n"))
-    q = q.select(group_col, name_col, "n", F.col("_q")[0].alias("q1"),
-                 F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
-    j = long.join(q, [group_col, name_col])   # per-group stats: bounded by #groups
+    q = exact_quantiles(long, [group_col, name_col], value_col, tiebreak, [0.25, 0.5, 0.75])
+    q = q.select(group_col, name_col, "n", F.col("q0").alias("q1"),
+                 F.col("q1").alias("median"), F.col("q2").alias("q3"))
+    # one row per (group, name): bounded by the number of labels
+    j = long.join(F.broadcast(q), [group_col, name_col])
     iqr = F.col("q3") - F.col("q1")
     inside_lo = F.col(value_col) >= F.col("q1") - 1.5 * iqr
     inside_hi = F.col(value_col) <= F.col("q3") + 1.5 * iqr

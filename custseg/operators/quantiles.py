@@ -44,40 +44,86 @@ def ntile_bucket(rank: Column, n: Column, buckets: int) -> Column:
         r + F.floor((rank - 1 - big) / q) + 1).cast("int")
 
 
+def global_rank(df: DataFrame, part_cols: list[str], value: str, tiebreak: str) -> DataFrame:
+    """``df`` (non-NULL ``value`` rows) plus ``_rank`` (1-based position within
+    ``part_cols`` ordered by ``value, tiebreak``) and ``_n`` (rows of the part).
+
+    ``tiebreak`` should be (nearly) unique -- a customer key -- so that the
+    range partitioner can split even a value shared by a third of all rows.
+    The per-(part, partition) offsets table is bounded by #parts × #partitions
+    and is broadcast.
+    """
+    order = [*part_cols, value, tiebreak]
+    base = df.filter(F.col(value).isNotNull())
+    ranged = (base.repartitionByRange(*order).sortWithinPartitions(*order)
+              .withColumn("_id", F.monotonically_increasing_id())
+              .withColumn("_p", F.shiftright("_id", _ROW_BITS))
+              .withColumn("_i", F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
+              .drop("_id"))
+    per_part = ranged.groupBy(*part_cols, "_p").agg(F.count(F.lit(1)).alias("_c"),
+                                                    F.min("_i").alias("_start"))
+    w = Window.partitionBy(*part_cols).orderBy("_p")
+    whole = Window.partitionBy(*part_cols) if part_cols else Window.partitionBy()
+    offsets = per_part.select(
+        *part_cols, "_p", "_start",
+        F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_off"),
+        F.sum("_c").over(whole).alias("_n"))
+    out = ranged.join(F.broadcast(offsets), [*part_cols, "_p"])
+    return out.withColumn("_rank", F.col("_off") + (F.col("_i") - F.col("_start")) + 1) \
+              .drop("_p", "_i", "_off", "_start")
+
+
 def exact_ntile(df: DataFrame, key: str, specs: list[TileSpec], buckets: int = 4,
                 partitions: int | None = None) -> DataFrame:
     """``key`` plus one bucket column per spec, for every key with at least one
     non-NULL value (see ``with_ntiles`` to keep all rows of ``df``)."""
     # one Expand over the input (a union of per-metric selects would prune
-    # columns differently per branch and recompute the input once per metric)
+    # columns differently per branch and recompute the input once per metric);
+    # metrics travel as small integers through the shuffle
     signed = df.select(F.col(key).alias("_k"), *[
-        (F.col(s.value).cast("double") * (1.0 if s.ascending else -1.0)).alias(s.out)
-        for s in specs])
-    long = signed.unpivot("_k", [s.out for s in specs], "_m", "_v")
-    long = long.filter(F.col("_v").isNotNull())
-    ranged = (long.repartitionByRange(partitions, "_m", "_v", "_k") if partitions
-              else long.repartitionByRange("_m", "_v", "_k"))
-    ranged = (ranged.sortWithinPartitions("_m", "_v", "_k")
-              .withColumn("_id", F.monotonically_increasing_id())
-              .select("_k", "_m",
-                      F.shiftright("_id", _ROW_BITS).alias("_p"),
-                      F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_i")))
-    per_part = ranged.groupBy("_m", "_p").agg(F.count(F.lit(1)).alias("_c"),
-                                              F.min("_i").alias("_start"))
-    w = Window.partitionBy("_m").orderBy("_p")
-    offsets = per_part.select(
-        "_m", "_p", "_start",
-        F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
-        F.sum("_c").over(Window.partitionBy("_m")).alias("_n"))
-    ranked = ranged.join(F.broadcast(offsets), ["_m", "_p"])
-    rank = F.col("_off") + (F.col("_i") - F.col("_start")) + 1
-    tiles = ranked.select("_k", "_m", ntile_bucket(rank, F.col("_n"), buckets).alias("_t"))
+        (F.col(s.value).cast("double") * (1.0 if s.ascending else -1.0)).alias(f"m{i}")
+        for i, s in enumerate(specs)])
+    long = signed.unpivot("_k", [f"m{i}" for i in range(len(specs))], "_name", "_v") \
+        .select("_k", F.substring("_name", 2, 3).cast("int").alias("_m"), "_v")
+    if partitions:
+        long = long.repartition(partitions)
+    r = global_rank(long, ["_m"], "_v", "_k")
+    tiles = r.select("_k", "_m", ntile_bucket(F.col("_rank"), F.col("_n"), buckets).alias("_t"))
     wide = tiles.groupBy("_k").agg(*[
-        F.max(F.when(F.col("_m") == s.out, F.col("_t"))).alias(s.out) for s in specs])
+        F.max(F.when(F.col("_m") == i, F.col("_t"))).alias(s.out) for i, s in enumerate(specs)])
     return wide.withColumnRenamed("_k", key)
 
 
+def exact_quantiles(df: DataFrame, group_cols: list[str], value: str, tiebreak: str,
+                    probs: list[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation (R type 7 / ``percentile``):
+    h = (n-1)p + 1, q = x[floor h] + (h - floor h)(x[ceil h] - x[floor h]).
+
+    Unlike ``percentile`` (which holds every distinct value of a group in one
+    task), only the <= 2·len(probs) order statistics of each group survive
+    the distributed rank.  Output ``group…, n, q0, q1, …``.
+    """
+    r = global_rank(df.select(*group_cols, value, tiebreak), group_cols, value, tiebreak)
+    n1 = F.col("_n") - 1
+    keep = None
+    aggs = []
+    for j, p in enumerate(probs):
+        lo = F.floor(n1 * p) + 1
+        hi = F.ceil(n1 * p) + 1
+        cond = (F.col("_rank") == lo) | (F.col("_rank") == hi)
+        keep = cond if keep is None else keep | cond
+        aggs += [F.max(F.when(F.col("_rank") == lo, F.col(value))).alias(f"_lo{j}"),
+                 F.max(F.when(F.col("_rank") == hi, F.col(value))).alias(f"_hi{j}")]
+    picked = r.filter(keep).groupBy(*group_cols, "_n").agg(*aggs)
+    out = []
+    for j, p in enumerate(probs):
+        h = (F.col("_n") - 1) * p + 1
+        frac = h - F.floor(h)
+        out.append((F.col(f"_lo{j}") + frac * (F.col(f"_hi{j}") - F.col(f"_lo{j}"))).alias(f"q{j}"))
+    return picked.select(*group_cols, F.col("_n").alias("n"), *out)
+
+
 def with_ntiles(df: DataFrame, key: str, specs: list[TileSpec], buckets: int = 4,
                 partitions: int | None = None) -> DataFrame:
     """``df`` with the bucket columns appended (NULL where the value is NULL).

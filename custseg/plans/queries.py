@@ -37,7 +37,7 @@ def _lines(spark, sf, years):
 
 
 def features_3y(spark, sf):
-    return feat.rfmt_features(_lines(spark, sf, 3))
+    return feat.premium_features(_src(spark, sf), 3, relations.ORDERS_AS_OF)
 
 
 def tiers_3y(spark, sf):
@@ -46,15 +46,14 @@ def tiers_3y(spark, sf):
 
 def rfmts_btc(spark, sf, reference="cohort"):
     src = _src(spark, sf)
-    lines = feat.order_lines(extracts.orders_extract(src, years=1))
-    return feat.rfmts_features(lines, extracts.streaming_counts(src),
-                               extracts.segment_lookup(src), "BTC", reference)
+    return feat.premium_features(src, 1, relations.ORDERS_AS_OF, "BTC", reference,
+                                 extracts.streaming_counts(src), extracts.segment_lookup(src))
 
 
 def rfmts_all_segments(spark, sf):
     src = _src(spark, sf)
-    lines = feat.order_lines(extracts.orders_extract(src, years=1))
-    base = feat.rfmts_features(lines, extracts.streaming_counts(src), None, None, "all")
+    base = feat.premium_features(src, 1, relations.ORDERS_AS_OF, None, "all",
+                                 extracts.streaming_counts(src))
     return feat.features_by_segment(base, extracts.segment_lookup(src))
 
 
@@ -134,6 +133,8 @@ def reference_date(spark, sf):
 
 def _one_metric(metric):
     def q(spark, sf):
+        # order-grain path (extract -> lines -> one group-by), kept as the
+        # direct translation; the other queries aggregate before the join
         return feat.rfmt_features(_lines(spark, sf, 3), metrics=[metric])
     q.__name__ = metric.lower()
     return q
@@ -321,7 +322,7 @@ def cluster_means(spark, sf):
 def cluster_box_stats(spark, sf):
     a, _c, ids = _assigned(spark, sf)
     a = a.withColumn("Cluster", F.element_at(F.array(*[F.lit(i) for i in ids]), F.col("_pos")))
-    long = profiles.to_long(a, ["Cluster"], RFMT)
+    long = profiles.to_long(a, [KEY, "Cluster"], RFMT)
     return profiles.box_stats(long, "Cluster", value_range=(-5.0, 5.0))
 
 

@@ -26,7 +26,8 @@ def _day_window(df: DataFrame, key_col: str, as_of, years: int) -> DataFrame:
     return df.filter(F.col(key_col) >= F.lit(int(lo.strftime("%Y%m%d"))))
 
 
-def _valid_orders(src: Sources, as_of, years: int) -> DataFrame:
+def valid_orders(src: Sources, as_of, years: int) -> DataFrame:
+    """Known, uncancelled orders inside the day window (before any join)."""
     f = src.order_fact
     f = f.filter((F.col("Customer_Key") != UNKNOWN_KEY)
                  & (F.col("DateCancelled_Key") == UNKNOWN_KEY))
@@ -47,7 +48,7 @@ def orders_extract(src: Sources, years: int = 1, as_of: _dt.date = ORDERS_AS_OF,
         prem = prem.filter(F.col("IsActive") == 1).select("Customer_Key")
     else:
         prem = prem.select("Customer_Key", "IsActive")
-    out = _valid_orders(src, as_of, years).join(prem, "Customer_Key", "inner")
+    out = valid_orders(src, as_of, years).join(prem, "Customer_Key", "inner")
     cols = ["DateOrdered_Key", "Customer_Key", "5_DB2"]
     if not require_active:
         cols.append("IsActive")
@@ -58,7 +59,7 @@ def orders_non_premium(src: Sources, years: int = 1,
                        as_of: _dt.date = ORDERS_AS_OF) -> DataFrame:
     """Orders of customers absent from the premium table (left join + IS NULL
     written as the anti join it is)."""
-    out = _valid_orders(src, as_of, years).join(
+    out = valid_orders(src, as_of, years).join(
         src.premium_active.select("Customer_Key"), "Customer_Key", "left_anti")
     return out.select("DateOrdered_Key", "Customer_Key", "5_DB2",
                       F.lit(None).cast("int").alias("IsActive"))

@@ -117,3 +117,15 @@ def test_one_orders_scan_for_features(spark):
     text = buf.getvalue()
     assert "GreaterThanOrEqual(o_orderdate,2000-08-01T00:00)" in text     # window reaches the scan
     assert "ReadSchema: struct<o_custkey:bigint,o_orderstatus:string,o_totalprice:double,o_orderdate:timestamp_ntz>" in text
+
+
+def test_aggregate_first_equals_join_first(spark):
+    orders = [(1, 20010101, 10, -1), (1, 20010301, 5, -1), (3, 20010101, 2, -1),
+              (3, 20010201, 4, -1), (4, 20010101, 9, -1), (5, 20000101, 1, -1)]
+    premium = [(1, 1), (3, 1), (3, 1), (4, 0), (5, 1)]      # 3 listed twice: fan-out
+    src = _sources(spark, orders, premium)
+    a = feat.premium_features(src, 1, D(2001, 8, 1), None, "all")
+    b = feat.rfmt_features(feat.order_lines(extracts.orders_extract(src, 1, D(2001, 8, 1))))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    got = {r["Customer_Key"]: (r["Frequency"], r["Monetary"]) for r in a.collect()}
+    assert got[3] == (4, 12.0)

@@ -24,7 +24,8 @@ def test_box_stats_match_numpy(spark):
     rnd = np.random.default_rng(1)
     vals = rnd.normal(0, 2, 301)
     vals[:3] = [9.0, -9.0, 4.9]
-    df = spark.createDataFrame([(1, "m", float(v)) for v in vals], "Cluster int, metric string, value double")
+    df = spark.createDataFrame([(i, 1, "m", float(v)) for i, v in enumerate(vals)],
+                               "Customer_Key long, Cluster int, metric string, value double")
     r = profiles.box_stats(df, "Cluster", value_range=(-5.0, 5.0)).collect()[0]
     kept = vals[(vals >= -5) & (vals <= 5)]
     q1, med, q3 = np.percentile(kept, [25, 50, 75])          # linear = R type 7
@@ -87,3 +88,16 @@ def test_scree_curve_shape(spark):
     curve = clusters.scree_curve(clusters.prepare(df), ["a", "b"], k_max=4, folds=3)
     assert [k for k, _ in curve] == [1, 2, 3, 4]
     assert curve[1][1] < curve[0][1] * 0.3
+
+
+def test_exact_quantiles_with_heavy_ties(spark):
+    from custseg.operators.quantiles import exact_quantiles
+    vals = [0.0] * 100 + [float(v) for v in range(1, 201)] + [None] * 5
+    df = spark.createDataFrame([(i, "g" if i % 2 else "h", v) for i, v in enumerate(vals)],
+                               "k long, grp string, v double")
+    got = {r["grp"]: r for r in exact_quantiles(df, ["grp"], "v", "k", [0.1, 0.25, 0.5, 0.9]).collect()}
+    for g, sel in (("g", 1), ("h", 0)):
+        xs = np.array([v for i, v in enumerate(vals) if v is not None and i % 2 == sel])
+        ref = np.percentile(xs, [10, 25, 50, 90])
+        assert got[g]["n"] == len(xs)
+        assert np.allclose([got[g][f"q{j}"] for j in range(4)], ref, rtol=0, atol=1e-12)
