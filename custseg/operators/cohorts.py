@@ -9,6 +9,10 @@ per (segment, metric)), not once per segment.
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -80,21 +84,47 @@ def nested_clusters(features: DataFrame, cols: list[str]) -> DataFrame:
     return model.predict(data, [KEY, *cols])
 
 
-def segment_clusters(features: DataFrame, cols: list[str]) -> DataFrame:
+def segment_clusters(features: DataFrame, cols: list[str], path: str | None = None,
+                     parallelism: int = 4) -> DataFrame:
     """Normalise within each segment (one grouped fit), then one auto-k
-    k-means per segment.  ``Segment, Customer_Key, Cluster, metrics``."""
+    k-means per segment.  ``Segment, Customer_Key, Cluster, metrics``.
+
+    The normalised rows are written once to a table partitioned by segment in
+    the shared folder; each segment's fits then read only their partition
+    (partition pruning) instead of filtering the whole table on every
+    k-means iteration.
+    """
+    from custseg.session import shared_path
+    spark = features.sparkSession
     params = power.fit_power_standardise(features, cols, ["Segment"])
     norm = power.apply_power_standardise(features.select("Segment", KEY, *cols), params, cols,
                                          ["Segment"])
-    norm = clusters.prepare(norm)
-    segments = [r["Segment"] for r in norm.select("Segment").distinct().orderBy("Segment").collect()]
-    out = None
-    for seg in segments:
-        part = norm.filter(F.col("Segment") == seg)
-        model, _ = clusters.auto_k(part, cols)
-        pred = model.predict(part, ["Segment", KEY, *cols]) if model else \
-            part.select("Segment", KEY, *cols, F.lit(1).alias("Cluster"))
-        out = pred if out is None else out.unionByName(pred)
+    path = path or shared_path(spark, f"segments/normalised_{uuid.uuid4().hex}")
+    norm.write.mode("overwrite").partitionBy("Segment").parquet(path)
+    table = spark.read.parquet(path)
+    segments = sorted(r["Segment"] for r in params.select("Segment").distinct().collect())
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def fit_one(seg):
+        part = (table.filter(F.col("Segment") == seg)
+                .repartitionByRange(n_parts, KEY).sortWithinPartitions(KEY)
+                .persist(StorageLevel.MEMORY_AND_DISK))
+        try:
+            model, _ = clusters.auto_k(part, cols)
+        finally:
+            part.unpersist()
+        # the model is fixed, so predictions recompute identically from the
+        # written table after the cached copy is released
+        src = table.filter(F.col("Segment") == seg)
+        return model.predict(src, ["Segment", KEY, *cols]) if model else \
+            src.select("Segment", KEY, *cols, F.lit(1).alias("Cluster"))
+
+    # independent segments: fit a few at a time (each fit is itself distributed)
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(segments)))) as pool:
+        preds = list(pool.map(fit_one, segments))
+    out = preds[0]
+    for p in preds[1:]:
+        out = out.unionByName(p)
     return out
 
 

@@ -1,0 +1,8 @@
+"""Structured Streaming: intentionally empty.
+
+The reference has no stream processing.  Its "Streaming" is a *feature*: the
+number of audiobook / e-book reads a subscriber streamed in the last year,
+computed as a batch aggregate over the reader fact table
+(``custseg.sources.extracts.streaming_counts``).  Nothing here adds operators
+the reference does not have.
+"""
