@@ -65,7 +65,7 @@ def _loglik(cands: DataFrame, keys: list[str], stats: DataFrame) -> DataFrame:
 def yeo_johnson_lambdas(df: DataFrame, cols: list[str], group_cols: list[str] | tuple = (),
                         limits=YJ_LIMITS, min_unique: int = YJ_MIN_UNIQUE) -> DataFrame:
     """``group…, metric, lambda, loglik, n, n_distinct`` (λ NULL = untransformed)."""
-    long = to_long(df, cols, group_cols).persist(StorageLevel.MEMORY_AND_DISK)
+    long = _cut(to_long(df, cols, group_cols))
     try:
         return _lambdas_long(long, list(group_cols), limits, min_unique)
     finally:
@@ -114,6 +114,19 @@ def _lambdas_long(long: DataFrame, group_cols: list[str], limits=YJ_LIMITS,
             frame.unpersist()
 
 
+def _cut(long: DataFrame) -> DataFrame:
+    """Persist the long frame and cut its lineage with a reliable checkpoint
+    into the shared ``spark.checkpoint.dir``: every level of the search then
+    plans against a plain scan instead of the whole upstream feature plan, and
+    a lost executor re-reads the checkpoint instead of recomputing features."""
+    from custseg.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(long.sparkSession)
+    held = long.persist(StorageLevel.MEMORY_AND_DISK)
+    cut = held.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+    held.unpersist()
+    return cut
+
+
 def _small_table(df: DataFrame) -> DataFrame:
     """Bring a fitted parameter table (bounded by #groups × #metrics rows, like
     a model's coefficients) to the driver once and return it as a local
@@ -136,7 +149,7 @@ def fit_power_standardise(df: DataFrame, cols: list[str], group_cols: list[str]
     long frame is built once and shared by both passes."""
     group_cols = list(group_cols)
     keys = [*group_cols, "metric"]
-    long = to_long(df, cols, group_cols).persist(StorageLevel.MEMORY_AND_DISK)
+    long = _cut(to_long(df, cols, group_cols))
     try:
         if power:
             lam = _lambdas_long(long, group_cols).select(*keys, "lambda")

@@ -13,6 +13,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,14 +59,15 @@ def rfmts_all_segments(spark, sf):
 
 
 def normalised_tiers(spark, sf):
-    t = tiers_3y(spark, sf)
+    # read by the fit and by the apply: keep the customer-grain tiers once
+    t = tiers_3y(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
     params = power.fit_power_standardise(t, RFMT)
     return power.apply_power_standardise(
         t.select(KEY, "Customer_Segment", "Segment_Order", *RFMT), params, RFMT)
 
 
 def normalised_rfmts(spark, sf):
-    f = rfmts_btc(spark, sf)
+    f = rfmts_btc(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
     return power.apply_power_standardise(f, power.fit_power_standardise(f, RFMTS), RFMTS)
 
 
@@ -263,7 +265,7 @@ def normalised_tiers_q(spark, sf):
 
 
 def normalised_by_segment(spark, sf):
-    f = rfmts_all_segments(spark, sf)
+    f = rfmts_all_segments(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
     params = power.fit_power_standardise(f, RFMTS, ["Segment"])
     return _round_cols(power.apply_power_standardise(f, params, RFMTS, ["Segment"]), RFMTS)
 
