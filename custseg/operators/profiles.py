@@ -129,13 +129,17 @@ def to_long(df: DataFrame, ids: list[str], metrics: list[str], name: str = "metr
 
 
 def profile_long(df: DataFrame, group_col: str, metrics: list[str],
-                 extra_group: tuple = ()) -> DataFrame:
+                 extra_group: tuple = (), value_range: tuple | None = None) -> DataFrame:
     """Mean of each (normalised) metric per group: snake-plot data.
-    Means skip NULLs (``na.rm=TRUE``)."""
+    Means skip NULLs (``na.rm=TRUE``).  ``value_range`` drops the mean points
+    outside the axis limits (``ylim(-2, 2)`` on the profile lines)."""
     ids = [*extra_group, group_col]
     long = to_long(df, ids, metrics)
-    return long.groupBy(*ids, "metric").agg(F.avg("value").alias("value")).select(
+    out = long.groupBy(*ids, "metric").agg(F.avg("value").alias("value")).select(
         *ids, "metric", metric_order().alias("metric_order"), r6(F.col("value")).alias("value"))
+    if value_range is not None:
+        out = out.filter(F.col("value").between(*value_range))
+    return out
 
 
 def profile_wide(long: DataFrame, group_col: str, metrics: list[str]) -> DataFrame:
@@ -202,7 +206,8 @@ def box_stats(long: DataFrame, group_col: str, name_col: str = "metric",
                     r6(F.col("lower")).alias("lower"), r6(F.col("upper")).alias("upper"))
 
 
-def legacy_normalise(df: DataFrame, metrics: list[str], keep: list[str]) -> DataFrame:
+def legacy_normalise(df: DataFrame, metrics: list[str], keep: list[str],
+                     drop_na: bool = False) -> DataFrame:
     """The older (commented-out) normalisation: negative Monetary -> NULL,
     log(x+1), subtract the mean and round to 1 decimal (half-even), then
     ``scale()`` (centre + divide by the sample SD, NULLs skipped)."""
@@ -214,5 +219,6 @@ def legacy_normalise(df: DataFrame, metrics: list[str], keep: list[str]) -> Data
     rounded = base.select(*keep, *[F.bround(F.col(m) - F.lit(mrow[m]), 1).alias(m) for m in metrics])
     stats = rounded.agg(*[F.avg(m).alias(f"a_{m}") for m in metrics],
                         *[F.stddev_samp(m).alias(f"s_{m}") for m in metrics]).collect()[0]
-    return rounded.select(*keep, *[
+    out = rounded.select(*keep, *[
         r6((F.col(m) - F.lit(stats[f"a_{m}"])) / F.lit(stats[f"s_{m}"])).alias(m) for m in metrics])
+    return out.dropna(subset=metrics) if drop_na else out

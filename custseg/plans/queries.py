@@ -396,6 +396,22 @@ def segment_clusters(spark, sf):
     return cohorts.segment_clusters(rfmts_all_segments(spark, sf), RFMTS)
 
 
+def segment_profiles(spark, sf):
+    """Per segment: mean normalised metric per cluster (the centroid lines of
+    the per-segment plots, points outside ±2 dropped like the plot's ylim)."""
+    sc = segment_clusters(spark, sf)
+    return profiles.profile_long(sc, "Cluster", RFMTS, extra_group=("Segment",),
+                                 value_range=(-2.0, 2.0))
+
+
+def segment_box_stats(spark, sf):
+    """Per segment: box statistics per cluster and metric within ±5."""
+    sc = segment_clusters(spark, sf).withColumn("Group", F.concat_ws("/", "Segment",
+                                                                     F.col("Cluster").cast("string")))
+    long = profiles.to_long(sc, [KEY, "Group"], RFMTS)
+    return profiles.box_stats(long, "Group", value_range=(-5.0, 5.0))
+
+
 def cohort_comparison(spark, sf):
     return cohorts.cohort_comparison(spark, _src(spark, sf))
 
@@ -474,6 +490,8 @@ def queries() -> dict[str, Query]:
         "best_cluster_members": best_cluster_members,
         "nested_clusters": nested_clusters,
         "segment_clusters": segment_clusters,
+        "segment_profiles": segment_profiles,
+        "segment_box_stats": segment_box_stats,
         "cohort_comparison": cohort_comparison,
     }
     return q

@@ -101,3 +101,17 @@ def test_exact_quantiles_with_heavy_ties(spark):
         ref = np.percentile(xs, [10, 25, 50, 90])
         assert got[g]["n"] == len(xs)
         assert np.allclose([got[g][f"q{j}"] for j in range(4)], ref, rtol=0, atol=1e-12)
+
+
+def test_profile_value_range_and_relative_importance(spark):
+    df = spark.createDataFrame([(1, "A", 1, 3.0, 1.0), (2, "A", 1, 1.0, 1.0), (3, "B", 2, -4.0, 1.0)],
+                               "Customer_Key long, Customer_Segment string, Segment_Order int, RecencyDays double, Frequency double")
+    p = profiles.profile_long(df, "Customer_Segment", ["RecencyDays", "Frequency"], value_range=(-2, 2))
+    got = {(r["Customer_Segment"], r["metric"]): r["value"] for r in p.collect()}
+    assert got == {("A", "RecencyDays"): 2.0, ("A", "Frequency"): 1.0, ("B", "Frequency"): 1.0}
+    t = spark.createDataFrame([("Gold", 1, 2, 4, 10.0, 30), ("Gold", 1, 4, 4, None, 30), ("Bronze", 3, 6, 1, 2.0, 30)],
+                              "Customer_Segment string, Segment_Order int, RecencyDays int, Frequency long, Monetary double, Tenure int")
+    ri = {(r["Customer_Segment"], r["metric"]): r["value"] for r in profiles.relative_importance(t).collect()}
+    assert ri[("Gold", "Recency")] == round(3 / 4 - 1, 6)
+    assert ri[("Gold", "Monetary")] == round(10 / 6 - 1, 6)          # NULL skipped (na.rm)
+    assert ri[("Bronze", "Tenure")] == 0.0
