@@ -21,6 +21,7 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -42,8 +43,13 @@ def prepare(df: DataFrame, partitions: int | None = None, key: str = KEY) -> Dat
     """Checkpoint the feature rows, range-partitioned and sorted by key."""
     ensure_checkpoint_dir(df.sparkSession)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = df.repartitionByRange(n, key).sortWithinPartitions(key)
-    return laid.checkpoint(eager=True)
+    laid = df.repartitionByRange(n, key).sortWithinPartitions(key) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    # the checkpoint is the recovery point; the in-memory copy serves the
+    # repeated k-means passes
+    cut = laid.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+    laid.unpersist()
+    return cut
 
 
 def _score_sign(cols: list[str]) -> list[float]:
@@ -108,9 +114,22 @@ def _relabel(centers: list[list[float]], cols: list[str]) -> list[int]:
     return relabel
 
 
+def _assembler(cols: list[str]) -> VectorAssembler:
+    return VectorAssembler(inputCols=cols, outputCol="_raw", handleInvalid="skip")
+
+
 def fit_kmeans(df: DataFrame, cols: list[str], k: int, seed: int = SEED,
-               max_iter: int = DEFAULT_MAX_ITER, standardize: bool = False) -> Clustering:
-    model = _pipeline(cols, k, seed, max_iter, standardize).fit(df)
+               max_iter: int = DEFAULT_MAX_ITER, standardize: bool = False,
+               assembled: DataFrame | None = None) -> Clustering:
+    """k-means on ``cols``; ``assembled`` (``df`` with the ``_raw`` vector
+    column, ideally persisted) lets a loop of fits share one assembly."""
+    if standardize:
+        model = _pipeline(cols, k, seed, max_iter, standardize).fit(df)
+    else:
+        data = assembled if assembled is not None else _assembler(cols).transform(df)
+        km = KMeans(featuresCol="_raw", k=k, seed=seed, maxIter=max_iter,
+                    predictionCol="prediction").fit(data)
+        model = PipelineModel(stages=[_assembler(cols), km])
     km = model.stages[-1]
     centers = [list(map(float, c)) for c in km.clusterCenters()]
     return Clustering(model, cols, _relabel(centers, cols), float(km.summary.trainingCost))
@@ -134,13 +153,17 @@ def auto_k(df: DataFrame, cols: list[str], k_max: int = AUTO_K_MAX, seed: int =
     prev = total_ss(df, cols)
     curve = [(1, prev)]
     best = None
-    for k in range(2, min(k_max, n) + 1):
-        m = fit_kmeans(df, cols, k, seed, max_iter)
-        curve.append((k, m.cost))
-        drop = (prev - m.cost) / prev if prev > 0 else 0.0
-        if drop < cutoff:
-            break
-        best, prev = m, m.cost
+    assembled = _assembler(cols).transform(df).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for k in range(2, min(k_max, n) + 1):
+            m = fit_kmeans(df, cols, k, seed, max_iter, assembled=assembled)
+            curve.append((k, m.cost))
+            drop = (prev - m.cost) / prev if prev > 0 else 0.0
+            if drop < cutoff:
+                break
+            best, prev = m, m.cost
+    finally:
+        assembled.unpersist()
     return best, curve
 
 
@@ -149,7 +172,6 @@ def _held_out_sse(model: Clustering | None, train: DataFrame, test: DataFrame,
     if model is None:   # k = 1: distance to the training mean
         mrow = train.agg(*[F.avg(c).alias(c) for c in cols]).collect()[0]
         centers = [[float(mrow[c]) for c in cols]]
-        relabel = [1]
         pred = test.select(*cols, F.lit(1).alias("Cluster"))
     else:
         centers = model.centers()

@@ -145,3 +145,14 @@ def window_ntile(df: DataFrame, key: str, specs: list[TileSpec], buckets: int =
         nn = out.filter(v.isNotNull()).select(key, F.ntile(buckets).over(w).alias(s.out))
         out = out.join(nn, key, "left")
     return out.select(key, *[s.out for s in specs])
+
+
+def exact_sample(df: DataFrame, fraction: float, seed: int, key: str) -> DataFrame:
+    """Exactly ``round(fraction · n)`` rows (like ``sample_frac``), chosen by a
+    seeded hash of the key: the rows with the smallest hashes.  The cut is a
+    distributed rank -- no ``orderBy().limit()`` that would pull the sample
+    into one task."""
+    h = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    r = global_rank(h.withColumn("_g", F.lit(0)), ["_g"], "_h", key)
+    m = F.round(F.col("_n") * F.lit(float(fraction)))
+    return r.filter(F.col("_rank") <= m).drop("_h", "_g", "_rank", "_n")

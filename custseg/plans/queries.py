@@ -381,7 +381,8 @@ def sample_clustered(spark, sf):
     data = clusters.prepare(normalised_tiers(spark, sf))
     model, _ = clusters.auto_k(data, RFMT)
     pred = model.predict(data) if model else data.withColumn("Cluster", F.lit(1))
-    return profiles.clip(pred, "Monetary", -5, 5).sample(fraction=0.2, seed=42)
+    from custseg.operators.quantiles import exact_sample
+    return exact_sample(profiles.clip(pred, "Monetary", -5, 5), 0.2, 42, KEY)
 
 
 def best_cluster_members(spark, sf):

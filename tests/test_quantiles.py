@@ -57,3 +57,13 @@ def test_no_single_partition_exchange(spark):
     plan = exact_ntile(df, "Customer_Key", SPECS)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
     assert "rangepartitioning" in plan
+
+
+def test_exact_sample_size_and_determinism(spark):
+    from custseg.operators.quantiles import exact_sample
+    df = spark.range(0, 997).withColumnRenamed("id", "k")
+    a = exact_sample(df, 0.2, 42, "k")
+    b = exact_sample(df.repartition(5), 0.2, 42, "k")
+    ka = sorted(r["k"] for r in a.collect())
+    assert len(ka) == round(997 * 0.2)
+    assert ka == sorted(r["k"] for r in b.collect())
