@@ -368,8 +368,9 @@ def scree_curve(spark, sf):
 
 
 def score_customers(spark, sf):
+    from custseg.sources.io import dated_path
     return cohorts.train_save_score(spark, rfmts_btc(spark, sf), RFMTS,
-                                    shared_path(spark, "models/rfmts_kmeans"))
+                                    dated_path(shared_path(spark, "models"), "rfmts_kmeans_model"))
 
 
 def model_roundtrip_scores(spark, sf):

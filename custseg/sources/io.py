@@ -32,3 +32,12 @@ def dated_path(base: str, name: str, day: _dt.date | None = None) -> str:
     """``<base>/<name>_<yyyy-mm-dd>`` like the reference's model folders."""
     day = day or _dt.date.today()
     return f"{base.rstrip('/')}/{name}_{day.isoformat()}"
+
+
+def export_scores(scores: DataFrame, path: str, as_of: _dt.date) -> None:
+    """Append scored customers under ``as_of=<date>`` (one folder per scoring
+    day; re-running a day replaces only that day's partition)."""
+    from pyspark.sql import functions as F
+    (scores.withColumn("as_of", F.lit(as_of))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("as_of").parquet(path))

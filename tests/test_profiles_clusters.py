@@ -115,3 +115,16 @@ def test_profile_value_range_and_relative_importance(spark):
     assert ri[("Gold", "Recency")] == round(3 / 4 - 1, 6)
     assert ri[("Gold", "Monetary")] == round(10 / 6 - 1, 6)          # NULL skipped (na.rm)
     assert ri[("Bronze", "Tenure")] == 0.0
+
+
+def test_export_scores_partitions_by_day(spark, tmp_path):
+    import datetime as dt
+    from custseg.sources.io import export_scores
+    df = spark.createDataFrame([(1, 2), (2, 1)], "Customer_Key long, Cluster int")
+    path = str(tmp_path / "scores")
+    export_scores(df, path, dt.date(2020, 1, 1))
+    export_scores(df.limit(1), path, dt.date(2020, 1, 2))
+    export_scores(df, path, dt.date(2020, 1, 2))       # a re-run replaces only its own day
+    back = spark.read.parquet(path)
+    assert back.count() == 4
+    assert {str(r["as_of"]) for r in back.select("as_of").distinct().collect()} == {"2020-01-01", "2020-01-02"}
