@@ -129,3 +129,12 @@ def test_aggregate_first_equals_join_first(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     got = {r["Customer_Key"]: (r["Frequency"], r["Monetary"]) for r in a.collect()}
     assert got[3] == (4, 12.0)
+
+
+def test_two_segments_and_missing_segment(spark):
+    feats = spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "Customer_Key long, RecencyDays int")
+    segs = spark.createDataFrame([(1, "BTC"), (1, "X"), (1, "BTC"), (2, None)],
+                                 "Customer_Key long, Segment string").distinct()
+    got = sorted((r["Customer_Key"], r["Segment"]) for r in feat.features_by_segment(feats, segs).collect())
+    # customer 1 appears once per segment (left_join semantics), 2 (NULL) and 3 (none) drop out
+    assert got == [(1, "BTC"), (1, "X")]

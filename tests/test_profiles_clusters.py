@@ -128,3 +128,12 @@ def test_export_scores_partitions_by_day(spark, tmp_path):
     back = spark.read.parquet(path)
     assert back.count() == 4
     assert {str(r["as_of"]) for r in back.select("as_of").distinct().collect()} == {"2020-01-01", "2020-01-02"}
+
+
+def test_empty_tier_keeps_real_labels(spark):
+    t = spark.createDataFrame([("Gold", 1, 2, 4, 10.0, 30), ("Bronze", 3, 6, 1, 2.0, 10)],
+                              "Customer_Segment string, Segment_Order int, RecencyDays int, Frequency long, Monetary double, Tenure int")
+    labels = {r["Customer_Segment"] for r in profiles.relative_importance(t).collect()}
+    assert labels == {"Gold", "Bronze"}                 # no Silver row invented or shifted
+    summ = {r["Customer_Segment"]: r["R_mean"] for r in profiles.tier_summary(t).collect()}
+    assert summ == {"Gold": 2.0, "Bronze": 6.0}
