@@ -17,7 +17,6 @@ Cluster ids are renumbered deterministically: 1 = highest
 
 from __future__ import annotations
 
-import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -239,6 +238,3 @@ def centers_by_group(df: DataFrame, cols: list[str], group_col: str, order_col:
         .orderBy(order_col).collect()
     return [[float(r[c]) for c in cols] for r in rows], [r[order_col] for r in rows]
 
-
-def math_isfinite(v) -> bool:
-    return v is not None and math.isfinite(v)

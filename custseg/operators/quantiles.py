@@ -135,18 +135,6 @@ def with_ntiles(df: DataFrame, key: str, specs: list[TileSpec], buckets: int = 4
     return df.join(tiles, key, "left")
 
 
-def window_ntile(df: DataFrame, key: str, specs: list[TileSpec], buckets: int = 4
-                 ) -> DataFrame:
-    """Single-partition reference implementation (tests only)."""
-    out = df
-    for s in specs:
-        v = F.col(s.value)
-        w = Window.orderBy(v.asc() if s.ascending else v.desc(), F.col(key).asc())
-        nn = out.filter(v.isNotNull()).select(key, F.ntile(buckets).over(w).alias(s.out))
-        out = out.join(nn, key, "left")
-    return out.select(key, *[s.out for s in specs])
-
-
 def exact_sample(df: DataFrame, fraction: float, seed: int, key: str) -> DataFrame:
     """Exactly ``round(fraction · n)`` rows (like ``sample_frac``), chosen by a
     seeded hash of the key: the rows with the smallest hashes.  The cut is a

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from custseg.operators import features as feat
-from custseg.operators.quantiles import TileSpec, exact_ntile, window_ntile
+from custseg.operators.quantiles import TileSpec, exact_ntile
+from tests.reference_impl import window_ntile
 from custseg.sources.relations import Sources
 
 
