@@ -78,13 +78,16 @@ def relative_importance(tiers: DataFrame) -> DataFrame:
     ratios = []
     for name, _col, pol in metrics:
         s, c = F.col(f"s_{name}"), F.col(f"c_{name}")
-        g_mean = s / c
-        p_mean = F.sum(s).over(everything) / F.sum(c).over(everything)
+        g_mean = F.when(c > 0, s / c)
+        p_mean = F.when(F.sum(c).over(everything) > 0,
+                        F.sum(s).over(everything) / F.sum(c).over(everything))
         if pol == "propagate":   # any NULL -> NA mean, in the group and the population
             g_mean = F.when(c < F.col("rows"), None).otherwise(g_mean)
             p_mean = F.when(F.sum(c).over(everything) < F.sum("rows").over(everything),
                             None).otherwise(p_mean)
-        ratios.append((g_mean / p_mean - 1).alias(f"v_{name}"))
+        # a zero population mean has no ratio (R gives Inf/NaN); ANSI mode
+        # would raise on the division, so it becomes NULL
+        ratios.append(F.when(p_mean != 0, g_mean / p_mean - 1).alias(f"v_{name}"))
     groups = groups.select("Customer_Segment", "Segment_Order", *ratios)
     cols = [F.struct(F.lit(name).alias("metric"), F.col(f"v_{name}").alias("v"))
             for name, _c, _p in metrics]
@@ -219,6 +222,10 @@ def legacy_normalise(df: DataFrame, metrics: list[str], keep: list[str],
     rounded = base.select(*keep, *[F.bround(F.col(m) - F.lit(mrow[m]), 1).alias(m) for m in metrics])
     stats = rounded.agg(*[F.avg(m).alias(f"a_{m}") for m in metrics],
                         *[F.stddev_samp(m).alias(f"s_{m}") for m in metrics]).collect()[0]
-    out = rounded.select(*keep, *[
-        r6((F.col(m) - F.lit(stats[f"a_{m}"])) / F.lit(stats[f"s_{m}"])).alias(m) for m in metrics])
+    def z(m):
+        sd = stats[f"s_{m}"]
+        if not sd:             # constant or single value: scale() leaves NaN; here NULL
+            return F.lit(None).cast("double")
+        return r6((F.col(m) - F.lit(stats[f"a_{m}"])) / F.lit(sd))
+    out = rounded.select(*keep, *[z(m).alias(m) for m in metrics])
     return out.dropna(subset=metrics) if drop_na else out

@@ -137,3 +137,14 @@ def test_empty_tier_keeps_real_labels(spark):
     assert labels == {"Gold", "Bronze"}                 # no Silver row invented or shifted
     summ = {r["Customer_Segment"]: r["R_mean"] for r in profiles.tier_summary(t).collect()}
     assert summ == {"Gold": 2.0, "Bronze": 6.0}
+
+
+def test_zero_means_and_constant_columns_do_not_raise(spark):
+    t = spark.createDataFrame([("Gold", 1, 0, 4, 10.0, 30), ("Bronze", 3, 0, 1, 2.0, 30)],
+                              "Customer_Segment string, Segment_Order int, RecencyDays int, Frequency long, Monetary double, Tenure int")
+    ri = {(r["Customer_Segment"], r["metric"]): r["value"] for r in profiles.relative_importance(t).collect()}
+    assert ri[("Gold", "Recency")] is None and ri[("Gold", "Tenure")] == 0.0
+    t2 = t.withColumn("Customer_Key", F.monotonically_increasing_id())
+    out = profiles.legacy_normalise(t2, ["RecencyDays", "Frequency", "Monetary", "Tenure"],
+                                    ["Customer_Key"]).collect()
+    assert all(r["Tenure"] is None for r in out) and len(out) == 2
