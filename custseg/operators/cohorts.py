@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from custseg.operators import clusters, power, profiles
 from custseg.operators import features as feat
-from custseg.sources import extracts
+from custseg.sources import extracts, relations
 
 KEY = "Customer_Key"
 
@@ -32,9 +32,12 @@ def premium_cohort_features(src, segment: str = "BTC") -> DataFrame:
     before the segment filter), restricted to ``segment``; long by cohort."""
     seg = extracts.segment_lookup(src)
     out = None
-    for name, orders in (("premium", extracts.orders_extract(src, 1, require_active=False)),
-                         ("non_premium", extracts.orders_non_premium(src, 1))):
-        f = feat.rfmt_features(feat.order_lines(orders), metrics=feat.RFM)
+    as_of = relations.ORDERS_AS_OF
+    cohorts_ = (("premium", feat.order_aggregates_premium(src, 1, as_of, require_active=False)),
+                ("non_premium", feat.order_aggregates_non_premium(src, 1, as_of)))
+    for name, agg in cohorts_:
+        # reference date = max of the cohort, before the segment filter
+        f = feat.features_from_aggregates(agg, "frame", metrics=feat.RFM)
         f = f.join(seg, KEY, "inner").filter(F.col("Segment") == segment)
         f = f.select(F.lit(name).alias("cohort"), KEY, *feat.RFM, "Segment")
         out = f if out is None else out.unionByName(f)
@@ -131,14 +134,18 @@ def segment_clusters(features: DataFrame, cols: list[str], path: str | None = No
 def cohort_comparison(spark: SparkSession, src, segment: str = "BTC") -> DataFrame:
     """Premium vs non-premium: RFM normalised per cohort, auto-k per cohort,
     centroid profiles side by side (``cohort, Cluster, metric, …``)."""
-    feats = premium_cohort_features(src, segment)
-    out = None
-    for name in ("premium", "non_premium"):
+    feats = premium_cohort_features(src, segment).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def one(name):
         f = feats.filter(F.col("cohort") == name)
         _data, model = normalise_and_cluster(f, feat.RFM)
-        t = centroid_table(spark, model, feat.RFM).select(F.lit(name).alias("cohort"), "*")
-        out = t if out is None else out.unionByName(t)
-    return out
+        return centroid_table(spark, model, feat.RFM).select(F.lit(name).alias("cohort"), "*")
+
+    # the two cohorts are independent fits: run them side by side
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        tables = list(pool.map(one, ("premium", "non_premium")))
+    feats.unpersist()
+    return tables[0].unionByName(tables[1])
 
 
 def scoring_pipeline(cols: list[str], k: int, seed: int = clusters.SEED,

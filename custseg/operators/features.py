@@ -145,19 +145,22 @@ def order_aggregates_premium(src, years: int, as_of, require_active: bool = True
     the partial aggregation collapse the order lines map-side (one row per
     customer and task, whatever the skew of a key), and the join then runs at
     customer grain instead of order grain.  ``customers`` (key column only)
-    optionally restricts the cohort first (left semi join).
+    optionally restricts the cohort (left semi join on the aggregate).
     """
     from custseg.sources import extracts
     o = extracts.valid_orders(src, as_of, years).select(
         F.col(KEY), parse_date_key("DateOrdered_Key").alias("Date"),
         F.col("`5_DB2`").alias("DB2"))
-    if customers is not None:
-        o = o.join(customers, KEY, "left_semi")
     agg = o.groupBy(KEY).agg(
         na_max("Date", na_policy).alias("last_date"),
         na_min("Date", na_policy).alias("first_date"),
         F.count(F.lit(1)).alias("_n"),
         na_sum("DB2", na_policy).alias("_m"))
+    if customers is not None:
+        # restricting customers commutes with the per-customer aggregation, so
+        # it runs at customer grain on the aggregate's key partitioning instead
+        # of shuffling every order line for the semi join
+        agg = agg.join(customers, KEY, "left_semi")
     prem = src.premium_active
     if require_active:
         prem = prem.filter(F.col("IsActive") == 1)
@@ -168,6 +171,22 @@ def order_aggregates_premium(src, years: int, as_of, require_active: bool = True
         (F.col("_m") * F.col("_mult")).alias("Monetary_dec"))
 
 
+def order_aggregates_non_premium(src, years: int, as_of,
+                                 na_policy: str = "propagate") -> DataFrame:
+    """Per-customer aggregates of the orders of customers absent from the
+    premium table: aggregate first, then the anti join at customer grain."""
+    from custseg.sources import extracts
+    o = extracts.valid_orders(src, as_of, years).select(
+        F.col(KEY), parse_date_key("DateOrdered_Key").alias("Date"),
+        F.col("`5_DB2`").alias("DB2"))
+    agg = o.groupBy(KEY).agg(
+        na_max("Date", na_policy).alias("last_date"),
+        na_min("Date", na_policy).alias("first_date"),
+        F.count(F.lit(1)).alias("Frequency"),
+        na_sum("DB2", na_policy).alias("Monetary_dec"))
+    return agg.join(src.premium_active.select(KEY), KEY, "left_anti")
+
+
 def features_from_aggregates(agg: DataFrame, reference: str | _dt.date = "frame",
                              na_policy: str = "propagate", metrics: list[str] | None = None
                              ) -> DataFrame:
