@@ -38,10 +38,22 @@ SCREE_FOLDS = 5
 AUTO_K_MAX = 10
 
 
+ROWS_PER_PARTITION = 500_000   # ~20-40 MB of feature rows per k-means task
+
+
+def partitions_for(spark, rows: int) -> int:
+    """Partition count for ``rows`` feature rows: enough tasks for the data,
+    never more than ``spark.sql.shuffle.partitions``, at least one."""
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(cap, -(-rows // ROWS_PER_PARTITION)))
+
+
 def prepare(df: DataFrame, partitions: int | None = None, key: str = KEY) -> DataFrame:
-    """Checkpoint the feature rows, range-partitioned and sorted by key."""
+    """Checkpoint the feature rows, range-partitioned and sorted by key.  The
+    partition count follows the data size (every k-means iteration launches
+    one task per partition)."""
     ensure_checkpoint_dir(df.sparkSession)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or partitions_for(df.sparkSession, df.count())
     laid = df.repartitionByRange(n, key).sortWithinPartitions(key) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     # the checkpoint is the recovery point; the in-memory copy serves the

@@ -106,9 +106,11 @@ def segment_clusters(features: DataFrame, cols: list[str], path: str | None = No
     norm.write.mode("overwrite").partitionBy("Segment").parquet(path)
     table = spark.read.parquet(path)
     segments = sorted(r["Segment"] for r in params.select("Segment").distinct().collect())
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = {r["Segment"]: r["n"] for r in
+             table.groupBy("Segment").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def fit_one(seg):
+        n_parts = clusters.partitions_for(spark, sizes.get(seg, 0))
         part = (table.filter(F.col("Segment") == seg)
                 .repartitionByRange(n_parts, KEY).sortWithinPartitions(KEY)
                 .persist(StorageLevel.MEMORY_AND_DISK))

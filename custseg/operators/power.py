@@ -121,8 +121,16 @@ def _cut(long: DataFrame) -> DataFrame:
     a lost executor re-reads the checkpoint instead of recomputing features."""
     from custseg.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(long.sparkSession)
+    from custseg.operators.clusters import partitions_for
     held = long.persist(StorageLevel.MEMORY_AND_DISK)
-    cut = held.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+    # size the partitions to the rows (the upstream aggregate may carry many
+    # near-empty shuffle partitions); coalesce merges them without a shuffle
+    parts = partitions_for(long.sparkSession, held.count())
+    if parts < held.rdd.getNumPartitions():
+        held2 = held.coalesce(parts)
+    else:
+        held2 = held
+    cut = held2.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
     held.unpersist()
     return cut
 
