@@ -162,26 +162,41 @@ def scoring_pipeline(cols: list[str], k: int, seed: int = clusters.SEED,
     ])
 
 
-def _pick_k(features: DataFrame, cols: list[str]) -> int:
-    _data, model = normalise_and_cluster(features, cols)
-    return model.k if model is not None else 2
+def fitted_pipeline(features: DataFrame, cols: list[str]) -> tuple[PipelineModel, list[int]]:
+    """Fit the transform and auto-k k-means once and assemble them into one
+    persistable ``PipelineModel`` (transform in place -> vector -> k-means),
+    plus the relabelling of Spark's cluster index to the 1-based id."""
+    params = {r["metric"]: r for r in power.fit_power_standardise(features, cols).collect()}
+    nan = float("nan")
+    scaler = power.YeoJohnsonScalerModel(
+        inputCols=cols, outputCols=cols,
+        lambdas=[nan if params[c]["lambda"] is None else params[c]["lambda"] for c in cols],
+        means=[nan if params[c]["mean"] is None else params[c]["mean"] for c in cols],
+        sds=[nan if params[c]["sd"] is None else params[c]["sd"] for c in cols])
+    data = clusters.prepare(scaler.transform(features.select(KEY, *cols)))
+    model, _ = clusters.auto_k(data, cols)
+    if model is None:                       # one cluster: k-means with k = 1 is trivial
+        model = clusters.fit_kmeans(data, cols, 2)
+        relabel = [1, 1]
+    else:
+        relabel = model.relabel
+    return PipelineModel(stages=[scaler, *model.model.stages]), relabel
 
 
 def train_save_score(spark: SparkSession, features: DataFrame, cols: list[str], path: str,
                      refit: bool = False) -> DataFrame:
-    """Train (k chosen by auto-k), save to ``path``, load it back and score.
-    ``refit=True`` re-fits the transform on the scoring data as the
+    """Train (transform + auto-k k-means), save to ``path``, load it back and
+    score.  ``refit=True`` re-fits the transform on the scoring data, as the
     reference's scoring script does; by default the saved transform is used."""
-    k = _pick_k(features, cols)
-    model = scoring_pipeline(cols, k).fit(features)
+    model, relabel = fitted_pipeline(features, cols)
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
     if refit:
-        scaler = power.YeoJohnsonScaler(inputCols=cols, outputCols=[f"z_{c}" for c in cols])
-        loaded = PipelineModel(stages=[scaler.fit(features), *loaded.stages[1:]])
-    out = loaded.transform(features)
-    return out.select(KEY, (F.col("prediction") + 1).cast("int").alias("Cluster"),
-                      *[F.col(f"z_{c}").alias(c) for c in cols])
+        fresh, _ = fitted_pipeline(features, cols)
+        loaded = PipelineModel(stages=[fresh.stages[0], *loaded.stages[1:]])
+    out = loaded.transform(features.select(KEY, *cols))
+    ids = F.element_at(F.array(*[F.lit(v) for v in relabel]), (F.col("prediction") + 1).cast("int"))
+    return out.select(KEY, ids.cast("int").alias("Cluster"), *cols)
 
 
 def model_roundtrip(spark: SparkSession, features: DataFrame, cols: list[str], path: str

@@ -24,3 +24,9 @@ def test_normalised_properties(spark):
     for c in ("RecencyDays", "Monetary", "Tenure", "Streaming"):
         m, s = z.agg(F.avg(c), F.stddev_samp(c)).collect()[0]
         assert abs(m) < 1e-5 and abs(s - 1) < 1e-5
+
+
+def test_saved_pipeline_scores_like_the_fit(spark):
+    a = {r["Customer_Key"]: r["Cluster"] for r in Q.kmeans_auto_k(spark, SF01).select("Customer_Key", "Cluster").collect()}
+    b = {r["Customer_Key"]: r["Cluster"] for r in Q.score_customers(spark, SF01).select("Customer_Key", "Cluster").collect()}
+    assert a == b and len(a) > 0
