@@ -125,12 +125,9 @@ def _cut(long: DataFrame) -> DataFrame:
     held = long.persist(StorageLevel.MEMORY_AND_DISK)
     # size the partitions to the rows (the upstream aggregate may carry many
     # near-empty shuffle partitions); coalesce merges them without a shuffle
+    # (coalesce never raises the partition count)
     parts = partitions_for(long.sparkSession, held.count())
-    if parts < held.rdd.getNumPartitions():
-        held2 = held.coalesce(parts)
-    else:
-        held2 = held
-    cut = held2.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+    cut = held.coalesce(parts).checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
     held.unpersist()
     return cut
 
