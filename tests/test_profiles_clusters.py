@@ -148,3 +148,13 @@ def test_zero_means_and_constant_columns_do_not_raise(spark):
     out = profiles.legacy_normalise(t2, ["RecencyDays", "Frequency", "Monetary", "Tenure"],
                                     ["Customer_Key"]).collect()
     assert all(r["Tenure"] is None for r in out) and len(out) == 2
+
+
+def test_n_init_keeps_lowest_sse(spark):
+    rnd = np.random.default_rng(8)
+    pts = rnd.normal(0, 1, (150, 3))
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "Customer_Key long, a double, b double, c double")
+    data = clusters.prepare(df)
+    one = [clusters.fit_kmeans(data, ["a", "b", "c"], 4, seed=s).cost for s in (42, 43, 44)]
+    best = clusters.fit_kmeans(data, ["a", "b", "c"], 4, seed=42, n_init=3).cost
+    assert best == min(one)
