@@ -30,12 +30,15 @@ from pyspark.sql import functions as F
 from custseg.session import ensure_checkpoint_dir
 
 KEY = "Customer_Key"
-SEED = 42
-DEFAULT_MAX_ITER = 10       # fixed value: default iteration cap of the reference's k-means
-SCREE_MAX_ITER = 25
-SCREE_K = 16
-SCREE_FOLDS = 5
-AUTO_K_MAX = 10
+SEED = 42                   # ours: the reference passes no seed
+
+# fixed values (must equal the reference's k-means calls):
+DEFAULT_MAX_ITER = 10       # default iteration cap of its k-means
+AUTO_K_MAX = 10             # k limit of the automatic-k model
+FIXED_K = 7                 # the fixed-k, standardised model
+SCREE_K = 16                # scree curve k = 1..16
+SCREE_FOLDS = 5             # 5-fold cross-validation
+SCREE_MAX_ITER = 25         # iteration cap of the scree fits
 
 
 ROWS_PER_PARTITION = 500_000   # ~20-40 MB of feature rows per k-means task

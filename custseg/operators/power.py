@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from custseg.functions.power import YJ_EPS, YJ_LIMITS, YJ_MIN_UNIQUE, yeo_johnson
 
-# fixed values of the search: grid steps in thousandths of λ, half-width of a
-# refinement window in steps, variance guard
+# search settings (ours, not the reference's): grid steps in thousandths of λ,
+# half-width of a refinement window in steps, variance guard
 _LEVELS = (100, 10, 1)          # λ step = level/1000
 _HALF = 10
 _VAR_GUARD = 1e-12

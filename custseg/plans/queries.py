@@ -348,7 +348,7 @@ def auto_k_curve(spark, sf):
 
 def kmeans_fixed_k(spark, sf):
     data = _prepared_rfmts(spark, sf)
-    model = clusters.fit_kmeans(data, RFMTS, 7, standardize=True)
+    model = clusters.fit_kmeans(data, RFMTS, clusters.FIXED_K, standardize=True)
     return model.predict(data, [KEY, *RFMTS])
 
 
