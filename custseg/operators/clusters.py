@@ -221,12 +221,16 @@ def scree_curve(df: DataFrame, cols: list[str], k_max: int = SCREE_K, folds: int
     fold = F.pmod(F.xxhash64(F.col(key)), F.lit(folds))
     tagged = df.withColumn("_fold", fold)
     jobs = [(k, f) for k in range(1, k_max + 1) for f in range(folds)]
+    # fold sizes once (folds rows), not one count per fit
+    sizes = {r["_fold"]: r["n"] for r in
+             tagged.groupBy("_fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(sizes.values())
 
     def run(job):
         k, f = job
         train = tagged.filter(F.col("_fold") != f)
         test = tagged.filter(F.col("_fold") == f)
-        n_train = train.count()
+        n_train = total - sizes.get(f, 0)
         if k == 1 or n_train < k:
             m = None if k == 1 else fit_kmeans(train, cols, max(1, min(k, n_train)), seed, max_iter)
         else:
