@@ -138,3 +138,17 @@ def test_two_segments_and_missing_segment(spark):
     got = sorted((r["Customer_Key"], r["Segment"]) for r in feat.features_by_segment(feats, segs).collect())
     # customer 1 appears once per segment (left_join semantics), 2 (NULL) and 3 (none) drop out
     assert got == [(1, "BTC"), (1, "X")]
+
+
+def test_table_sources_read_catalog_views(spark):
+    from custseg.sources import relations
+    fx = relations.fixture_sources(spark, "/root/testdata/sf0.001")
+    names = {}
+    for field in ("order_fact", "premium_active", "premium_subscribed", "reader_fact",
+                  "cltv_input", "churn_data"):
+        getattr(fx, field).createOrReplaceTempView(f"t_{field}")
+        names[field] = f"t_{field}"
+    src = relations.table_sources(spark, names)
+    a = sorted(map(tuple, extracts.orders_extract(src, 3).collect()))
+    b = sorted(map(tuple, extracts.orders_extract(fx, 3).collect()))
+    assert a == b and len(a) > 0
