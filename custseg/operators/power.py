@@ -65,15 +65,15 @@ def _loglik(cands: DataFrame, keys: list[str], stats: DataFrame) -> DataFrame:
 def yeo_johnson_lambdas(df: DataFrame, cols: list[str], group_cols: list[str] | tuple = (),
                         limits=YJ_LIMITS, min_unique: int = YJ_MIN_UNIQUE) -> DataFrame:
     """``group…, metric, lambda, loglik, n, n_distinct`` (λ NULL = untransformed)."""
-    long = _cut(to_long(df, cols, group_cols))
+    long, stats = _cut(to_long(df, cols, group_cols), [*group_cols, "metric"])
     try:
-        return _lambdas_long(long, list(group_cols), limits, min_unique)
+        return _lambdas_long(long, list(group_cols), limits, min_unique, stats)
     finally:
         long.unpersist()
 
 
 def _lambdas_long(long: DataFrame, group_cols: list[str], limits=YJ_LIMITS,
-                  min_unique: int = YJ_MIN_UNIQUE) -> DataFrame:
+                  min_unique: int = YJ_MIN_UNIQUE, stats: DataFrame | None = None) -> DataFrame:
     keys = [*group_cols, "metric"]
     held = []
 
@@ -82,11 +82,12 @@ def _lambdas_long(long: DataFrame, group_cols: list[str], limits=YJ_LIMITS,
         return held[-1]
 
     try:
-        stats = keep(long.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_distinct("x").alias("n_distinct"),
-            F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("const"),
-        ))
+        if stats is None:
+            stats = keep(long.groupBy(*keys).agg(
+                F.count(F.lit(1)).alias("n"),
+                F.count_distinct("x").alias("n_distinct"),
+                F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("const"),
+            ))
         small = stats.select(*keys, "n", "const")
         lo, hi = int(round(limits[0] * 1000)), int(round(limits[1] * 1000))
         grid = F.array(*[F.lit(v) for v in range(lo, hi + 1, _LEVELS[0])])
@@ -114,22 +115,31 @@ def _lambdas_long(long: DataFrame, group_cols: list[str], limits=YJ_LIMITS,
             frame.unpersist()
 
 
-def _cut(long: DataFrame) -> DataFrame:
+def _cut(long: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Persist the long frame and cut its lineage with a reliable checkpoint
     into the shared ``spark.checkpoint.dir``: every level of the search then
     plans against a plain scan instead of the whole upstream feature plan, and
-    a lost executor re-reads the checkpoint instead of recomputing features."""
+    a lost executor re-reads the checkpoint instead of recomputing features.
+
+    Also returns the per-(group, metric) statistics of the search (row count,
+    distinct values, Σ sign(x)·ln(|x|+1)) as a small local table; their row
+    counts size the partitions of the checkpoint."""
+    from custseg.operators.clusters import partitions_for
     from custseg.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(long.sparkSession)
-    from custseg.operators.clusters import partitions_for
     held = long.persist(StorageLevel.MEMORY_AND_DISK)
+    stats = _small_table(held.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("x").alias("n_distinct"),
+        F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("const")))
+    rows = sum(r["n"] for r in stats.select("n").collect())
     # size the partitions to the rows (the upstream aggregate may carry many
     # near-empty shuffle partitions); coalesce merges them without a shuffle
-    # (coalesce never raises the partition count)
-    parts = partitions_for(long.sparkSession, held.count())
+    # and never raises the partition count
+    parts = partitions_for(long.sparkSession, rows)
     cut = held.coalesce(parts).checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
     held.unpersist()
-    return cut
+    return cut, stats
 
 
 def _small_table(df: DataFrame) -> DataFrame:
@@ -154,10 +164,10 @@ def fit_power_standardise(df: DataFrame, cols: list[str], group_cols: list[str]
     long frame is built once and shared by both passes."""
     group_cols = list(group_cols)
     keys = [*group_cols, "metric"]
-    long = _cut(to_long(df, cols, group_cols))
+    long, stats = _cut(to_long(df, cols, group_cols), keys)
     try:
         if power:
-            lam = _lambdas_long(long, group_cols).select(*keys, "lambda")
+            lam = _lambdas_long(long, group_cols, stats=stats).select(*keys, "lambda")
         else:
             lam = _small_table(long.select(*keys).distinct()
                                .withColumn("lambda", F.lit(None).cast("double")))
