@@ -89,7 +89,10 @@ def segment_lookup(src: Sources, segment: str | None = None) -> DataFrame:
     s = src.cltv_input.select("Customer_Key", "Segment")
     if segment is not None:
         s = s.filter(F.col("Segment") == segment)
-    return s.distinct()
+    # hash on the key alone: it satisfies the distinct (key, Segment) and is
+    # the partitioning every later join on Customer_Key needs (one shuffle
+    # instead of one for the distinct and one more for the join)
+    return s.repartition("Customer_Key").distinct()
 
 
 def churn_labels(src: Sources) -> DataFrame:
