@@ -8,12 +8,6 @@ long stream at multiples of ``length``: every document yields a piece per
 window that it touches, and pieces at a window's edge are the boundary records
 that join neighbouring partitions.  Only the very last window is not full.
 
-Tokenising.  The vocabulary works on pre-tokens (``PATTERN``), so the ids of a
-text are the ids of its pre-tokens one after another.  A task keeps the ids of
-the pre-tokens it has met (at most ``CACHE_WORDS``, then it starts afresh) and
-sends only new ones to the tokenizer; a text holding one of the vocabulary's
-special strings goes to the tokenizer whole.
-
 Cases: null and empty text hold the end id alone; a document of any length is
 cut into as many pieces as it needs; rows with equal or null id are packed
 each; an empty table gives no piece.  Only id and text are read.
@@ -22,7 +16,9 @@ each; an empty table gives no piece.  Only id and text are read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +30,6 @@ from custseg.llm.common import saved
 
 LENGTH = 2048
 END_ID = 1
-CACHE_WORDS = 400_000
 FLUSH_BYTES = 8 << 20
 
 _TOKENS = ("doc_id long, _part int, _start long, doc_tokens long, _ids binary")
@@ -42,50 +37,48 @@ _PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens lon
            "sequence_id long, offset long, ids binary")
 
 
-class CachedTokenizer:
-    """Ids of whole texts from cached ids of their pre-tokens."""
+class Ids:
+    """Ids of texts, as 32-bit integers, by a tokenizer file.
+
+    ``ranks`` is the same vocabulary as a rank file: it gives the same ids
+    several times faster (the tests compare them).  A text that holds one of
+    the special strings is always left to the tokenizer file.
+    """
 
-    def __init__(self, path: str, pattern: str, cache_words: int = CACHE_WORDS):
-        import regex
+    def __init__(self, path: str, pattern: str, ranks: str | None = None):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.find = regex.compile(pattern).findall
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.limit = cache_words
-        self.cache: dict[str, bytes] = {}
-
-    def _bytes(self, ids) -> bytes:
-        return np.asarray(ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self._bytes(self.tok.encode(text, add_special_tokens=False).ids)
-        words = self.find(text)
-        cache = self.cache
-        new = [w for w in set(words) if w not in cache]
-        if new:
-            if len(cache) + len(new) > self.limit:
-                cache.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-                cache[w] = self._bytes(e.ids)
-        return b"".join([cache[w] for w in words])
-
-
-def tokenised(docs: DataFrame, path: str, pattern: str, end_id: int = END_ID,
-              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        self.fast = None
+        if ranks:
+            import base64
+            import tiktoken
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=table,
+                                          special_tokens={}).encode_ordinary
+
+    def __call__(self, text: str) -> array:
+        if self.fast and not any(s in text for s in self.special):
+            return array("I", self.fast(text))
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids)
+
+
+@lru_cache(maxsize=2)
+def _ids(path: str, pattern: str, ranks: str | None) -> Ids:
+    """One per Python worker."""
+    return Ids(path, pattern, ranks)
+
+
+def tokenised(docs: DataFrame, path: str, pattern: str, ranks: str | None = None,
+              end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, _part, _start, doc_tokens, _ids``: ids as little-endian integers
     (two bytes each where the vocabulary allows), written once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok = CachedTokenizer(path, pattern)
+        tok = _ids(path, pattern, ranks)
         narrow = max(tok.tok.get_vocab_size(), end_id + 1) <= 1 << 16
         part, place = TaskContext.get().partitionId(), 0
-        end = np.asarray([end_id], "<u4").tobytes()
         ids, starts, counts, packed, held = [], [], [], [], 0
 
         def flush():
@@ -97,10 +90,10 @@ def tokenised(docs: DataFrame, path: str, pattern: str, end_id: int = END_ID,
 
         for b in batches:
             for doc_id, text in zip(b.column(0), b.column(1)):
-                got = tok.encode(text.as_py() or "") + end
-                n = len(got) // 4
-                if narrow:
-                    got = np.frombuffer(got, "<u4").astype("<u2").tobytes()
+                got = tok(text.as_py() or "")
+                got.append(end_id)
+                n = len(got)
+                got = (np.asarray(got, "<u2") if narrow else np.asarray(got, "<u4")).tobytes()
                 ids.append(doc_id.as_py())
                 starts.append(place)
                 counts.append(n)
@@ -118,11 +111,11 @@ def tokenised(docs: DataFrame, path: str, pattern: str, end_id: int = END_ID,
     return saved(rows.mapInArrow(encode, _TOKENS), "pack-tokens")
 
 
-def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, end_id: int = END_ID,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, ranks: str | None = None,
+         length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     ids (little-endian unsigned 32-bit)."""
-    tokens = tokenised(docs, path, pattern, end_id, id_col, text_col)
+    tokens = tokenised(docs, path, pattern, ranks, end_id, id_col, text_col)
     # one row per partition of pass 1: bounded by the number of tasks, not by the data
     totals = tokens.groupBy("_part").agg(F.sum("doc_tokens").alias("_sum"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

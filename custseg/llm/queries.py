@@ -9,22 +9,38 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from custseg.llm import mixing, packing
+from custseg.llm import ann, langid, maxscore, mixing, packing
 from custseg.llm.common import table
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN,
+                        public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"),
-                        public_tokenizers.path("byte_bpe_50k.json"),
-                        public_tokenizers.PATTERN).drop("ids")
+    return packed(table(spark, sf_dir, "documents")).drop("ids")
+
+
+def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op5_source_mixing, op6_packing)}
+    return {f.__name__: f for f in (
+        op3_nearest_neighbours, op5_source_mixing, op6_packing, op7_maxscore, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
