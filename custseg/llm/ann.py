@@ -4,7 +4,7 @@ Every vector (scaled to length 1) is projected on ``PROJECTIONS`` fixed random
 directions.  A block keeps, per direction, its rows sorted by their projection:
 the index is those sorted arrays, built once and written.
 
-A query centres a window of half-width h on its own projection in every sorted
+A query centres a window of half-width ``START`` on its own projection in every sorted
 array; a row inside a window collides once.  Virtual rehashing widens all
 windows step by step (``GROWTH``) by reading only the new flanks on both sides.
 Rows that collide in at least ``THRESHOLD`` of the directions are candidates;
@@ -34,8 +34,8 @@ TOP = 5
 EVERY = 50
 PROJECTIONS = 192
 THRESHOLD = 0.75
-START = 0.55
-GROWTH = 1.12
+START = 1.3
+GROWTH = 1.06
 SHARE = 0.05
 LEAST = 200
 SEED = 20240131
@@ -89,27 +89,34 @@ def _collide(values: np.ndarray, order: np.ndarray, centre: np.ndarray, n: int,
     """Rows per query that reach the collision threshold, by growing windows."""
     m, nq = centre.shape
     need = int(np.ceil(THRESHOLD * m))
-    count = np.zeros((nq, n), np.uint8 if m < 256 else np.uint16)
+    lo = np.stack([np.searchsorted(values[j], centre[j] - START) for j in range(m)])
+    hi = np.stack([np.searchsorted(values[j], centre[j] + START, side="right") for j in range(m)])
+    # the first window holds most of an array: take off what lies outside it
+    count = np.full((nq, n), m, np.int16)
+    for i in range(nq):
+        own = count[i]
+        for j in range(m):
+            own[order[j, :lo[j, i]]] -= 1
+            own[order[j, hi[j, i]:]] -= 1
     flat = count.reshape(-1)
-    lo = np.stack([np.searchsorted(values[j], centre[j]) for j in range(m)])
-    hi = lo.copy()
     live, h = np.arange(nq), START
-    while len(live):
+    while True:
+        full = ((count[live] >= need).sum(1) >= quota) | ((hi[:, live] - lo[:, live]) >= n).all(0)
+        live = live[~full]
+        if not len(live):
+            return count >= need
+        h *= GROWTH
         for j in range(m):
             c = centre[j, live]
             new_lo = np.searchsorted(values[j], c - h)
             new_hi = np.searchsorted(values[j], c + h, side="right")
             for a, b in ((new_lo, lo[j, live]), (hi[j, live], new_hi)):      # the two flanks
-                size = np.maximum(b - a, 0)
-                if not size.any():
-                    continue
-                at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                flat[np.repeat(live * n, size) + order[j][at]] += 1
-            lo[j, live], hi[j, live] = np.minimum(new_lo, lo[j, live]), np.maximum(new_hi, hi[j, live])
-        done = ((count[live] >= need).sum(1) >= quota) | ((hi[:, live] - lo[:, live]) >= n).all(0)
-        live = live[~done]
-        h *= GROWTH
-    return count >= need
+                size = b - a
+                total = int(size.sum())
+                if total:
+                    at = np.arange(total) + np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+                    flat[np.repeat(live * n, size) + order[j][at]] += 1
+            lo[j, live], hi[j, live] = new_lo, new_hi
 
 
 def nearest(candidates: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
