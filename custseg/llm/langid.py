@@ -103,10 +103,12 @@ def fit(train: DataFrame, order: Column, per_lang: int = SAMPLE_PER_LANG, landma
     them in expectation, so the sample is bounded whatever the table's size."""
     rows = train.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"),
                         order.alias("_o")).filter("lang is not null and text is not null")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    share = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("_n"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).collect()   # a row per language
+    if not counts:
+        return None
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_lang / r["_n"]))])
     unit = F.pmod(F.col("_o"), F.lit(1 << 40)) / float(1 << 40)
-    got = _bitmaps(rows.join(counts, "lang").filter(unit < share).select("lang", "text")).collect()
+    got = _bitmaps(rows.filter(unit < share[F.col("lang")]).select("lang", "text")).collect()
     got = sorted(((r["lang"], bytes(r["bits"])) for r in got))
     if not got:
         return None
