@@ -53,7 +53,7 @@ from custseg.llm.common import CHUNK_BYTES, runs_of, saved, seeds, utf8
 
 LENGTH = 200
 GRAM = 32
-HOT = 4096                       # runs of one gram handled together in a task
+HOT = 1024                       # runs of one gram handled together in a task
 SHIFT = 1 << 16
 
 U = np.uint64
