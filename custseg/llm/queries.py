@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custseg.llm import ann, chat, langid, maxscore, minhash, mixing, packing, suffix_dedup, warc
+from custseg.llm import ann, chat, langid, maxscore, minhash, mixing, packing, quality, suffix_dedup, warc
 from custseg.llm.common import table
 from custseg.llm.oracles import ORACLES
 
@@ -27,6 +27,10 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     return {f.__name__: f for f in (
-        op1_repeated_passages, op2_near_duplicates, op3_nearest_neighbours, op5_source_mixing, op6_packing, op7_maxscore,
+        op1_repeated_passages, op2_near_duplicates, op3_nearest_neighbours, op4_quality, op5_source_mixing, op6_packing, op7_maxscore,
         op8_chat_tree, op9_revisits, op10_language_id)}
 
 

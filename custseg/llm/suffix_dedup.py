@@ -260,7 +260,7 @@ def _repeated_windows(length: int):
     return scan
 
 
-def _cut(length: int, text_col: str, names: list[str], id_first: bool):
+def _cut(length: int, names: list[str], as_text: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = utf8(b.column("_sd_text"))
@@ -287,20 +287,21 @@ def _cut(length: int, text_col: str, names: list[str], id_first: bool):
                     n_spans.append(0)
                 raw = text.tobytes()
                 sha.append(hashlib.sha256(raw).hexdigest())
-                kept.append(raw)
+                kept.append(raw.decode("utf-8", "ignore") if as_text else raw)
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(c) for c in names], pa.array(np.diff(off), pa.int64()),
                  pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()),
-                 pa.array(sha, pa.string()), pa.array(kept, pa.binary())],
+                 pa.array(sha, pa.string()), pa.array(kept, pa.string() if as_text else pa.binary())],
                 names=[*[f"c{i}" for i in range(len(names))], "n_bytes", "n_removed", "n_spans",
                        "kept_sha256", "kept"])
     return scan
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
-                   text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+                   text_col: str = "text", keep: list[str] | None = None,
+                   as_text: bool = False) -> DataFrame:
     """Columns ``keep`` of ``docs`` (default: the id), then n_bytes, n_removed, n_spans,
-    kept_sha256 and kept (binary: the remaining bytes)."""
+    kept_sha256 and kept (the remaining bytes, or ``as_text`` as a string)."""
     keep = [id_col] if keep is None else keep
     key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     short = docs.select(key.alias("k"), F.col(f"`{text_col}`").alias("_sd_text"))
@@ -351,10 +352,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     out = T.StructType([*[T.StructField(f"c{i}", t) for i, t in enumerate(types)],
                         T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
                         T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()),
-                        T.StructField("kept", T.BinaryType())])
+                        T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     got = placed.join(per_doc, F.col("_sd_k") == F.col("_k"), "left") \
         .select("_sd_k", "_sd_text", *names, "spans") \
-        .mapInArrow(_cut(length, text_col, names, True), out)
+        .mapInArrow(_cut(length, names, as_text), out)
     return got.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "n_removed",
                       "n_spans", "kept_sha256", "kept")
 
@@ -362,7 +363,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 def without_repeats(docs: DataFrame, **kw) -> DataFrame:
     """``docs`` with the repeated passages cut from the text (all rows stay)."""
     text = kw.get("text_col", "text")
-    got = remove_repeats(docs, keep=docs.columns, **kw)
-    cut = F.when(F.col(f"`{text}`").isNull(), F.lit(None)).when(
-        F.col("n_removed") == 0, F.col(f"`{text}`")).otherwise(F.try_validate_utf8(F.col("kept").cast("string")))
+    got = remove_repeats(docs, keep=docs.columns, as_text=True, **kw)
+    cut = F.when(F.col(f"`{text}`").isNotNull(), F.col("_sd_kept"))
+    got = got.toDF(*docs.columns, "_sd_bytes", "_sd_removed", "_sd_spans", "_sd_sha", "_sd_kept")
     return got.select(*[(cut if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns])
