@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +45,9 @@ ROWS_PER_PARTITION = 500_000   # ~20-40 MB of feature rows per k-means task
 
 
 def partitions_for(spark, rows: int) -> int:
-    """Partition count for ``rows`` feature rows: enough tasks for the data,
-    never more than ``spark.sql.shuffle.partitions``, at least one."""
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(cap, -(-rows // ROWS_PER_PARTITION)))
+    """Default partition count for ``rows`` feature rows; it follows the data
+    alone, not the session's settings.  ``prepare`` takes an explicit count."""
+    return max(1, -(-rows // ROWS_PER_PARTITION))
 
 
 def prepare(df: DataFrame, partitions: int | None = None, key: str = KEY) -> DataFrame:
@@ -76,6 +75,7 @@ class Clustering:
     cols: list[str]
     relabel: list[int]          # relabel[spark_prediction] = 1-based cluster id
     cost: float
+    only: list[float] | None = None     # the centre of a one-cluster model
 
     @property
     def k(self) -> int:
@@ -83,10 +83,13 @@ class Clustering:
 
     def centers(self) -> list[list[float]]:
         """Centroids in input units (standardisation undone), ordered by id."""
+        if self.only is not None:
+            return [self.only]
         km = self.model.stages[-1]
         centers = [list(map(float, c)) for c in km.clusterCenters()]
-        if len(self.model.stages) == 3:           # assembler, scaler, kmeans
-            sc = self.model.stages[1]
+        scaler = [s for s in self.model.stages if isinstance(s, StandardScalerModel)]
+        if scaler:
+            sc = scaler[0]
             mean, std = sc.mean.toArray(), sc.std.toArray()
             centers = [[v * (s if s else 1.0) + m for v, m, s in zip(c, mean, std)] for c in centers]
         out = [None] * len(centers)
@@ -105,17 +108,36 @@ class Clustering:
         return out.select(*keep, self.cluster_column(F.col("prediction")).alias("Cluster"))
 
 
-def _pipeline(cols, k, seed, max_iter, standardize) -> Pipeline:
-    stages = [VectorAssembler(inputCols=cols, outputCol="_raw", handleInvalid="skip")]
-    if standardize:
-        stages.append(StandardScaler(inputCol="_raw", outputCol="_features",
-                                     withMean=True, withStd=True))
-        feat = "_features"
-    else:
-        feat = "_raw"
-    stages.append(KMeans(featuresCol=feat, k=k, seed=seed, maxIter=max_iter,
-                         predictionCol="prediction"))
-    return Pipeline(stages=stages)
+def fill_stage(df: DataFrame, cols: list[str]) -> SQLTransformer:
+    """Copies ``_f_<col>`` of the metrics with NULL and NaN replaced by the column's
+    mean (0 where it has none), so that every customer keeps its row; a missing
+    metric then adds nothing to the distance within the column."""
+    row = df.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c)
+                   for c in cols]).collect()[0]
+    filled = ", ".join(
+        f"coalesce(nanvl(double(`{c}`), double(NULL)), {float(row[c] or 0.0)!r}D) AS `_f_{c}`" for c in cols)
+    return SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
+
+
+def _vector_stages(df: DataFrame, cols: list[str]) -> list:
+    return [fill_stage(df, cols),
+            VectorAssembler(inputCols=[f"_f_{c}" for c in cols], outputCol="_raw")]
+
+
+def assembled_rows(df: DataFrame, cols: list[str]) -> DataFrame:
+    out = df
+    for stage in _vector_stages(df, cols):
+        out = stage.transform(out)
+    return out
+
+
+def one_cluster(df: DataFrame, cols: list[str], cost: float) -> Clustering:
+    """The k = 1 model: everybody in cluster 1, the column means as its centre."""
+    row = df.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c)
+                   for c in cols]).collect()[0]
+    stage = SQLTransformer(statement="SELECT *, 0 AS prediction FROM __THIS__")
+    return Clustering(PipelineModel(stages=[stage]), cols, [1], cost,
+                      [float(row[c] or 0.0) for c in cols])
 
 
 def _relabel(centers: list[list[float]], cols: list[str]) -> list[int]:
@@ -128,10 +150,6 @@ def _relabel(centers: list[list[float]], cols: list[str]) -> list[int]:
     return relabel
 
 
-def _assembler(cols: list[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=cols, outputCol="_raw", handleInvalid="skip")
-
-
 def fit_kmeans(df: DataFrame, cols: list[str], k: int, seed: int = SEED,
                max_iter: int = DEFAULT_MAX_ITER, standardize: bool = False,
                assembled: DataFrame | None = None, n_init: int = 1) -> Clustering:
@@ -144,12 +162,16 @@ def fit_kmeans(df: DataFrame, cols: list[str], k: int, seed: int = SEED,
                 for i in range(n_init)]
         return min(fits, key=lambda m: m.cost)
     if standardize:
-        model = _pipeline(cols, k, seed, max_iter, standardize).fit(df)
+        model = Pipeline(stages=[
+            *_vector_stages(df, cols),
+            StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True),
+            KMeans(featuresCol="_features", k=k, seed=seed, maxIter=max_iter,
+                   predictionCol="prediction")]).fit(df)
     else:
-        data = assembled if assembled is not None else _assembler(cols).transform(df)
+        data = assembled if assembled is not None else assembled_rows(df, cols)
         km = KMeans(featuresCol="_raw", k=k, seed=seed, maxIter=max_iter,
                     predictionCol="prediction").fit(data)
-        model = PipelineModel(stages=[_assembler(cols), km])
+        model = PipelineModel(stages=[*_vector_stages(df, cols), km])
     km = model.stages[-1]
     centers = [list(map(float, c)) for c in km.clusterCenters()]
     return Clustering(model, cols, _relabel(centers, cols), float(km.summary.trainingCost))
@@ -164,17 +186,17 @@ def total_ss(df: DataFrame, cols: list[str]) -> float:
 
 def auto_k(df: DataFrame, cols: list[str], k_max: int = AUTO_K_MAX, seed: int = SEED,
            max_iter: int = DEFAULT_MAX_ITER, n_init: int = 1
-           ) -> tuple[Clustering | None, list[tuple[int, float]]]:
+           ) -> tuple[Clustering, list[tuple[int, float]]]:
     """Grow k from 1; keep k while the relative SSE drop stays at or above
-    ``min(0.02 + 10/n + 2.5/p², 0.8)``.  Returns the chosen model (None when
-    k = 1) and the (k, SSE) curve that was evaluated."""
+    ``min(0.02 + 10/n + 2.5/p², 0.8)``.  Returns the chosen model (one centre
+    when k = 1) and the (k, SSE) curve that was evaluated."""
     n = df.count()
     p = len(cols)
     cutoff = min(0.02 + 10.0 / max(n, 1) + 2.5 / (p * p), 0.8)
     prev = total_ss(df, cols)
     curve = [(1, prev)]
-    best = None
-    assembled = _assembler(cols).transform(df).persist(StorageLevel.MEMORY_AND_DISK)
+    best = one_cluster(df, cols, prev)
+    assembled = assembled_rows(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for k in range(2, min(k_max, n) + 1):
             m = fit_kmeans(df, cols, k, seed, max_iter, assembled=assembled, n_init=n_init)

@@ -15,24 +15,23 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custseg.operators import clusters, power, profiles
 from custseg.operators import features as feat
-from custseg.sources import extracts, relations
+from custseg.sources import extracts
 
 KEY = "Customer_Key"
 
 
-def premium_cohort_features(src, segment: str = "BTC") -> DataFrame:
+def premium_cohort_features(src, as_of, segment: str = "BTC") -> DataFrame:
     """RFM per customer for the premium cohort (any IsActive) and the
     non-premium cohort, each with its own reference date (max of the cohort,
     before the segment filter), restricted to ``segment``; long by cohort."""
     seg = extracts.segment_lookup(src)
     out = None
-    as_of = relations.ORDERS_AS_OF
     cohorts_ = (("premium", feat.order_aggregates_premium(src, 1, as_of, require_active=False)),
                 ("non_premium", feat.order_aggregates_non_premium(src, 1, as_of)))
     for name, agg in cohorts_:
@@ -46,8 +45,6 @@ def premium_cohort_features(src, segment: str = "BTC") -> DataFrame:
 
 def centroid_table(spark: SparkSession, model, cols: list[str]) -> DataFrame:
     """Centroids in long form: ``Cluster, metric, metric_order, value``."""
-    if model is None:
-        return spark.createDataFrame([], "Cluster int, metric string, metric_order int, value double")
     rows = [(i + 1, c, profiles.METRIC_ORDER.get(c), float(v))
             for i, centre in enumerate(model.centers()) for c, v in zip(cols, centre)]
     return spark.createDataFrame(rows, "Cluster int, metric string, metric_order int, value double")
@@ -55,7 +52,7 @@ def centroid_table(spark: SparkSession, model, cols: list[str]) -> DataFrame:
 
 def normalise_and_cluster(features: DataFrame, cols: list[str], keep: list[str] | None = None):
     """Fit the transform on ``features`` itself, then auto-k k-means.
-    Returns (prepared normalised rows, Clustering or None)."""
+    Returns (prepared normalised rows, Clustering)."""
     keep = keep or [KEY]
     params = power.fit_power_standardise(features, cols)
     norm = power.apply_power_standardise(features.select(*keep, *cols), params, cols)
@@ -69,8 +66,6 @@ def best_cluster_members(features: DataFrame, cols: list[str],
     """Raw features of the members of the best cluster (id 1 after the
     deterministic relabelling, or ``cluster_id``)."""
     data, model = normalise_and_cluster(features, cols)
-    if model is None:
-        return features
     pred = model.predict(data, [KEY])
     target = 1 if cluster_id is None else cluster_id
     members = pred.filter(F.col("Cluster") == target).select(KEY)
@@ -82,8 +77,6 @@ def nested_clusters(features: DataFrame, cols: list[str]) -> DataFrame:
     re-fitted on the members, then auto-k again.  ``Customer_Key, Cluster``."""
     members = best_cluster_members(features, cols)
     data, model = normalise_and_cluster(members, cols)
-    if model is None:
-        return data.select(KEY, F.lit(1).alias("Cluster"))
     return model.predict(data, [KEY, *cols])
 
 
@@ -121,8 +114,7 @@ def segment_clusters(features: DataFrame, cols: list[str], path: str | None = No
         # the model is fixed, so predictions recompute identically from the
         # written table after the cached copy is released
         src = table.filter(F.col("Segment") == seg)
-        return model.predict(src, ["Segment", KEY, *cols]) if model else \
-            src.select("Segment", KEY, *cols, F.lit(1).alias("Cluster"))
+        return model.predict(src, ["Segment", KEY, *cols])
 
     # independent segments: fit a few at a time (each fit is itself distributed)
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(segments)))) as pool:
@@ -133,10 +125,10 @@ def segment_clusters(features: DataFrame, cols: list[str], path: str | None = No
     return out
 
 
-def cohort_comparison(spark: SparkSession, src, segment: str = "BTC") -> DataFrame:
+def cohort_comparison(spark: SparkSession, src, as_of, segment: str = "BTC") -> DataFrame:
     """Premium vs non-premium: RFM normalised per cohort, auto-k per cohort,
     centroid profiles side by side (``cohort, Cluster, metric, …``)."""
-    feats = premium_cohort_features(src, segment).persist(StorageLevel.MEMORY_AND_DISK)
+    feats = premium_cohort_features(src, as_of, segment).persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(name):
         f = feats.filter(F.col("cohort") == name)
@@ -156,16 +148,18 @@ def scoring_pipeline(cols: list[str], k: int, seed: int = clusters.SEED,
     and SDs are saved with the centroids)."""
     return Pipeline(stages=[
         power.YeoJohnsonScaler(inputCols=cols, outputCols=[f"z_{c}" for c in cols]),
-        VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="_features",
-                        handleInvalid="skip"),
+        # a missing metric takes the standardised mean: every customer is scored
+        SQLTransformer(statement="SELECT *, " + ", ".join(
+            f"coalesce(nanvl(`z_{c}`, double(NULL)), 0D) AS `_f_{c}`" for c in cols) + " FROM __THIS__"),
+        VectorAssembler(inputCols=[f"_f_{c}" for c in cols], outputCol="_features"),
         KMeans(featuresCol="_features", k=k, seed=seed, maxIter=max_iter),
     ])
 
 
-def fitted_pipeline(features: DataFrame, cols: list[str]) -> tuple[PipelineModel, list[int]]:
+def fitted_pipeline(features: DataFrame, cols: list[str]) -> PipelineModel:
     """Fit the transform and auto-k k-means once and assemble them into one
-    persistable ``PipelineModel`` (transform in place -> vector -> k-means),
-    plus the relabelling of Spark's cluster index to the 1-based id."""
+    persistable ``PipelineModel``: transform in place, fill missing metrics,
+    vector, k-means, and the 1-based relabelled ``Cluster``."""
     params = {r["metric"]: r for r in power.fit_power_standardise(features, cols).collect()}
     nan = float("nan")
     scaler = power.YeoJohnsonScalerModel(
@@ -175,28 +169,32 @@ def fitted_pipeline(features: DataFrame, cols: list[str]) -> tuple[PipelineModel
         sds=[nan if params[c]["sd"] is None else params[c]["sd"] for c in cols])
     data = clusters.prepare(scaler.transform(features.select(KEY, *cols)))
     model, _ = clusters.auto_k(data, cols)
-    if model is None:                       # one cluster: k-means with k = 1 is trivial
-        model = clusters.fit_kmeans(data, cols, 2)
-        relabel = [1, 1]
-    else:
-        relabel = model.relabel
-    return PipelineModel(stages=[scaler, *model.model.stages]), relabel
+    ids = ", ".join(str(v) for v in model.relabel)
+    label = SQLTransformer(
+        statement=f"SELECT *, element_at(array({ids}), int(prediction) + 1) AS Cluster FROM __THIS__")
+    return PipelineModel(stages=[scaler, *model.model.stages, label])
+
+
+def train(features: DataFrame, cols: list[str], path: str) -> None:
+    """Fit on ``features`` and save the whole scoring pipeline to ``path``."""
+    fitted_pipeline(features, cols).write().overwrite().save(path)
+
+
+def score(path: str, features: DataFrame, cols: list[str], refit: bool = False) -> DataFrame:
+    """Score ``features`` with the pipeline stored at ``path``, in any session: one
+    row per customer, ``Customer_Key, Cluster, metrics``.  ``refit=True`` re-fits
+    the transform on the scoring data, as the reference's scoring script does."""
+    model = PipelineModel.load(path)
+    if refit:
+        model = PipelineModel(stages=[fitted_pipeline(features, cols).stages[0], *model.stages[1:]])
+    return model.transform(features.select(KEY, *cols)).select(KEY, F.col("Cluster").cast("int"), *cols)
 
 
 def train_save_score(spark: SparkSession, features: DataFrame, cols: list[str], path: str,
                      refit: bool = False) -> DataFrame:
-    """Train (transform + auto-k k-means), save to ``path``, load it back and
-    score.  ``refit=True`` re-fits the transform on the scoring data, as the
-    reference's scoring script does; by default the saved transform is used."""
-    model, relabel = fitted_pipeline(features, cols)
-    model.write().overwrite().save(path)
-    loaded = PipelineModel.load(path)
-    if refit:
-        fresh, _ = fitted_pipeline(features, cols)
-        loaded = PipelineModel(stages=[fresh.stages[0], *loaded.stages[1:]])
-    out = loaded.transform(features.select(KEY, *cols))
-    ids = F.element_at(F.array(*[F.lit(v) for v in relabel]), (F.col("prediction") + 1).cast("int"))
-    return out.select(KEY, ids.cast("int").alias("Cluster"), *cols)
+    """Train, save to ``path``, load it back and score the same customers."""
+    train(features, cols, path)
+    return score(path, features, cols, refit)
 
 
 def model_roundtrip(spark: SparkSession, features: DataFrame, cols: list[str], path: str

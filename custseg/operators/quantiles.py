@@ -9,7 +9,9 @@ single partition.  Here the same numbers come from three bounded steps:
    shared by a third of all customers is split across partitions;
 2. inside each sorted partition the row index comes from
    ``monotonically_increasing_id`` (partition id in the upper bits, row number
-   in the lower 33 bits);
+   in the lower 33 bits).  The laid-out rows are written once: their ids belong
+   to one layout, and offsets and ranks must come from the same one (a plan
+   that is read twice would sample its range bounds twice);
 3. a table with one row per (metric, partition) -- its size is bounded by the
    partition count, never by the data -- gives each partition its offset and
    each metric its row count; it is broadcast back, and the bucket follows
@@ -25,6 +27,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from custseg.session import written
+
 _ROW_BITS = 33  # documented layout of monotonically_increasing_id
 
 
@@ -60,6 +64,7 @@ def global_rank(df: DataFrame, part_cols: list[str], value: str, tiebreak: str)
               .withColumn("_p", F.shiftright("_id", _ROW_BITS))
               .withColumn("_i", F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
               .drop("_id"))
+    ranged = written(ranged, "rank")
     per_part = ranged.groupBy(*part_cols, "_p").agg(F.count(F.lit(1)).alias("_c"),
                                                     F.min("_i").alias("_start"))
     w = Window.partitionBy(*part_cols).orderBy("_p")

@@ -34,7 +34,8 @@ def _src(spark, sf):
 
 
 def _lines(spark, sf, years):
-    return feat.order_lines(extracts.orders_extract(_src(spark, sf), years=years))
+    return feat.order_lines(extracts.orders_extract(
+        _src(spark, sf), years, relations.ORDERS_AS_OF))
 
 
 def features_3y(spark, sf):
@@ -48,13 +49,13 @@ def tiers_3y(spark, sf):
 def rfmts_btc(spark, sf, reference="cohort"):
     src = _src(spark, sf)
     return feat.premium_features(src, 1, relations.ORDERS_AS_OF, "BTC", reference,
-                                 extracts.streaming_counts(src), extracts.segment_lookup(src))
+                                 extracts.streaming_counts(src, 1, relations.READER_AS_OF), extracts.segment_lookup(src))
 
 
 def rfmts_all_segments(spark, sf):
     src = _src(spark, sf)
     base = feat.premium_features(src, 1, relations.ORDERS_AS_OF, None, "all",
-                                 extracts.streaming_counts(src))
+                                 extracts.streaming_counts(src, 1, relations.READER_AS_OF))
     return feat.features_by_segment(base, extracts.segment_lookup(src))
 
 
@@ -82,23 +83,23 @@ def source_orders(spark, sf):
 
 
 def orders_active_premium_3y(spark, sf):
-    return extracts.orders_extract(_src(spark, sf), years=3)
+    return extracts.orders_extract(_src(spark, sf), 3, relations.ORDERS_AS_OF)
 
 
 def orders_active_premium_1y(spark, sf):
-    return extracts.orders_extract(_src(spark, sf), years=1)
+    return extracts.orders_extract(_src(spark, sf), 1, relations.ORDERS_AS_OF)
 
 
 def orders_premium_any(spark, sf):
-    return extracts.orders_extract(_src(spark, sf), years=1, require_active=False)
+    return extracts.orders_extract(_src(spark, sf), 1, relations.ORDERS_AS_OF, require_active=False)
 
 
 def orders_non_premium(spark, sf):
-    return extracts.orders_non_premium(_src(spark, sf), years=1)
+    return extracts.orders_non_premium(_src(spark, sf), 1, relations.ORDERS_AS_OF)
 
 
 def streaming_counts(spark, sf):
-    return extracts.streaming_counts(_src(spark, sf))
+    return extracts.streaming_counts(_src(spark, sf), 1, relations.READER_AS_OF)
 
 
 def segment_lookup(spark, sf):
@@ -160,12 +161,12 @@ def rfmts_features_by_segment(spark, sf):
 
 def cohort_semi_join(spark, sf):
     src = _src(spark, sf)
-    lines = feat.order_lines(extracts.orders_extract(src, years=1))
+    lines = feat.order_lines(extracts.orders_extract(src, 1, relations.ORDERS_AS_OF))
     return lines.join(extracts.segment_lookup(src, "BTC").select(KEY), KEY, "left_semi")
 
 
 def cohort_features(spark, sf):
-    return cohorts.premium_cohort_features(_src(spark, sf))
+    return cohorts.premium_cohort_features(_src(spark, sf), relations.ORDERS_AS_OF)
 
 
 # ----------------------------------------------------------------- quartiles
@@ -336,8 +337,6 @@ def _prepared_rfmts(spark, sf):
 def kmeans_auto_k(spark, sf):
     data = _prepared_rfmts(spark, sf)
     model, _curve = clusters.auto_k(data, RFMTS)
-    if model is None:
-        return data.withColumn("Cluster", F.lit(1))
     return model.predict(data)
 
 
@@ -381,7 +380,7 @@ def model_roundtrip_scores(spark, sf):
 def sample_clustered(spark, sf):
     data = clusters.prepare(normalised_tiers(spark, sf))
     model, _ = clusters.auto_k(data, RFMT)
-    pred = model.predict(data) if model else data.withColumn("Cluster", F.lit(1))
+    pred = model.predict(data)
     from custseg.operators.quantiles import exact_sample
     return exact_sample(profiles.clip(pred, "Monetary", -5, 5), 0.2, 42, KEY)
 
@@ -415,7 +414,7 @@ def segment_box_stats(spark, sf):
 
 
 def cohort_comparison(spark, sf):
-    return cohorts.cohort_comparison(spark, _src(spark, sf))
+    return cohorts.cohort_comparison(spark, _src(spark, sf), relations.ORDERS_AS_OF)
 
 
 def queries() -> dict[str, Query]:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custseg.functions.dates import date_key, window_start
-from custseg.sources.relations import ORDERS_AS_OF, READER_AS_OF, Sources
+from custseg.sources.relations import Sources
 
 UNKNOWN_KEY = -1      # fixed sentinel: unknown customer / not cancelled
 
@@ -34,7 +34,7 @@ def valid_orders(src: Sources, as_of, years: int) -> DataFrame:
     return _day_window(f, "DateOrdered_Key", as_of, years)
 
 
-def orders_extract(src: Sources, years: int = 1, as_of: _dt.date = ORDERS_AS_OF,
+def orders_extract(src: Sources, years: int, as_of: _dt.date,
                    require_active: bool = True) -> DataFrame:
     """Uncancelled orders of premium subscribers in the last ``365*years`` days.
 
@@ -55,8 +55,7 @@ def orders_extract(src: Sources, years: int = 1, as_of: _dt.date = ORDERS_AS_OF,
     return out.select(*cols)
 
 
-def orders_non_premium(src: Sources, years: int = 1,
-                       as_of: _dt.date = ORDERS_AS_OF) -> DataFrame:
+def orders_non_premium(src: Sources, years: int, as_of: _dt.date) -> DataFrame:
     """Orders of customers absent from the premium table (left join + IS NULL
     written as the anti join it is)."""
     out = valid_orders(src, as_of, years).join(
@@ -65,8 +64,7 @@ def orders_non_premium(src: Sources, years: int = 1,
                       F.lit(None).cast("int").alias("IsActive"))
 
 
-def streaming_counts(src: Sources, years: int = 1,
-                     as_of: _dt.date = READER_AS_OF) -> DataFrame:
+def streaming_counts(src: Sources, years: int, as_of: _dt.date) -> DataFrame:
     """Per premium subscriber: number of streamed (bucket-read, premium) reads
     in the window, 0 when none.  Output ``Customer_Key, n``.
 

@@ -108,7 +108,7 @@ def fixture_sources(spark: SparkSession, sf_dir: str) -> Sources:
 
 
 def table_sources(spark: SparkSession, names: dict[str, str]) -> Sources:
-    """Catalog tables, e.g. ``{"order_fact": "edw.fact_orderfact", ...}``."""
+    """Catalog tables, e.g. ``{"order_fact": "sales.orders", ...}``."""
     return Sources(**{field: spark.table(tbl) for field, tbl in names.items()})
 
 

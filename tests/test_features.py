@@ -112,7 +112,7 @@ def test_one_orders_scan_for_features(spark):
     from custseg.sources import relations
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
-        extracts.orders_extract(relations.fixture_sources(spark, "/root/testdata/sf0.001"), 1) \
+        extracts.orders_extract(relations.fixture_sources(spark, "/root/testdata/sf0.001"), 1, D(2001, 8, 1)) \
             .explain("formatted")
     text = buf.getvalue()
     assert "GreaterThanOrEqual(o_orderdate,2000-08-01T00:00)" in text     # window reaches the scan
@@ -149,6 +149,6 @@ def test_table_sources_read_catalog_views(spark):
         getattr(fx, field).createOrReplaceTempView(f"t_{field}")
         names[field] = f"t_{field}"
     src = relations.table_sources(spark, names)
-    a = sorted(map(tuple, extracts.orders_extract(src, 3).collect()))
-    b = sorted(map(tuple, extracts.orders_extract(fx, 3).collect()))
+    a = sorted(map(tuple, extracts.orders_extract(src, 3, D(2001, 8, 1)).collect()))
+    b = sorted(map(tuple, extracts.orders_extract(fx, 3, D(2001, 8, 1)).collect()))
     assert a == b and len(a) > 0
