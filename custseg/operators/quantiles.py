@@ -48,6 +48,17 @@ def ntile_bucket(rank: Column, n: Column, buckets: int) -> Column:
         r + F.floor((rank - 1 - big) / q) + 1).cast("int")
 
 
+def laid_out(df: DataFrame, part_cols: list[str], value: str, tiebreak: str) -> DataFrame:
+    """Rows range-partitioned and sorted, with partition ``_p`` and place ``_i``."""
+    order = [*part_cols, value, tiebreak]
+    base = df.filter(F.col(value).isNotNull())
+    return (base.repartitionByRange(*order).sortWithinPartitions(*order)
+            .withColumn("_id", F.monotonically_increasing_id())
+            .withColumn("_p", F.shiftright("_id", _ROW_BITS))
+            .withColumn("_i", F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
+            .drop("_id"))
+
+
 def global_rank(df: DataFrame, part_cols: list[str], value: str, tiebreak: str) -> DataFrame:
     """``df`` (non-NULL ``value`` rows) plus ``_rank`` (1-based position within
     ``part_cols`` ordered by ``value, tiebreak``) and ``_n`` (rows of the part).
@@ -57,14 +68,7 @@ def global_rank(df: DataFrame, part_cols: list[str], value: str, tiebreak: str)
     The per-(part, partition) offsets table is bounded by #parts × #partitions
     and is broadcast.
     """
-    order = [*part_cols, value, tiebreak]
-    base = df.filter(F.col(value).isNotNull())
-    ranged = (base.repartitionByRange(*order).sortWithinPartitions(*order)
-              .withColumn("_id", F.monotonically_increasing_id())
-              .withColumn("_p", F.shiftright("_id", _ROW_BITS))
-              .withColumn("_i", F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
-              .drop("_id"))
-    ranged = written(ranged, "rank")
+    ranged = written(laid_out(df, part_cols, value, tiebreak), "rank")
     per_part = ranged.groupBy(*part_cols, "_p").agg(F.count(F.lit(1)).alias("_c"),
                                                     F.min("_i").alias("_start"))
     w = Window.partitionBy(*part_cols).orderBy("_p")
