@@ -1,24 +1,29 @@
 """Yeo-Johnson power transform + centring/scaling, fitted on Spark.
 
 λ maximises the profile log-likelihood
-    ll(λ) = -n/2 · ln(var_pop(yj(x, λ))) + (λ - 1) · Σ sign(x)·ln(|x| + 1)
-on [-5, 5].  The search is a three-level grid (0.1 → 0.01 → 0.001) in which
-every level is ONE aggregate over the long ``(group…, metric, x)`` frame
-exploded by the candidate λs (map-side partial aggregation; the centred
-``var_pop`` is numerically stable at large |λ|).  Only the winning λ per
-(group, metric) -- a table bounded by #groups × #metrics -- leaves the job.
+    ll(λ) = -n/2 · ln(var(yj(x, λ))) + (λ - 1) · Σ sign(x)·ln(|x| + 1)
+on [-5, 5].  Everything is read from one histogram per (group…, metric):
+``groupBy(group…, metric, x).count``, written once, so days and counts shrink to
+their few distinct values and n, the distinct count and all moments are weighted
+sums over it.  The search narrows a grid (0.1 → 0.01 → 0.001); a level evaluates
+101 or 21 candidates per distinct value, not per row, with map-side partial
+sums, and the levels are one lazy plan.  Moments
+are taken about a value of the column itself (its approximate median), which
+keeps them stable at large |λ| and exactly zero for a constant.
 A metric with fewer than 5 distinct values, or whose λ lands within 0.001 of
 a limit, is left untransformed (NULL λ).
 
 ``fit_power_standardise`` returns the per-(group, metric) parameter table;
-``apply_power_standardise`` joins it back (broadcast after a size check).
+``apply_power_standardise`` joins it back.  Parameter tables are written files
+and joined without a hint: Spark broadcasts them only below
+``autoBroadcastJoinThreshold`` and otherwise splits hot keys (AQE).
 ``YeoJohnsonScaler`` is the same fit as a Spark ML Estimator, so that it can
 sit in a ``Pipeline`` with ``VectorAssembler`` and ``KMeans`` and be saved.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel, keyword_only
+from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -26,13 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custseg.functions.power import YJ_EPS, YJ_LIMITS, YJ_MIN_UNIQUE, yeo_johnson
+from custseg.session import written
 
 # search settings (ours, not the reference's): grid steps in thousandths of λ,
 # half-width of a refinement window in steps, variance guard
 _LEVELS = (100, 10, 1)          # λ step = level/1000
 _HALF = 10
 _VAR_GUARD = 1e-12
-BROADCAST_PARAM_ROWS = 100_000  # parameter tables up to this size are broadcast
 
 
 def to_long(df: DataFrame, cols: list[str], group_cols: list[str] | tuple = ()) -> DataFrame:
@@ -44,18 +49,38 @@ def to_long(df: DataFrame, cols: list[str], group_cols: list[str] | tuple = ())
             ["_one"], cols, "metric", "x").drop("_one").filter(F.col("x").isNotNull())
 
 
-def _loglik(cands: DataFrame, keys: list[str], stats: DataFrame) -> DataFrame:
-    """Max-likelihood candidate per key; ``cands`` holds ``keys, x, _c`` (λ in
-    thousandths), one row per (value, candidate)."""
-    lam = (F.col("_c") / F.lit(1000.0))
-    y = yeo_johnson(F.col("x"), lam)
-    ev = (cands.select(*keys, "_c", y.alias("_y"))          # transform once per row
-          .groupBy(*keys, "_c")
-          .agg(F.var_pop("_y").alias("_v"), F.avg("_y").alias("_mu")))
-    ev = ev.join(F.broadcast(stats), keys)
-    ok = (F.col("_v") > F.lit(_VAR_GUARD) * F.col("_mu") * F.col("_mu")) & (F.col("_v") > 0)
-    ll = F.when(ok, -0.5 * F.col("n") * F.log(F.col("_v"))
-                + (F.col("_c") / F.lit(1000.0) - 1.0) * F.col("const"))
+def _histogram(df: DataFrame, cols: list[str], keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``keys…, x, w, x0, const`` (w rows have the value x; x0 is the value the moments
+    are taken about, const the sum in the likelihood) and ``keys…, n, n_distinct``."""
+    hist = written(to_long(df, cols, keys[:-1]).groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("w")),
+                   "power-histogram")
+    stats = written(hist.groupBy(*keys).agg(
+        F.sum("w").alias("n"), F.count(F.lit(1)).alias("n_distinct"),
+        F.sum(F.col("w") * F.signum("x") * F.log1p(F.abs("x"))).alias("const"),
+        F.percentile_approx("x", 0.5).alias("x0")), "power-statistics")
+    return written(_joined(hist, stats.select(*keys, "x0", "const"), keys), "power-values"), \
+        stats.drop("x0", "const")
+
+
+def _moments(rows: DataFrame, keys: list[str], y0: str = "_y0") -> DataFrame:
+    """``keys…, _n, _mean, _ss`` of ``_y`` weighted by ``w``, taken about ``y0``."""
+    d = F.col("_y") - F.col(y0)
+    n, one, two = F.col("_n"), F.col("_d1"), F.col("_d2")
+    return rows.groupBy(*keys, y0).agg(
+        F.sum("w").alias("_n"), F.sum(F.col("w") * d).alias("_d1"), F.sum(F.col("w") * d * d).alias("_d2")) \
+        .select(*keys, "_n", (F.col(y0) + one / n).alias("_mean"),
+                F.greatest(two - one * one / n, F.lit(0.0)).alias("_ss"))
+
+
+def _loglik(cands: DataFrame, keys: list[str]) -> DataFrame:
+    """Max-likelihood candidate per key; ``cands`` holds the histogram's columns and
+    ``_c`` (λ in thousandths), one row per (distinct value, candidate)."""
+    lam = F.col("_c") / F.lit(1000.0)
+    ev = _moments(cands.select(*keys, "_c", "const", "w", yeo_johnson("x", lam).alias("_y"),
+                               yeo_johnson("x0", lam).alias("_y0")), [*keys, "_c", "const"]) \
+        .withColumn("_v", F.col("_ss") / F.col("_n"))
+    ok = (F.col("_v") > F.lit(_VAR_GUARD) * F.col("_mean") * F.col("_mean")) & (F.col("_v") > 0)
+    ll = F.when(ok, -0.5 * F.col("_n") * F.log(F.col("_v")) + (lam - 1.0) * F.col("const"))
     ev = ev.select(*keys, "_c", ll.alias("ll")).filter(F.col("ll").isNotNull())
     # deterministic arg-max: highest ll, then smallest λ
     best = ev.groupBy(*keys).agg(F.max(F.struct(F.col("ll"), (-F.col("_c")).alias("neg"))).alias("_b"))
@@ -65,118 +90,54 @@ def _loglik(cands: DataFrame, keys: list[str], stats: DataFrame) -> DataFrame:
 def yeo_johnson_lambdas(df: DataFrame, cols: list[str], group_cols: list[str] | tuple = (),
                         limits=YJ_LIMITS, min_unique: int = YJ_MIN_UNIQUE) -> DataFrame:
     """``group…, metric, lambda, loglik, n, n_distinct`` (λ NULL = untransformed)."""
-    long, stats = _cut(to_long(df, cols, group_cols), [*group_cols, "metric"])
-    try:
-        return _lambdas_long(long, list(group_cols), limits, min_unique, stats)
-    finally:
-        long.unpersist()
-
-
-def _lambdas_long(long: DataFrame, group_cols: list[str], limits=YJ_LIMITS,
-                  min_unique: int = YJ_MIN_UNIQUE, stats: DataFrame | None = None) -> DataFrame:
     keys = [*group_cols, "metric"]
-    held = []
-
-    def keep(frame: DataFrame) -> DataFrame:
-        held.append(frame.persist(StorageLevel.MEMORY_AND_DISK))
-        return held[-1]
-
-    try:
-        if stats is None:
-            stats = keep(long.groupBy(*keys).agg(
-                F.count(F.lit(1)).alias("n"),
-                F.count_distinct("x").alias("n_distinct"),
-                F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("const"),
-            ))
-        small = stats.select(*keys, "n", "const")
-        lo, hi = int(round(limits[0] * 1000)), int(round(limits[1] * 1000))
-        grid = F.array(*[F.lit(v) for v in range(lo, hi + 1, _LEVELS[0])])
-        best = keep(_loglik(long.select(*keys, "x", F.explode(grid).alias("_c")), keys, small))
-        for step in _LEVELS[1:]:
-            # candidates around the current best: plain explode + predicate
-            # (kept inside whole-stage codegen, unlike higher-order functions)
-            offs = F.array(*[F.lit(d * step) for d in range(-_HALF, _HALF + 1)])
-            nxt = (long.join(F.broadcast(best.select(*keys, F.col("_c").alias("_c0"))), keys)
-                   .select(*keys, "x", "_c0", F.explode(offs).alias("_d"))
-                   .select(*keys, "x", (F.col("_c0") + F.col("_d")).alias("_c"))
-                   .filter(F.col("_c").between(lo, hi)))
-            best = keep(_loglik(nxt, keys, small))
-        lam = F.col("_c") / F.lit(1000.0)
-        at_limit = (F.abs(lam - F.lit(float(limits[0]))) <= YJ_EPS) | \
-                   (F.abs(lam - F.lit(float(limits[1]))) <= YJ_EPS)
-        out = stats.join(best, keys, "left").select(
-            *keys,
-            F.when((F.col("n_distinct") < min_unique) | at_limit | F.col("_c").isNull(),
-                   F.lit(None).cast("double")).otherwise(lam).alias("lambda"),
-            F.col("ll").alias("loglik"), "n", "n_distinct")
-        return _small_table(out)
-    finally:
-        for frame in held:
-            frame.unpersist()
-
-
-def _cut(long: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Persist the long frame and cut its lineage with a reliable checkpoint
-    into the shared ``spark.checkpoint.dir``: every level of the search then
-    plans against a plain scan instead of the whole upstream feature plan, and
-    a lost executor re-reads the checkpoint instead of recomputing features.
-
-    Also returns the per-(group, metric) statistics of the search (row count,
-    distinct values, Σ sign(x)·ln(|x|+1)) as a small local table; their row
-    counts size the partitions of the checkpoint."""
-    from custseg.operators.clusters import partitions_for
-    from custseg.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(long.sparkSession)
-    held = long.persist(StorageLevel.MEMORY_AND_DISK)
-    stats = _small_table(held.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_distinct("x").alias("n_distinct"),
-        F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("const")))
-    rows = sum(r["n"] for r in stats.select("n").collect())
-    # size the partitions to the rows (the upstream aggregate may carry many
-    # near-empty shuffle partitions); coalesce merges them without a shuffle
-    # and never raises the partition count
-    parts = partitions_for(long.sparkSession, rows)
-    cut = held.coalesce(parts).checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
-    held.unpersist()
-    return cut, stats
-
-
-def _small_table(df: DataFrame) -> DataFrame:
-    """Bring a fitted parameter table (bounded by #groups × #metrics rows, like
-    a model's coefficients) to the driver once and return it as a local
-    relation: later joins and broadcasts need no recomputation of the fit."""
-    rows = df.collect()
-    return df.sparkSession.createDataFrame(rows, df.schema)
-
-
-def _param_join(df: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
-    """Join a (group…, metric)-keyed parameter table; broadcast only when its
-    row count is under ``BROADCAST_PARAM_ROWS``."""
-    n = params.count()     # a local relation: counted on the driver
-    return df.join(F.broadcast(params) if n <= BROADCAST_PARAM_ROWS else params, keys)
+    return _lambdas(*_histogram(df, cols, keys), keys, limits, min_unique)
+
+
+def _lambdas(hist: DataFrame, stats: DataFrame, keys: list[str], limits=YJ_LIMITS,
+             min_unique: int = YJ_MIN_UNIQUE) -> DataFrame:
+    lo, hi = int(round(limits[0] * 1000)), int(round(limits[1] * 1000))
+    grid = F.array(*[F.lit(v) for v in range(lo, hi + 1, _LEVELS[0])])
+    best = _loglik(hist.withColumn("_c", F.explode(grid)), keys)
+    for step in _LEVELS[1:]:
+        around = F.explode(F.array(*[F.lit(d * step) for d in range(-_HALF, _HALF + 1)]))
+        near = best.withColumn("_d", around).select(*keys, (F.col("_c") + F.col("_d")).alias("_c")) \
+            .filter(F.col("_c").between(lo, hi))
+        best = _loglik(_joined(hist, near, keys), keys)
+    lam = F.col("_c") / F.lit(1000.0)
+    at_limit = (F.abs(lam - F.lit(float(limits[0]))) <= YJ_EPS) | \
+               (F.abs(lam - F.lit(float(limits[1]))) <= YJ_EPS)
+    return written(_joined(stats, best, keys, "left").select(
+        *keys,
+        F.when((F.col("n_distinct") < min_unique) | at_limit | F.col("_c").isNull(),
+               F.lit(None).cast("double")).otherwise(lam).alias("lambda"),
+        F.col("ll").alias("loglik"), "n", "n_distinct"), "power-lambdas")
+
+
+def _joined(left: DataFrame, params: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, a NULL group being a group like any other."""
+    other = params.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
+                          *[c for c in params.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return left.join(other, on, how).drop(*[f"_k_{k}" for k in keys])
 
 
 def fit_power_standardise(df: DataFrame, cols: list[str], group_cols: list[str] | tuple = (),
                           power: bool = True) -> DataFrame:
     """``group…, metric, lambda, mean, sd`` fitted on ``df`` itself: λ first,
-    then mean and sample SD of the transformed values (recipe order).  The
-    long frame is built once and shared by both passes."""
-    group_cols = list(group_cols)
+    then mean and sample SD of the transformed values (recipe order), from the
+    same histogram."""
     keys = [*group_cols, "metric"]
-    long, stats = _cut(to_long(df, cols, group_cols), keys)
-    try:
-        if power:
-            lam = _lambdas_long(long, group_cols, stats=stats).select(*keys, "lambda")
-        else:
-            lam = _small_table(long.select(*keys).distinct()
-                               .withColumn("lambda", F.lit(None).cast("double")))
-        y = yeo_johnson(F.col("x"), F.col("lambda"))
-        moments = _param_join(long, lam, keys).groupBy(*keys, "lambda").agg(
-            F.avg(y).alias("mean"), F.stddev_samp(y).alias("sd"))
-        return _small_table(moments.select(*keys, "lambda", "mean", "sd"))
-    finally:
-        long.unpersist()
+    hist, stats = _histogram(df, cols, keys)
+    lam = _lambdas(hist, stats, keys).select(*keys, "lambda") if power else \
+        stats.select(*keys, F.lit(None).cast("double").alias("lambda"))
+    rows = _joined(hist, lam, keys).select(*keys, "lambda", "w", yeo_johnson("x", F.col("lambda")).alias("_y"),
+                                           yeo_johnson("x0", F.col("lambda")).alias("_y0"))
+    return written(_moments(rows, [*keys, "lambda"]).select(
+        *keys, "lambda", F.col("_mean").alias("mean"),
+        F.when(F.col("_n") > 1, F.sqrt(F.col("_ss") / (F.col("_n") - 1))).alias("sd")), "power-parameters")
 
 
 def apply_power_standardise(df: DataFrame, params: DataFrame, cols: list[str],
@@ -190,7 +151,7 @@ def apply_power_standardise(df: DataFrame, params: DataFrame, cols: list[str],
         F.first(F.when(F.col("metric") == c, F.struct("lambda", "mean", "sd")),
                 ignorenulls=True).alias(f"_p_{c}") for c in cols]) if group_cols else None
     if group_cols:
-        out = _param_join(out, wide, group_cols)
+        out = _joined(out, wide, group_cols, "left")
         for c in cols:
             p = F.col(f"_p_{c}")
             out = out.withColumn(c, standardised(yeo_johnson(F.col(c), p["lambda"]),

@@ -92,3 +92,15 @@ def test_ml_estimator_roundtrip(spark, tmp_path):
     fn = power.fit_power_standardise(df, ["a", "b"])
     ref = power.apply_power_standardise(df, fn, ["a", "b"]).orderBy("Customer_Key").collect()
     assert all(abs(p["a"] - q["a"]) < 1e-12 for p, q in zip(x, ref))
+
+
+def test_null_group_and_group_without_values_keep_their_rows(spark):
+    rows = [(i, "a" if i % 2 else None, float(i * i)) for i in range(40)] + [(99, "empty", None)]
+    df = spark.createDataFrame(rows, "Customer_Key long, Segment string, m double")
+    params = power.fit_power_standardise(df, ["m"], ["Segment"])
+    got = power.apply_power_standardise(df, params, ["m"], ["Segment"]).collect()
+    assert sorted(r["Customer_Key"] for r in got) == sorted(r[0] for r in rows)
+    for seg in ("a", None):
+        m = np.array([r["m"] for r in got if r["Segment"] == seg])
+        assert abs(m.mean()) < 1e-9 and abs(m.std(ddof=1) - 1) < 1e-9
+    assert [r["m"] for r in got if r["Segment"] == "empty"] == [None]
