@@ -14,11 +14,17 @@ is paired with the leader of its bucket and of its sub-bucket (those that share
 the next two sketches too); the leader is the text that meets most others, as
 an original does among its copies.  So a bucket of n texts gives at most 2n
 pairs, and no bucket is capped.  Links inside one component need no further
-look.  Where buckets still hold several components, their texts meet again
-under pairs of shared buckets and are compared with up to 120 further texts of
-other components, those that share most with them most often, so a text that is
-near some copies but not their original is found.  Recall is measured against
-brute force in the tests.
+look.  Where a bucket still holds several components, every text outside its
+largest component (a stray) meets every member of the other components, so no
+two texts that share a sketch stay unlinked without a look.  These meetings are
+blocks of rows in a task, not rows of their own: a pair is looked at under the
+first sketch it shares, and only goes on to verification if its lengths and the
+shingle counts of both texts by ``CLASSES`` hash classes allow the similarity.
+Both are exact bounds (the sum of the lesser counts is at least what the texts
+share), so nothing is lost by them.  The meetings are of all pairs of different
+components at once, hence a second round would have nothing new to look at.
+In a bucket of n texts with m strays they take n * m steps.  Recall is
+measured against brute force in the tests.
 
 Verification.  Both texts' labelled shingles are aligned: the longest common
 subsequence within the band that a similarity of ``SIMILARITY`` allows (labels
@@ -53,6 +59,9 @@ SIMILARITY = 0.8
 TABLES = 16
 PICK = 3
 GROUP = 256
+BLOCK, PROBES = 256, 1024                 # strays and members that meet at once
+CLASSES = 512                             # hash classes of the shingle counts
+PAIRS = 4096                              # pairs of counts compared at once
 _PLACE = 28                               # bits of a word's place beside its hash
 
 U = np.uint64
@@ -113,6 +122,25 @@ def sketches(labels: np.ndarray, off: np.ndarray, tables: int = TABLES, pick: in
     return out
 
 
+def class_counts(labels: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """Shingles of each row by ``CLASSES`` hash classes, in the least unsigned type that holds them."""
+    rows = len(off) - 1
+    row = np.repeat(np.arange(rows), np.diff(off))
+    count = np.bincount(row * CLASSES + (labels % U(CLASSES)).astype(np.int64), minlength=rows * CLASSES)
+    count = count.reshape(rows, CLASSES)
+    most = count.max(1, initial=0)
+    return [c.astype(np.uint8 if m < 1 << 8 else np.uint16 if m < 1 << 16 else np.uint32).tobytes()
+            for c, m in zip(count, most)]
+
+
+def _counts_of(column: list[bytes]) -> np.ndarray:
+    """The rows of ``class_counts`` as one matrix."""
+    if all(len(c) == CLASSES for c in column):
+        return np.frombuffer(b"".join(column), np.uint8).reshape(-1, CLASSES)
+    kinds = {CLASSES: np.uint8, 2 * CLASSES: np.uint16, 4 * CLASSES: np.uint32}
+    return np.stack([np.frombuffer(c, kinds[len(c)]).astype(np.uint32) for c in column])
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         d, t = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -127,7 +155,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.concatenate([[0], np.cumsum(np.where(n > 0, TABLES, 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(d[i:j]), pa.array(t[i:j]), pa.array(n.astype(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["_d", "_t", "n", "sketch"])
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                 pa.array(class_counts(labels, at), pa.binary())], names=["_d", "_t", "n", "sketch", "counts"])
 
 
 def aligned(places: np.ndarray, band: int) -> int:
@@ -218,36 +247,87 @@ def _stars(met: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1]).filter("t <> rep")
 
 
-def _contested(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """Further pairs for texts that share buckets with another component.
-
-    Only buckets that still hold several components matter.  Their members meet
-    again under pairs of such buckets (a fixed half of all pairs, by hash).  Under
-    each pair the texts outside the most frequent component are compared with one
-    of its members, drawn by hash, and with one text of the other components: at
-    most 120 partners a text, more often those that share more with it."""
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (b, block, part, probe): each probe with the strays of its group,
+    left to those pairs whose similarity can reach ``SIMILARITY``."""
+    held, names = None, None
+    for b in batches:
+        rows = pa.Table.from_batches([b])
+        if held is not None:
+            rows = pa.concat_tables([held, rows]).combine_chunks()
+        if not rows.num_rows:
+            continue
+        names = names or rows.schema.names
+        bucket, block, part, probe, hub, t, l, n = (rows.column(c).to_numpy() for c in (
+            "b", "block", "part", "probe", "hub", "t", "l", "n"))
+        begin = np.ones(len(t), bool)
+        begin[1:] = (np.diff(bucket) != 0) | (np.diff(block) != 0) | (np.diff(part) != 0)
+        group = np.cumsum(begin) - 1
+        first = np.flatnonzero(begin)
+        strays = np.bincount(group[probe == 0], minlength=len(first))
+        last = np.arange(first[-1], first[-1] + strays[-1])
+        held = rows.take(pa.array(last))            # the group may go on in the next batch
+        own = np.flatnonzero(probe == 1)
+        many = strays[group[own]]
+        ends = np.cumsum(many)
+        if not len(own) or not ends[-1]:
+            continue
+        sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, TABLES)
+        counts = _counts_of(rows.column("counts").to_pylist())
+        out_t, out_r = [], []
+        step = max(1, (1 << 18) // max(1, int(many.max())))
+        for i in range(0, len(own), step):
+            m = many[i:i + step]
+            p = np.repeat(own[i:i + step], m)
+            r = first[group[p]] + np.arange(len(p)) - np.repeat(np.cumsum(m) - m, m)
+            ok = (l[p] != l[r]) & (hub[p] | (t[p] < t[r])) \
+                & (np.minimum(n[p], n[r]) >= SIMILARITY * np.maximum(n[p], n[r]))
+            p, r = p[ok], r[ok]
+            if not len(p):
+                continue
+            at = (sketch[p] == sketch[r]).argmax(1)
+            ok = sketch[p, at] == bucket[p]         # under the first sketch that they share
+            p, r = p[ok], r[ok]
+            for k in range(0, len(p), PAIRS):
+                pk, rk = p[k:k + PAIRS], r[k:k + PAIRS]
+                most = np.minimum(counts[pk], counts[rk]).sum(1, dtype=np.int64)
+                ok = most >= SIMILARITY * (n[pk] + n[rk] - most) - 1e-6
+                out_t.append(t[pk[ok]])
+                out_r.append(t[rk[ok]])
+        if out_t:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_t), pa.int64()),
+                                              pa.array(np.concatenate(out_r), pa.int64())], names=["t", "rep"])
+
+
+def _contested(texts: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs of different components that share a bucket and can be similar.
+
+    Only buckets that still hold several components matter.  There the texts
+    outside the largest component meet all members, in groups of about ``BLOCK``
+    of the former and ``PROBES`` of the latter."""
     known = labels.select(F.col("node").alias("_node"), "label")
     rows = saved(met.join(known, F.col("t") == F.col("_node"), "left")
                  .select("t", "b", F.coalesce("label", "t").alias("l")), "near-labelled")
-    split = saved(rows.groupBy("b").agg(F.min("l").alias("l0"), F.max("l").alias("l1"))
-                  .filter("l0 <> l1").select(F.col("b").alias("_b")), "near-split")
-    own = rows.join(split, F.col("b") == F.col("_b")).groupBy("t", "l").agg(F.sort_array(
-        F.collect_list("b")).alias("bs"))
-    two = F.flatten(F.transform("bs", lambda x: F.transform(
-        F.filter("bs", lambda y: y > x), lambda y: F.xxhash64(x, y))))
-    keyed_ = saved(own.select("t", "l", F.explode(F.filter(two, lambda k: k % 2 == 0)).alias("k")), "near-twice")
-    count = keyed_.groupBy("k", "l").agg(F.count(F.lit(1)).alias("n"))
-    hubs = saved(count.groupBy("k").agg(F.count(F.lit(1)).alias("parts"), _leader("l", "n").alias("hub"))
-                 .filter("parts > 1").select(F.col("k").alias("_k"), "hub"), "near-hubs")
-    rows = saved(keyed_.join(hubs, F.col("k") == F.col("_k")).select("t", "l", "k", "hub"), "near-rows")
-    draw = F.xxhash64("t", "k")
-    heads = saved(rows.groupBy(F.col("k").alias("_k")).agg(
-        F.max_by("t", F.when(F.col("l") == F.col("hub"), draw)).alias("first"),
-        F.max_by("t", F.when(F.col("l") != F.col("hub"), draw)).alias("other"),
-        F.max_by("l", F.when(F.col("l") != F.col("hub"), draw)).alias("other_l")), "near-heads")
-    stray = rows.filter("l <> hub").join(heads, F.col("k") == F.col("_k"))
-    return stray.select("t", F.col("first").alias("rep")).unionByName(
-        stray.filter("l <> other_l").select("t", F.col("other").alias("rep")))
+    count = rows.groupBy("b", "l").agg(F.count(F.lit(1)).alias("n"))
+    split = saved(count.groupBy("b").agg(F.count(F.lit(1)).alias("of"), _leader("l", "n").alias("hub"),
+                                         F.max("n").alias("most"), F.sum("n").alias("size")).filter("of > 1")
+                  .select(F.col("b").alias("_b"), F.col("hub").alias("_hub"),
+                          F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("blocks"),
+                          F.ceil(F.col("size") / PROBES).cast("int").alias("parts")), "near-split")
+    placed = saved(rows.join(split, F.col("b") == F.col("_b")).select(
+        "t", "b", "l", (F.col("l") == F.col("_hub")).alias("hub"), "blocks", "parts"), "near-placed")
+    wide = placed.join(texts.select("_t", "n", "sketch", "counts"), F.col("t") == F.col("_t")).drop("_t")
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    block = F.pmod(F.xxhash64("t", "b"), F.col("blocks")).cast("int")
+    part = F.pmod(F.xxhash64("b", "t"), F.col("parts")).cast("int")
+    place = lambda i, j, side: F.struct(
+        i.alias("block"), j.alias("part"), F.lit(side).alias("probe"))
+    to = F.transform(upto("blocks"), lambda i: place(i, part, 1))
+    to = F.when(F.col("hub"), to).otherwise(F.concat(to, F.transform(upto("parts"), lambda j: place(block, j, 0))))
+    dealt = wide.withColumn("to", F.explode(to)).select(
+        "b", "to.block", "to.part", "to.probe", "hub", "t", "l", "n", "sketch", "counts")
+    return dealt.repartition("b", "block", "part").sortWithinPartitions("b", "block", "part", "probe") \
+        .mapInArrow(_meet, "t long, rep long")
 
 
 def _verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -278,11 +358,12 @@ def _verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified links ``a, b`` between distinct texts, and the components they make."""
     texts = saved(rows.groupBy("_t").agg(F.min("_d").alias("_d"), F.max("n").alias("n"),
-                                         F.first("sketch").alias("sketch")), "near-texts")
+                                         F.first("sketch").alias("sketch"),
+                                         F.first("counts").alias("counts")), "near-texts")
     met = _buckets(texts)
     links = _verified(docs, texts, _stars(met))
     labels = components(links)
-    more = _verified(docs, texts, _contested(met, labels))
+    more = _verified(docs, texts, _contested(texts, met, labels))
     links = links.unionByName(more).distinct()
     return links, components(links)
 
@@ -291,7 +372,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``_d, _t, _cd, _ct, links`` per row: its key, the key of the row that stands for
     its class (least id, then least text hash) and the verified links of its text."""
     keys = keyed(docs, id_col, text_col)
-    rows = saved(keys.mapInArrow(_sketch, "_d long, _t long, n long, sketch array<long>"), "near-sketches")
+    rows = saved(keys.mapInArrow(_sketch, "_d long, _t long, n long, sketch array<long>, counts binary"), "near-sketches")
     links, labels = near_links(keys, rows)
     labels = saved(labels.join(
         links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node")

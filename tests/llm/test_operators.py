@@ -100,6 +100,37 @@ def test_near_recall(spark):
     assert links and all(got[a] == got[b] for a, b in links)
 
 
+def test_near_few_members_of_a_large_group(spark):
+    """Texts near one copy of a large group, but not near its original."""
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in rng.permutation(100_000)[:200]]
+    rows = [(0, " ".join(base), "en", "s")]
+    places = np.arange(8, 192, 6)
+    for i in range(1, 91):
+        own = rng.choice(places, 5, replace=False)          # each edit breaks five of 196 shingles
+        copy = list(base)
+        copy[own[0]] = f"copy{i}"
+        rows.append((i, " ".join(copy), "en", "s"))
+        if i <= 30:
+            for p in own[1:]:
+                copy[p] = f"far{i}at{p}"
+            rows.append((1000 + i, " ".join(copy), "en", "s"))   # 0.815 to its copy, 0.774 to the original
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert [i for i, c in got.items() if c != 0] == []
+
+
+def test_near_bounds_keep_every_pair(spark, monkeypatch):
+    """Small blocks give the same classes, and class counts never say less than what is shared."""
+    rng = np.random.default_rng(13)
+    texts = [rng.integers(0, 1 << 40, n).astype(np.uint64) for n in (1, 30, 3000, 3000, 400_000)]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    counts = minhash._counts_of(minhash.class_counts(np.concatenate(texts), off))
+    assert counts.sum(1).tolist() == [len(t) for t in texts]
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    monkeypatch.setattr(minhash, "PROBES", 3)
+    test_near_few_members_of_a_large_group(spark)
+
+
 def _vectors(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.standard_normal(16)]) for i in range(600)]
