@@ -3,18 +3,21 @@
 Kernel.  ``k(x, z)`` counts the character n-grams (here byte n-grams of the
 UTF-8 text, lengths 1 to 5 blended) present in both texts, divided by the
 geometric mean of how many each holds: a normalised blended-spectrum presence
-kernel.  N-grams are hashed to ``DIM`` slots; a text is its set of slots.
+kernel.  A text is its set of distinct n-grams, each an exact number (its bytes
+and its length), so no text is long enough to fill a table.
 
 Model.  ``LANDMARKS`` training texts span a Nystroem space: with K the kernel of
 the landmarks, a text maps to ``k(x, landmarks) K^(-1/2)``.  One-versus-rest
-ridge regression in that space gives a weight column per language.  Only the
-training sample reaches the driver, as slot bitmaps of at most ``SAMPLE_PER_LANG``
-texts a language (expected; see ``fit``); the solved model is a matrix of fixed
-size.
+ridge regression in that space gives a weight column per language.  The sample
+holds at most ``SAMPLE_PER_LANG`` texts a language (expected; see ``fit``); the
+driver gets the n-grams of the landmarks and a row of ``LANDMARKS`` counts for
+each other text of the sample.  The kernel is linear in x, so the solved model
+is a weight per language for every n-gram of the landmarks.
 
-Scoring.  Every whole text becomes a bitmap in its task; batches of bitmaps are
-multiplied with the landmarks and then with the weights (two matrix products a
-batch).  No row leaves its partition: one scan, no shuffle.
+Scoring.  The distinct n-grams of every whole text are looked up among those of
+the landmarks; their weights are summed and divided by the root of the text's
+own number of distinct n-grams.  No row leaves its partition: one scan, no
+shuffle.
 
 Cases: null text and text without a letter give ``und`` with score 0; text of
 any length is used whole; ties go to the first language in code-point order; a
@@ -32,31 +35,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custseg.llm.common import mix64, seeds, utf8
+from custseg.llm.common import CHUNK_BYTES, saved, utf8
 
-DIM = 1 << 14
 LENGTHS = (1, 2, 3, 4, 5)
 SAMPLE_PER_LANG = 400
 LANDMARKS = 160
 RIDGE = 0.05
-BATCH = 256
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def slots(data: np.ndarray, out: np.ndarray, dim: int = DIM) -> None:
-    """Mark in ``out`` (dim booleans) the slots of the n-grams of ``data``.
+def _distinct(codes: np.ndarray) -> np.ndarray:
+    codes.sort()
+    new = np.ones(len(codes), bool)
+    new[1:] = codes[1:] != codes[:-1]
+    return codes[new]
+
+
+def grams(data: np.ndarray) -> np.ndarray:
+    """The distinct n-grams of ``data``, ascending: the bytes of each below its length.
     Letters are folded to lower case (ASCII) and every other ASCII byte to a blank."""
     low = _FOLD[data]
-    with np.errstate(over="ignore"):
-        gram = np.zeros(len(low), np.uint32)
-        for i, n in enumerate(LENGTHS):
-            if len(low) < n:
+    out = np.zeros(0, np.uint64)
+    for i in range(0, max(len(low), 1), CHUNK_BYTES):
+        part = low[i:i + CHUNK_BYTES + LENGTHS[-1] - 1].astype(np.uint64)
+        gram, codes = np.zeros(len(part), np.uint64), []
+        for n in LENGTHS:
+            if len(part) < n:
                 break
-            m = len(low) - n + 1
-            gram = gram[:m] * np.uint32(0x01000193) + low[n - 1:].astype(np.uint32) + np.uint32(1)
-            h = (gram ^ np.uint32(0x9E3779B1 * (i + 1) & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
-            out[h >> np.uint32(32 - dim.bit_length() + 1)] = True
+            gram = (gram[:len(part) - n + 1] << np.uint64(8)) | part[n - 1:]
+            codes.append(gram | np.uint64(n << 40))
+        if codes:
+            got = _distinct(np.concatenate(codes))
+            out = _distinct(np.concatenate([out, got])) if len(out) else got
+    return out
 
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -65,35 +77,59 @@ _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 
 
+def places(vocab: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Where the n-grams ``own`` stand in ``vocab`` (both ascending), without those that do not."""
+    if not len(vocab):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(vocab, own), len(vocab) - 1)
+    return at[vocab[at] == own]
+
+
 class Model:
-    """Landmark bitmaps (normalised), weights and languages."""
+    """Languages and, for each n-gram of the landmarks, a weight per language."""
 
-    def __init__(self, langs: list[str], landmarks: np.ndarray, weights: np.ndarray):
-        self.langs, self.landmarks, self.weights = langs, landmarks, weights
+    def __init__(self, langs: list[str], vocab: np.ndarray, weights: np.ndarray):
+        self.langs, self.vocab, self.weights = langs, vocab, weights
 
-    def decide(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Language index and score in [0, 1] of each row of ``bits``."""
-        x = bits.astype(np.float32)
-        x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-        f = (x @ self.landmarks.T) @ self.weights
-        best = f.argmax(1)
-        e = np.exp(6.0 * (f - f.max(1, keepdims=True)))
-        return best, 1.0 / e.sum(1)
+    def decide(self, text: np.ndarray) -> tuple[int, float]:
+        """Language index and score in [0, 1] of a text."""
+        own = grams(text)
+        f = self.weights[places(self.vocab, own)].sum(0, dtype=np.float64) / np.sqrt(max(len(own), 1))
+        e = np.exp(6.0 * (f - f.max()))
+        return int(f.argmax()), 1.0 / e.sum()
 
 
-def _bitmaps(rows: DataFrame) -> DataFrame:
-    """``lang, bits``: packed slot bitmap of each text."""
+def _grams_of(rows: DataFrame) -> DataFrame:
+    """``_o, _t, grams``: the n-grams of each text."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = utf8(b.column(1))
-            packed = []
+            data, off = utf8(b.column(2))
+            for i in range(len(off) - 1):
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, 1), b.column(1).slice(i, 1),
+                     pa.array([grams(data[off[i]:off[i + 1]]).tobytes()], pa.binary())], names=["_o", "_t", "grams"])
+    return rows.select("_o", "_t", "text").mapInArrow(make, "_o long, _t long, grams binary")
+
+
+def _shared_of(rows: DataFrame, vocab, start, holder, landmarks: int) -> DataFrame:
+    """``_o, _t, size, shared``: how many n-grams each text has, and shares with each landmark."""
+    sent = rows.sparkSession.sparkContext.broadcast((vocab, start, holder))     # the landmarks' n-grams
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, start, holder = sent.value
+        for b in batches:
+            data, off = utf8(b.column(2))
+            size, shared = [], []
             for i in range(len(off) - 1):
-                bits = np.zeros(DIM, bool)
-                slots(data[off[i]:off[i + 1]], bits)
-                packed.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())],
-                                             names=["lang", "bits"])
-    return rows.mapInArrow(make, "lang string, bits binary")
+                own = grams(data[off[i]:off[i + 1]])
+                at = places(vocab, own)
+                many = start[at + 1] - start[at]
+                flat = np.repeat(start[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                size.append(len(own))
+                shared.append(np.bincount(holder[flat], minlength=landmarks).astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()),
+                                              pa.array(shared, pa.binary())], names=["_o", "_t", "size", "shared"])
+    return rows.select("_o", "_t", "text").mapInArrow(make, "_o long, _t long, size long, shared binary")
 
 
 def fit(train: DataFrame, order: Column, per_lang: int = SAMPLE_PER_LANG, landmarks: int = LANDMARKS,
@@ -108,55 +144,63 @@ def fit(train: DataFrame, order: Column, per_lang: int = SAMPLE_PER_LANG, landma
         return None
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_lang / r["_n"]))])
     unit = F.pmod(F.col("_o"), F.lit(1 << 40)) / float(1 << 40)
-    got = _bitmaps(rows.filter(unit < share[F.col("lang")]).select("lang", "text")).collect()
-    got = sorted(((r["lang"], bytes(r["bits"])) for r in got))
-    if not got:
+    sample = saved(rows.filter(unit < share[F.col("lang")]).withColumn("_t", F.xxhash64("text")), "langid-sample")
+    keys = sorted((r["lang"].encode(), r["_o"], r["_t"]) for r in sample.select("lang", "_o", "_t").collect())
+    if not keys:
         return None
-    langs = sorted({g[0] for g in got}, key=lambda s: s.encode())
-    y = np.array([langs.index(g[0]) for g in got])
-    x = np.unpackbits(np.frombuffer(b"".join(g[1] for g in got), np.uint8).reshape(len(got), -1), axis=1)
-    x = x.astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    # landmarks: the languages in turn, each in a fixed pseudo-random order
-    rank = mix64(np.arange(len(got), dtype=np.uint64) + seeds(1, 7)[0])
-    place = np.zeros(len(got), np.int64)
-    for c in range(len(langs)):
-        own = np.flatnonzero(y == c)
-        place[own[np.argsort(rank[own])]] = np.arange(len(own))
-    pick = np.lexsort((y, place))[:landmarks]
-    z = x[pick]
-    values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
+    names = sorted({k[0] for k in keys})
+    # landmarks: the languages in turn, each in the order of ``order``; a text once
+    seen, turn, queue = set(), dict.fromkeys(names, 0), []
+    for lang, o, t in keys:
+        if t not in seen:
+            seen.add(t)
+            queue.append((turn[lang], lang, o, t))
+            turn[lang] += 1
+    chosen = [t for _, _, _, t in sorted(queue)[:landmarks]]
+    held = {r["_t"]: np.frombuffer(bytes(r["grams"]), np.uint64) for r in
+            _grams_of(sample.filter(F.col("_t").isin(chosen)).dropDuplicates(["_t"])).collect()}
+    sets = [held[t] for t in chosen]
+    vocab, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    holder = owner[np.argsort(flat, kind="stable")]
+    start = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(vocab)))])
+    norm = np.sqrt(np.maximum([len(s) for s in sets], 1))
+    got = {}
+    for r in _shared_of(sample, vocab, start, holder, len(sets)).collect():
+        got[r["_o"], r["_t"]] = np.frombuffer(bytes(r["shared"]), "<i8") / norm / np.sqrt(max(r["size"], 1))
+    y = np.array([names.index(k[0]) for k in keys])
+    k = np.stack([got[o, t] for _, o, t in keys])
+    where = {t: i for i, (_, _, t) in enumerate(keys)}
+    z = k[[where[t] for t in chosen]]
+    values, vectors = np.linalg.eigh((z + z.T) / 2)
     keep = values > values[-1] * 1e-7
     root = vectors[:, keep] / np.sqrt(values[keep])
-    phi = (x @ z.T).astype(np.float64) @ root
-    target = np.where(y[:, None] == np.arange(len(langs)), 1.0, -1.0)
-    weight = 1.0 / np.bincount(y, minlength=len(langs))[y][:, None]        # languages weigh alike
+    phi = k @ root
+    target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
+    weight = 1.0 / np.bincount(y, minlength=len(names))[y][:, None]        # languages weigh alike
     reg = ridge * np.eye(phi.shape[1]) * (weight * phi ** 2).sum() / phi.shape[1]
     w = np.linalg.solve(phi.T @ (weight * phi) + reg, phi.T @ (weight * target))
-    return Model(langs, z, (root @ w).astype(np.float32))      # the root folded into the weights
+    per = (root @ w) / norm[:, None]                    # the root folded into the weights
+    weights = np.stack([np.bincount(flat, per[owner, c], minlength=len(vocab)) for c in range(len(names))], 1)
+    return Model([n.decode() for n in names], vocab, weights.astype(np.float32))
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score`` for every row."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)     # the landmarks' n-grams and weights
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         for b in batches:
             data, off = utf8(b.column(1))
             n = len(off) - 1
             pred, score = [UNKNOWN] * n, np.zeros(n)
-            for i in range(0, n, BATCH):
-                j = min(n, i + BATCH)
-                bits = np.zeros((j - i, DIM), bool)
-                known = []
-                for r in range(i, j):
-                    text = data[off[r]:off[r + 1]]
-                    if model is not None and _has_letter(text):
-                        slots(text, bits[r - i])
-                        known.append(r)
-                if known:
-                    best, s = model.decide(bits[np.array(known) - i])
-                    for r, c, v in zip(known, best, s):
-                        pred[r], score[r] = model.langs[c], float(v)
+            for r in range(n):
+                text = data[off[r]:off[r + 1]]
+                if model is not None and _has_letter(text):
+                    c, score[r] = model.decide(text)
+                    pred[r] = model.langs[c]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
                 names=["doc_id", "lang_pred", "score"])

@@ -304,6 +304,25 @@ def test_language(spark):
     assert langid.identify(frame(spark, [])).count() == 0
 
 
+def test_language_of_very_long_texts(spark):
+    """Megabytes of varied words, all of them new, keep their language; so do short ones."""
+    rng = np.random.default_rng(17)
+    ends = {"en": ["ing", "tion", "the", "ness", "wh"], "de": ["ung", "sch", "keit", "der", "ei"],
+            "fr": ["eau", "ment", "oire", "qu", "le"], "es": ["ado", "cion", "ero", "ll", "el"]}
+
+    def text(lang, n):
+        stems = rng.integers(97, 123, (n, 4)).astype(np.uint8)
+        tail = rng.integers(0, 5, n)
+        return " ".join(bytes(w).decode() + ends[lang][t] for w, t in zip(stems, tail))
+    rows = [(4 * i + j, text(lang, 150), lang, "s") for i in range(60) for j, lang in enumerate(sorted(ends))]
+    rows += [(10_000 + j, text(lang, 400_000), None, "s") for j, lang in enumerate(sorted(ends))]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(frame(spark, rows)).collect()}
+    assert [got[10_000 + j] for j in range(4)] == sorted(ends)
+    assert np.mean([got[i] == lang for i, _, lang, _ in rows if lang]) > 0.95
+    assert langid.grams(np.frombuffer(b"Ab1ab", np.uint8)).tolist() == sorted(
+        {len(g) << 40 | int.from_bytes(g, "big") for n in range(1, 6) for i in range(6 - n) for g in [b"ab ab"[i:i + n]]})
+
+
 def test_odd_documents(spark):
     odd = frame(spark, ODD)
     assert suffix_dedup.without_repeats(odd).count() == len(ODD)
