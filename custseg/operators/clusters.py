@@ -212,14 +212,18 @@ def auto_k(df: DataFrame, cols: list[str], k_max: int = AUTO_K_MAX, seed: int =
 
 def _held_out_sse(model: Clustering | None, train: DataFrame, test: DataFrame,
                   cols: list[str]) -> float:
+    # every customer counts: a missing metric is filled as in the fit, by the training mean
+    filled = fill_stage(train, cols).transform(test)
+    names = [f"_f_{c}" for c in cols]
     if model is None:   # k = 1: distance to the training mean
-        mrow = train.agg(*[F.avg(c).alias(c) for c in cols]).collect()[0]
-        centers = [[float(mrow[c]) for c in cols]]
-        pred = test.select(*cols, F.lit(1).alias("Cluster"))
+        mrow = train.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c)
+                           for c in cols]).collect()[0]
+        centers = [[float(mrow[c] or 0.0) for c in cols]]
+        pred = filled.select(*names, F.lit(1).alias("Cluster"))
     else:
         centers = model.centers()
-        pred = model.predict(test, cols)
-    return float(pred.select(sq_dist_to(cols, centers, F.col("Cluster")).alias("d"))
+        pred = model.predict(filled.select(*[F.col(n).alias(c) for n, c in zip(names, cols)]), names)
+    return float(pred.select(sq_dist_to(names, centers, F.col("Cluster")).alias("d"))
                  .agg(F.sum("d")).collect()[0][0] or 0.0)
 
 

@@ -90,6 +90,22 @@ def test_scree_curve_shape(spark):
     assert curve[1][1] < curve[0][1] * 0.3
 
 
+def test_scree_curve_counts_customers_with_missing_metrics(spark):
+    rnd = np.random.default_rng(7)
+    rows = [(i, float(x), None if i % 3 == 0 else float(y) if i % 7 else float("nan"))
+            for i, (x, y) in enumerate(rnd.normal(0, 2, (90, 2)))]
+    df = spark.createDataFrame(rows, "Customer_Key long, a double, b double")
+    curve = dict(clusters.scree_curve(clusters.prepare(df), ["a", "b"], k_max=2, folds=3))
+    fold = {r["Customer_Key"]: r["f"] for r in df.select(
+        "Customer_Key", F.pmod(F.xxhash64("Customer_Key"), F.lit(3)).alias("f")).collect()}
+    want = 0.0
+    for f in range(3):
+        x = np.array([[a, np.nan if b is None else b] for i, a, b in rows if fold[i] != f])
+        t = np.array([[a, np.nan if b is None else b] for i, a, b in rows if fold[i] == f])
+        want += float(np.nansum((t - np.nanmean(x, 0)) ** 2))    # a missing metric adds 0
+    assert np.isclose(curve[1], want) and 0 < curve[2] < curve[1]
+
+
 def test_exact_quantiles_with_heavy_ties(spark):
     from custseg.operators.quantiles import exact_quantiles
     vals = [0.0] * 100 + [float(v) for v in range(1, 201)] + [None] * 5
