@@ -3,9 +3,10 @@
 Labellers.  Each reads a whole text (or the given annotations) and says ``bad``,
 ``good`` or nothing; they overlap and err:
 repeats (a word follows itself), symbols, capitals, echoes (5-word shingles
-that came before), variety (distinct words), insults (a word or word start whose
-labelled contexts are toxic), and annotators (the table of labels, where it
-covers the document).
+that came before), variety (distinct words in windows of ``WINDOW`` words, all of
+the text, so that it does not fall with the length), insults (a word or word
+start whose labelled contexts are toxic), and annotators (the table of labels,
+where it covers the document).
 
 Label model.  A document is clean, junk or toxic.  Expectation-maximisation
 estimates, without knowing the class, how often every labeller says what about
@@ -50,6 +51,7 @@ TRAIN_ROWS = 12_000
 KEEP = 0.5
 EPOCHS = 30
 PREFIX = 4
+WINDOW = 1000
 
 U = np.uint64
 _LOW = np.full(256, 32, np.uint8)               # letters in lower case, other ASCII blank
@@ -110,11 +112,13 @@ def votes(data: np.ndarray, off: np.ndarray, insults: np.ndarray) -> np.ndarray:
     lower = _per_row((data >= 97) & (data <= 122), off)
     capitals = upper / np.maximum(upper + lower, 1)
 
-    order = np.lexsort((words, row))
+    # distinct words of all consecutive windows, by the words in them
+    window = row * (len(words) // WINDOW + 1) + (np.arange(len(words)) - at[row]) // WINDOW
+    order = np.lexsort((words, window))
     new = np.ones(len(words), bool)
-    ws, rs = words[order], row[order]
+    ws, rs = words[order], window[order]
     new[1:] = (ws[1:] != ws[:-1]) | (rs[1:] != rs[:-1])
-    variety = np.bincount(rs[new], minlength=rows) / some
+    variety = np.bincount(row[order][new], minlength=rows) / some
     # shingles of five words seen before in the text
     echo = np.zeros(rows)
     if len(words) >= 5:

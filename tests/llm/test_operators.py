@@ -185,6 +185,25 @@ def test_label_model_and_quality(spark):
     assert all(not r["keep"] for r in odd.collect() if r["doc_id"] in (1, 2, 3))
 
 
+def test_variety_does_not_fall_with_length(spark):
+    rng = np.random.default_rng(19)
+    share = 1 / np.arange(1, 30_001)
+    name = lambda w: "v" + "".join(chr(97 + w // 26 ** i % 26) for i in range(4))
+    clean = [" ".join(name(w) for w in rng.choice(30_000, n, p=share / share.sum())) for n in (300, 5_000, 300_000)]
+    junk = [" ".join(name(w) for w in rng.integers(0, 50, n)) for n in (2_000, 100_000)]
+    data = [t.encode() for t in clean + junk]
+    off = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    got = quality.votes(np.frombuffer(b"".join(data), np.uint8), off, np.zeros(0, np.uint64))
+    assert (got[:3, 4] != 0).all() and got[3:, 4].tolist() == [0, 0]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    good = labels.filter("quality = 1 and toxic = 0").select("doc_id")
+    texts = [r["text"] for r in docs.filter("lang = 'en'").join(good, "doc_id").orderBy("doc_id").select("text").collect()]
+    long = spark.createDataFrame([(-1, " ".join(texts)), (-2, " ".join(texts[::2]))], "doc_id long, text string")
+    out = quality.classify(docs.select("doc_id", "text").unionByName(long), labels)
+    assert [r["keep"] for r in out.filter("doc_id < 0").collect()] == [True, True]
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 13 + 1), "en", f"s{i % 4}") for i in range(100, 500)] + ODD
     got = mixing.mix_report(frame(spark, rows)).collect()
