@@ -397,12 +397,13 @@ def segment_clusters(spark, sf):
     return cohorts.segment_clusters(rfmts_all_segments(spark, sf), RFMTS)
 
 
-def segment_profiles(spark, sf):
+def segment_profiles(spark, sf, value_range=None):
     """Per segment: mean normalised metric per cluster (the centroid lines of
-    the per-segment plots, points outside ±2 dropped like the plot's ylim)."""
+    the per-segment plots).  All points; ``value_range=(-2, 2)`` drops those
+    outside the plot's ylim."""
     sc = segment_clusters(spark, sf)
     return profiles.profile_long(sc, "Cluster", RFMTS, extra_group=("Segment",),
-                                 value_range=(-2.0, 2.0))
+                                 value_range=value_range)
 
 
 def segment_box_stats(spark, sf):

@@ -133,6 +133,16 @@ def test_profile_value_range_and_relative_importance(spark):
     assert ri[("Bronze", "Tenure")] == 0.0
 
 
+def test_segment_profiles_keep_extreme_clusters(spark, monkeypatch):
+    from custseg.plans import queries
+    df = spark.createDataFrame([(1, "s", 1, 9.0, 1.0, -3.0, 0.0, 2.5), (2, "s", 2, 0.0, 0.0, 0.0, 0.0, 0.0)],
+                               "Customer_Key long, Segment string, Cluster int, "
+                               + ", ".join(f"{c} double" for c in queries.RFMTS))
+    monkeypatch.setattr(queries, "segment_clusters", lambda spark, sf: df)
+    assert queries.segment_profiles(spark, None).count() == 10
+    assert queries.segment_profiles(spark, None, (-2.0, 2.0)).count() == 7
+
+
 def test_export_scores_partitions_by_day(spark, tmp_path):
     import datetime as dt
     from custseg.sources.io import export_scores
