@@ -78,8 +78,79 @@ SELECT page_id * 2 + 1 AS record_id, canonical_url, status,
 FROM s
 """ % _CANON
 
+#: least (cost, audit) by dynamic programming over (rows read, state), all conversations at once;
+#: a state is what the emitted roles allow: 0 nothing yet, 1 after s, 2 after u, 3 after a
+OP11 = r"""
+WITH RECURSIVE
+tab AS (
+  SELECT list(list_reduce(list_prepend(i, [1, 2, 3, 4, 5, 6, 7, 8]),
+           lambda c, s: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT range AS i FROM range(256))),
+kinds AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(
+      string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda h: ord(h)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS k
+  FROM conversations, tab),
+rows_ AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM kinds WHERE k <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM rows_),
+faults AS (
+  SELECT conv_id, turn, role, text, i, left(role, 1) AS ini,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+         WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+         WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+    CASE WHEN i > 1 AND lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1)
+              NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END AS bad
+  FROM placed),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, sum(bad) AS illegal, count(*) AS n
+  FROM faults GROUP BY conv_id),
+ins(q, q1, cost, edits, added) AS (VALUES
+  (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+  (0, 2, 2, 'I', chr(10) || 'user:'), (1, 2, 2, 'I', chr(10) || 'user:'), (3, 2, 2, 'I', chr(10) || 'user:'),
+  (2, 3, 2, 'I', chr(10) || 'assistant:'), (0, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (1, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+keeps(q, ini, q2) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+dp(conv_id, i, q, b) AS (
+  SELECT conv_id, 0::BIGINT, 0, {'cost': 0::BIGINT, 'audit': '', 'lines': ''} FROM counts
+  UNION ALL
+  SELECT conv_id, i, q, min(b) AS b FROM (
+    SELECT f.conv_id, f.i,
+      CASE e.e WHEN 'D' THEN s.q1 WHEN 'K' THEN k.q2 ELSE CASE WHEN s.q1 = 2 THEN 3 ELSE 2 END END AS q,
+      {'cost': d.b.cost + s.cost + CASE e.e WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END
+               + CASE WHEN e.e <> 'D' AND f.fault = 'truncated' THEN 1 ELSE 0 END,
+       'audit': d.b.audit || s.edits || e.e,
+       'lines': d.b.lines || s.added || CASE e.e WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || f.role || ':' || f.text
+                ELSE chr(10) || CASE WHEN s.q1 = 2 THEN 'assistant:' ELSE 'user:' END || f.text END} AS b
+    FROM dp d JOIN faults f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.i = d.i + 1
+    JOIN ins s ON s.q = d.q
+    CROSS JOIN (VALUES ('D'), ('K'), ('R')) e(e)
+    LEFT JOIN keeps k ON k.q = s.q1 AND k.ini = f.ini
+    WHERE e.e = 'D' OR (f.fault NOT IN ('blank', 'duplicate') AND (e.e = 'R' OR k.q2 IS NOT NULL))) t
+  GROUP BY conv_id, i, q),
+ends AS (
+  SELECT d.conv_id, min({'cost': d.b.cost + s.cost, 'audit': d.b.audit || s.edits, 'lines': d.b.lines || s.added}) AS b
+  FROM dp d JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.n = d.i
+  JOIN ins s ON s.q = d.q AND s.q1 IN (0, 3) GROUP BY d.conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+  CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(e.b.cost, 0) AS BIGINT) AS cost,
+  coalesce(e.b.audit, '') AS audit, sha256(coalesce(substr(e.b.lines, 2), '')) AS repaired_sha256
+FROM ids LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
 ORACLES = {
     "op7_maxscore": OP7,
     "op8_chat_tree": OP8,
     "op9_revisits": OP9,
+    "op11_conversation_repair": OP11,
 }

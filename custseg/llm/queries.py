@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custseg.llm import ann, chat, langid, maxscore, minhash, mixing, packing, quality, suffix_dedup, warc
+from custseg.llm import ann, chat, langid, maxscore, minhash, mixing, packing, quality, repair, suffix_dedup, toxicity, warc
 from custseg.llm.common import table
 from custseg.llm.oracles import ORACLES
 
@@ -71,10 +71,32 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    plans, rows = repair.repair(repair.damaged(turns))
+    found = plans.join(repair.digest(rows).withColumnRenamed("conv_id", "_digest_id"),
+                       F.col("conv_id").eqNullSafe(F.col("_digest_id")), "left").drop("_digest_id")
+    # a conversation that lost all its rows has no plan
+    ids = turns.select(F.col("conv_id").cast("long").alias("_id")).distinct()
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+              for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return ids.join(found, F.col("_id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("_id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    learn = F.crc32(F.col("_l").cast("string").cast("binary")) % 3 != 1
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn)
+    return toxicity.classify(docs, model).select("doc_id", fold.alias("held_out"), "score", "predicted")
+
+
 def queries():
     return {f.__name__: f for f in (
         op1_repeated_passages, op2_near_duplicates, op3_nearest_neighbours, op4_quality, op5_source_mixing, op6_packing, op7_maxscore,
-        op8_chat_tree, op9_revisits, op10_language_id)}
+        op8_chat_tree, op9_revisits, op10_language_id, op11_conversation_repair, op13_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
