@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custseg.llm import ann, chat, langid, maxscore, minhash, mixing, packing, quality, repair, suffix_dedup, toxicity, warc
+from custseg.llm import (alignment, ann, chat, langid, maxscore, minhash, mixing, packing, quality, repair,
+                         suffix_dedup, toxicity, warc)
 from custseg.llm.common import table
 from custseg.llm.oracles import ORACLES
 
@@ -85,6 +86,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                            public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -96,7 +102,7 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {f.__name__: f for f in (
         op1_repeated_passages, op2_near_duplicates, op3_nearest_neighbours, op4_quality, op5_source_mixing, op6_packing, op7_maxscore,
-        op8_chat_tree, op9_revisits, op10_language_id, op11_conversation_repair, op13_toxicity)}
+        op8_chat_tree, op9_revisits, op10_language_id, op11_conversation_repair, op12_token_alignment, op13_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

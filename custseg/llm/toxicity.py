@@ -244,12 +244,12 @@ def probabilities(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray
 
 def classify(docs: DataFrame, model: Softmax | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, predicted`` of every row."""
-    table, bias = model.table() if model else (np.zeros(BUCKETS, np.float32), -1e9)
-    table = table.astype(np.float32)             # BUCKETS numbers, whatever the corpus
+    # BUCKETS numbers, whatever the corpus
+    table, bias = model.table() if model else (None, 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = probabilities(b.column(1), table, bias)
+            p = np.zeros(b.num_rows) if table is None else probabilities(b.column(1), table, bias)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))],
                 names=["doc_id", "score", "predicted"])
