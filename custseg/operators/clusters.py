@@ -1,32 +1,29 @@
-"""k-means on the normalised features with Spark ML.
+"""k-means on the normalised features.
 
-* ``fit_kmeans``     fixed k (optionally standardised inside the pipeline)
 * ``auto_k``         grow k and stop when the relative drop of the within-SSE
                      falls below ``min(0.02 + 10/n + 2.5/p², 0.8)``
+* ``fixed_k``        fixed k, optionally standardised
 * ``scree_curve``    k = 1..16, 5-fold cross-validated held-out SSE
+* ``fit_kmeans``     Spark ML's seeded k-means||, for pipelines that want it
 * ``assign_nearest`` / ``within_sse`` / ``cluster_means`` for given centroids
 
-The fits are distributed (``KMeans`` runs over all executors); the driver
-only loops over k / folds / segments and sees at most k × p centroid numbers.
-Inputs are cut from their lineage with a reliable ``checkpoint`` into the
-shared ``spark.checkpoint.dir`` and laid out by key range, so every fit reads
-the same rows in the same order (Spark's k-means|| init depends on both).
-Cluster ids are renumbered deterministically: 1 = highest
-``F + M + T + S - R`` centroid score.
+The first three use ``operators.lloyd``: all k (and all folds) advance together,
+one pass over the rows a step, with the same centres on any cluster.  Cluster ids
+follow the centres: 1 = highest ``F + M + T + S - R`` centroid score.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import SQLTransformer, StandardScaler, StandardScalerModel, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from custseg.operators import lloyd, power
 from custseg.session import ensure_checkpoint_dir
 
 KEY = "Customer_Key"
@@ -65,47 +62,65 @@ def prepare(df: DataFrame, partitions: int | None = None, key: str = KEY) -> Dat
     return cut
 
 
-def _score_sign(cols: list[str]) -> list[float]:
+def score_sign(cols: list[str]) -> list[float]:
     return [-1.0 if c.lower().startswith("recency") else 1.0 for c in cols]
 
 
 @dataclass
 class Clustering:
-    model: PipelineModel
+    """A fitted model: centres (in id order) and fill values in millionths."""
     cols: list[str]
-    relabel: list[int]          # relabel[spark_prediction] = 1-based cluster id
+    scaled: list[list[float]]
+    fill: list[float]
     cost: float
-    only: list[float] | None = None     # the centre of a one-cluster model
+    mean: list[float] | None = None     # of a standardised model
+    sd: list[float] | None = None
 
     @property
     def k(self) -> int:
-        return len(self.relabel)
+        return len(self.scaled)
 
     def centers(self) -> list[list[float]]:
         """Centroids in input units (standardisation undone), ordered by id."""
-        if self.only is not None:
-            return [self.only]
-        km = self.model.stages[-1]
-        centers = [list(map(float, c)) for c in km.clusterCenters()]
-        scaler = [s for s in self.model.stages if isinstance(s, StandardScalerModel)]
-        if scaler:
-            sc = scaler[0]
-            mean, std = sc.mean.toArray(), sc.std.toArray()
-            centers = [[v * (s if s else 1.0) + m for v, m, s in zip(c, mean, std)] for c in centers]
-        out = [None] * len(centers)
-        for i, c in enumerate(centers):
-            out[self.relabel[i] - 1] = c
+        out = [[v / lloyd.SCALE for v in c] for c in self.scaled]
+        if self.mean is not None:
+            out = [[v * (s or 1.0) + m for v, m, s in zip(c, self.mean, self.sd)] for c in out]
         return out
 
-    def cluster_column(self, prediction: Column) -> Column:
-        return F.element_at(F.array(*[F.lit(v) for v in self.relabel]),
-                            (prediction + 1).cast("int")).cast("int")
+    def _input(self, j: int) -> str:
+        x = f"nanvl(CAST(`{self.cols[j]}` AS DOUBLE), CAST(NULL AS DOUBLE))"
+        if self.mean is None:
+            return x
+        return f"({x} - {self.mean[j]!r}D) / {self.sd[j]!r}D" if self.sd[j] else f"{x} * 0D"
+
+    def expression(self) -> str:
+        """The cluster id as SQL text, so that a saved pipeline can hold it."""
+        x = [f"coalesce(round(CASE WHEN abs({self._input(j)}) < double('infinity') THEN {self._input(j)} END "
+             f"* {float(lloyd.SCALE)!r}D), {self.fill[j]!r}D)" for j in range(len(self.cols))]
+        options = []
+        for i, c in enumerate(self.scaled):
+            d = " + ".join(f"({x[j]} - ({v!r}D)) * ({x[j]} - ({v!r}D))" for j, v in enumerate(c))
+            options.append(f"struct({d} AS d, {i + 1} AS id)")
+        return f"array_min(array({', '.join(options)})).id"
+
+    def stage(self) -> SQLTransformer:
+        return SQLTransformer(statement=f"SELECT *, {self.expression()} AS Cluster FROM __THIS__")
 
     def predict(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-        """``keep`` columns + ``Cluster`` (1-based, relabelled)."""
+        """``keep`` columns + ``Cluster`` (1-based)."""
         keep = keep if keep is not None else df.columns
-        out = self.model.transform(df)
-        return out.select(*keep, self.cluster_column(F.col("prediction")).alias("Cluster"))
+        return df.select(*keep, F.expr(self.expression()).cast("int").alias("Cluster"))
+
+
+def _clustering(row, cols: list[str], mean=None, sd=None) -> Clustering:
+    centres = [list(map(float, c)) for c in row["centres"]]
+    signs = score_sign(cols)
+    if mean is not None:                # ids follow the centres in input units
+        units = [[v * (d or 1.0) + m * lloyd.SCALE for v, m, d in zip(c, mean, sd)] for c in centres]
+    else:
+        units = centres
+    order = sorted(range(len(centres)), key=lambda i: (-sum(s * v for s, v in zip(signs, units[i])), i))
+    return Clustering(cols, [centres[i] for i in order], list(map(float, row["fill"])), float(row["sse"]), mean, sd)
 
 
 def fill_stage(df: DataFrame, cols: list[str]) -> SQLTransformer:
@@ -131,29 +146,17 @@ def assembled_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     return out
 
 
-def one_cluster(df: DataFrame, cols: list[str], cost: float) -> Clustering:
-    """The k = 1 model: everybody in cluster 1, the column means as its centre."""
-    row = df.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c)
-                   for c in cols]).collect()[0]
-    stage = SQLTransformer(statement="SELECT *, 0 AS prediction FROM __THIS__")
-    return Clustering(PipelineModel(stages=[stage]), cols, [1], cost,
-                      [float(row[c] or 0.0) for c in cols])
-
-
-def _relabel(centers: list[list[float]], cols: list[str]) -> list[int]:
-    sign = _score_sign(cols)
-    scores = [sum(s * v for s, v in zip(sign, c)) for c in centers]
-    order = sorted(range(len(centers)), key=lambda i: (-scores[i], i))
-    relabel = [0] * len(centers)
-    for rank, i in enumerate(order):
-        relabel[i] = rank + 1
-    return relabel
+@dataclass
+class SeededModel:
+    """A Spark ML k-means and its training cost."""
+    model: PipelineModel
+    cost: float
 
 
 def fit_kmeans(df: DataFrame, cols: list[str], k: int, seed: int = SEED,
                max_iter: int = DEFAULT_MAX_ITER, standardize: bool = False,
-               assembled: DataFrame | None = None, n_init: int = 1) -> Clustering:
-    """k-means on ``cols``; ``assembled`` (``df`` with the ``_raw`` vector
+               assembled: DataFrame | None = None, n_init: int = 1) -> SeededModel:
+    """Spark ML k-means on ``cols``; ``assembled`` (``df`` with the ``_raw`` vector
     column, ideally persisted) lets a loop of fits share one assembly.
     ``n_init > 1`` fits seeds ``seed, seed+1, …`` and keeps the lowest SSE
     (fewer bad local optima, at n_init times the cost)."""
@@ -172,59 +175,53 @@ def fit_kmeans(df: DataFrame, cols: list[str], k: int, seed: int = SEED,
         km = KMeans(featuresCol="_raw", k=k, seed=seed, maxIter=max_iter,
                     predictionCol="prediction").fit(data)
         model = PipelineModel(stages=[*_vector_stages(df, cols), km])
-    km = model.stages[-1]
-    centers = [list(map(float, c)) for c in km.clusterCenters()]
-    return Clustering(model, cols, _relabel(centers, cols), float(km.summary.trainingCost))
+    return SeededModel(model, float(model.stages[-1].summary.trainingCost))
 
 
-def total_ss(df: DataFrame, cols: list[str]) -> float:
-    """Within-SSE of one cluster (the k = 1 model): Σ over columns of
-    n · var_pop; exact, one aggregate."""
-    row = df.agg(*[(F.var_pop(c) * F.count(c)).alias(c) for c in cols]).collect()[0]
-    return float(sum(row[c] or 0.0 for c in cols))
-
-
-def auto_k(df: DataFrame, cols: list[str], k_max: int = AUTO_K_MAX, seed: int = SEED,
-           max_iter: int = DEFAULT_MAX_ITER, n_init: int = 1
+def auto_k(df: DataFrame, cols: list[str], k_max: int = AUTO_K_MAX, max_iter: int = DEFAULT_MAX_ITER
            ) -> tuple[Clustering, list[tuple[int, float]]]:
     """Grow k from 1; keep k while the relative SSE drop stays at or above
-    ``min(0.02 + 10/n + 2.5/p², 0.8)``.  Returns the chosen model (one centre
-    when k = 1) and the (k, SSE) curve that was evaluated."""
-    n = df.count()
-    p = len(cols)
-    cutoff = min(0.02 + 10.0 / max(n, 1) + 2.5 / (p * p), 0.8)
-    prev = total_ss(df, cols)
-    curve = [(1, prev)]
-    best = one_cluster(df, cols, prev)
-    assembled = assembled_rows(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for k in range(2, min(k_max, n) + 1):
-            m = fit_kmeans(df, cols, k, seed, max_iter, assembled=assembled, n_init=n_init)
-            curve.append((k, m.cost))
-            drop = (prev - m.cost) / prev if prev > 0 else 0.0
-            if drop < cutoff:
-                break
-            best, prev = m, m.cost
-    finally:
-        assembled.unpersist()
-    return best, curve
-
-
-def _held_out_sse(model: Clustering | None, train: DataFrame, test: DataFrame,
-                  cols: list[str]) -> float:
-    # every customer counts: a missing metric is filled as in the fit, by the training mean
-    filled = fill_stage(train, cols).transform(test)
-    names = [f"_f_{c}" for c in cols]
-    if model is None:   # k = 1: distance to the training mean
-        mrow = train.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c)
-                           for c in cols]).collect()[0]
-        centers = [[float(mrow[c] or 0.0) for c in cols]]
-        pred = filled.select(*names, F.lit(1).alias("Cluster"))
-    else:
-        centers = model.centers()
-        pred = model.predict(filled.select(*[F.col(n).alias(c) for n, c in zip(names, cols)]), names)
-    return float(pred.select(sq_dist_to(names, centers, F.col("Cluster")).alias("d"))
-                 .agg(F.sum("d")).collect()[0][0] or 0.0)
+    ``min(0.02 + 10/n + 2.5/p², 0.8)``.  Returns the chosen model and the
+    (k, SSE) curve up to the k that stopped it.  An empty ``df`` has one centre
+    at 0 and SSE 0."""
+    models = lloyd.fit(df, cols, list(range(1, k_max + 1)), max_iter)
+    rows = models.orderBy("k").collect()                   # k_max rows
+    if not rows:
+        return Clustering(cols, [[0.0] * len(cols)], [0.0] * len(cols), 0.0), [(1, 0.0)]
+    best = lloyd.growing_k(models, len(cols)).collect()[0]
+    last = min(best["k"] + 1, k_max, max(best["n"], 1))
+    return _clustering(best, cols), [(r["k"], float(r["sse"])) for r in rows if r["k"] <= last]
+
+
+def fixed_k(df: DataFrame, cols: list[str], k: int = FIXED_K, max_iter: int = DEFAULT_MAX_ITER,
+            standardize: bool = False) -> Clustering:
+    """The model of exactly ``k`` centres (fewer where there are fewer distinct rows)."""
+    mean = sd = None
+    data = df
+    if standardize:
+        params = power.fit_power_standardise(df, cols, power=False)
+        rows = {r["metric"]: r for r in params.collect()}  # one row a metric
+        mean = [float(rows[c]["mean"] or 0.0) if c in rows else 0.0 for c in cols]
+        sd = [float(rows[c]["sd"] or 0.0) if c in rows else 0.0 for c in cols]
+        data = power.apply_power_standardise(df, params, cols) if len(rows) == len(cols) else df
+    found = lloyd.fit(data, cols, [k], max_iter).collect()
+    if not found:
+        return Clustering(cols, [[0.0] * len(cols)], [0.0] * len(cols), 0.0)
+    return _clustering(found[0], cols, mean, sd)
+
+
+def scree_curve(df: DataFrame, cols: list[str], k_max: int = SCREE_K, folds: int = SCREE_FOLDS,
+                max_iter: int = SCREE_MAX_ITER, key: str = KEY, fold: Column | None = None
+                ) -> list[tuple[int, float]]:
+    """Cross-validated within-SSE for k = 1..k_max: each fold is held out of one set
+    of models and scored by it; the held-out SSEs are summed.  ``fold`` defaults to
+    ``pmod(xxhash64(key), folds)``.  All k and folds advance together: k_max + max_iter
+    passes over the rows.  Every customer counts: a missing metric takes the mean of
+    the rows fitted on."""
+    fold = F.pmod(F.xxhash64(F.col(key)), F.lit(folds)) if fold is None else fold
+    models = lloyd.fit(df, cols, list(range(1, k_max + 1)), max_iter, fold=fold, folds=folds)
+    got = models.groupBy("k").agg(F.sum(F.round(F.col("sse") * lloyd.SSE_SCALE).cast("long")).alias("s")).collect()
+    return sorted((r["k"], r["s"] / lloyd.SSE_SCALE) for r in got)
 
 
 def sq_dist_to(cols: list[str], centers: list[list[float]], cluster: Column) -> Column:
@@ -237,40 +234,6 @@ def sq_dist_to(cols: list[str], centers: list[list[float]], cluster: Column) ->
     return d
 
 
-def scree_curve(df: DataFrame, cols: list[str], k_max: int = SCREE_K, folds: int = SCREE_FOLDS,
-                max_iter: int = SCREE_MAX_ITER, seed: int = SEED, parallelism: int = 4,
-                key: str = KEY) -> list[tuple[int, float]]:
-    """Cross-validated within-SSE for k = 1..k_max: fold = pmod(xxhash64(key),
-    folds); each fold's model is fitted on the other folds and scored on it;
-    the held-out SSEs are summed.  Fits run ``parallelism`` at a time (like
-    ``CrossValidator(parallelism=…)``)."""
-    fold = F.pmod(F.xxhash64(F.col(key)), F.lit(folds))
-    tagged = df.withColumn("_fold", fold)
-    jobs = [(k, f) for k in range(1, k_max + 1) for f in range(folds)]
-    # fold sizes once (folds rows), not one count per fit
-    sizes = {r["_fold"]: r["n"] for r in
-             tagged.groupBy("_fold").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(sizes.values())
-
-    def run(job):
-        k, f = job
-        train = tagged.filter(F.col("_fold") != f)
-        test = tagged.filter(F.col("_fold") == f)
-        n_train = total - sizes.get(f, 0)
-        if k == 1 or n_train < k:
-            m = None if k == 1 else fit_kmeans(train, cols, max(1, min(k, n_train)), seed, max_iter)
-        else:
-            m = fit_kmeans(train, cols, k, seed, max_iter)
-        return k, _held_out_sse(m, train, test, cols)
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        results = list(pool.map(run, jobs))
-    sse = {}
-    for k, v in results:
-        sse[k] = sse.get(k, 0.0) + v
-    return sorted(sse.items())
-
-
 def nearest_cluster(cols: list[str], centers: list[list[float]]) -> Column:
     """1-based id of the nearest centre (ties -> lowest id); a pure column
     expression, no join of points with centres."""

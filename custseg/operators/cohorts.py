@@ -1,26 +1,20 @@
 """Cohort-level workflows: premium vs non-premium, per segment, nested
 clustering, model persistence and scoring.
 
-The per-segment and per-cohort loops run on the driver over a handful of
-labels; inside, every fit and every transform is a distributed Spark job.
-The normalisation of all segments is fitted in ONE grouped job (λ, mean and SD
-per (segment, metric)), not once per segment.
+Segments and cohorts are groups of one fit: λ, mean and SD come from one grouped
+job, and the k-means of all groups advance together (``operators.lloyd``), each
+with its own k.  The number of jobs does not depend on the number of groups.
 """
 
 from __future__ import annotations
 
-import uuid
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custseg.operators import clusters, power, profiles
+from custseg.operators import clusters, lloyd, power, profiles
 from custseg.operators import features as feat
+from custseg.session import written
 from custseg.sources import extracts
 
 KEY = "Customer_Key"
@@ -56,11 +50,25 @@ def normalise_and_cluster(features: DataFrame, cols: list[str], keep: list[str]
     keep = keep or [KEY]
     params = power.fit_power_standardise(features, cols)
     norm = power.apply_power_standardise(features.select(*keep, *cols), params, cols)
-    data = clusters.prepare(norm)
+    data = written(norm, "normalised")
     model, _ = clusters.auto_k(data, cols)
     return data, model
 
 
+def grouped_clusters(features: DataFrame, cols: list[str], group_cols: list[str],
+                     k_max: int = clusters.AUTO_K_MAX, max_iter: int = clusters.DEFAULT_MAX_ITER,
+                     state_bytes: int = lloyd.STATE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Transform and automatic k within every group at once.  Returns the normalised
+    rows and one model a group (``_g, f, k, n, sse, centres, fill``); centres are in id
+    order.  A NULL group is a group."""
+    params = power.fit_power_standardise(features, cols, group_cols)
+    norm = written(power.apply_power_standardise(features, params, cols, group_cols), "normalised")
+    models = lloyd.fit(norm, cols, list(range(1, k_max + 1)), max_iter, group_cols, state_bytes=state_bytes)
+    best = lloyd.growing_k(models, len(cols)).withColumn(
+        "centres", lloyd.ranked(F.col("centres"), clusters.score_sign(cols)))
+    return norm, best
+
+
 def best_cluster_members(features: DataFrame, cols: list[str],
                          cluster_id: int | None = None) -> DataFrame:
     """Raw features of the members of the best cluster (id 1 after the
@@ -80,99 +88,47 @@ def nested_clusters(features: DataFrame, cols: list[str]) -> DataFrame:
     return model.predict(data, [KEY, *cols])
 
 
-def segment_clusters(features: DataFrame, cols: list[str], path: str | None = None,
-                     parallelism: int = 4) -> DataFrame:
-    """Normalise within each segment (one grouped fit), then one auto-k
-    k-means per segment.  ``Segment, Customer_Key, Cluster, metrics``.
-
-    The normalised rows are written once to a table partitioned by segment in
-    the shared folder; each segment's fits then read only their partition
-    (partition pruning) instead of filtering the whole table on every
-    k-means iteration.
-    """
-    from custseg.session import shared_path
-    spark = features.sparkSession
-    params = power.fit_power_standardise(features, cols, ["Segment"])
-    norm = power.apply_power_standardise(features.select("Segment", KEY, *cols), params, cols,
-                                         ["Segment"])
-    path = path or shared_path(spark, f"segments/normalised_{uuid.uuid4().hex}")
-    norm.write.mode("overwrite").partitionBy("Segment").parquet(path)
-    table = spark.read.parquet(path)
-    segments = sorted(r["Segment"] for r in params.select("Segment").distinct().collect())
-    sizes = {r["Segment"]: r["n"] for r in
-             table.groupBy("Segment").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    def fit_one(seg):
-        n_parts = clusters.partitions_for(spark, sizes.get(seg, 0))
-        part = (table.filter(F.col("Segment") == seg)
-                .repartitionByRange(n_parts, KEY).sortWithinPartitions(KEY)
-                .persist(StorageLevel.MEMORY_AND_DISK))
-        try:
-            model, _ = clusters.auto_k(part, cols)
-        finally:
-            part.unpersist()
-        # the model is fixed, so predictions recompute identically from the
-        # written table after the cached copy is released
-        src = table.filter(F.col("Segment") == seg)
-        return model.predict(src, ["Segment", KEY, *cols])
-
-    # independent segments: fit a few at a time (each fit is itself distributed)
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(segments)))) as pool:
-        preds = list(pool.map(fit_one, segments))
-    out = preds[0]
-    for p in preds[1:]:
-        out = out.unionByName(p)
-    return out
+def segment_clusters(features: DataFrame, cols: list[str], state_bytes: int = lloyd.STATE_BYTES) -> DataFrame:
+    """Transform and automatic-k k-means within each segment, a NULL segment included.
+    ``Segment, Customer_Key, Cluster, metrics``."""
+    norm, models = grouped_clusters(features.select("Segment", KEY, *cols), cols, ["Segment"],
+                                    state_bytes=state_bytes)
+    return lloyd.label(norm, cols, models, clusters.AUTO_K_MAX, ["Segment", KEY, *cols], ["Segment"])
 
 
 def cohort_comparison(spark: SparkSession, src, as_of, segment: str = "BTC") -> DataFrame:
     """Premium vs non-premium: RFM normalised per cohort, auto-k per cohort,
     centroid profiles side by side (``cohort, Cluster, metric, …``)."""
-    feats = premium_cohort_features(src, as_of, segment).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def one(name):
-        f = feats.filter(F.col("cohort") == name)
-        _data, model = normalise_and_cluster(f, feat.RFM)
-        return centroid_table(spark, model, feat.RFM).select(F.lit(name).alias("cohort"), "*")
-
-    # the two cohorts are independent fits: run them side by side
-    with ThreadPoolExecutor(max_workers=2) as pool:
-        tables = list(pool.map(one, ("premium", "non_premium")))
-    feats.unpersist()
-    return tables[0].unionByName(tables[1])
-
-
-def scoring_pipeline(cols: list[str], k: int, seed: int = clusters.SEED,
-                     max_iter: int = clusters.DEFAULT_MAX_ITER) -> Pipeline:
-    """Transform + k-means as one persistable pipeline (the fitted λ, means
-    and SDs are saved with the centroids)."""
-    return Pipeline(stages=[
-        power.YeoJohnsonScaler(inputCols=cols, outputCols=[f"z_{c}" for c in cols]),
-        # a missing metric takes the standardised mean: every customer is scored
-        SQLTransformer(statement="SELECT *, " + ", ".join(
-            f"coalesce(nanvl(`z_{c}`, double(NULL)), 0D) AS `_f_{c}`" for c in cols) + " FROM __THIS__"),
-        VectorAssembler(inputCols=[f"_f_{c}" for c in cols], outputCol="_features"),
-        KMeans(featuresCol="_features", k=k, seed=seed, maxIter=max_iter),
-    ])
+    feats = premium_cohort_features(src, as_of, segment)
+    _norm, models = grouped_clusters(feats.select("cohort", KEY, *feat.RFM), feat.RFM, ["cohort"])
+    centre = models.select(F.from_json("_g", "cohort string")["cohort"].alias("cohort"),
+                           F.posexplode("centres").alias("i", "c"))
+    long = centre.select("cohort", (F.col("i") + 1).cast("int").alias("Cluster"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("metric"), (F.col("c")[j] / lloyd.SCALE).alias("value"))
+        for j, c in enumerate(feat.RFM)])).alias("m"))
+    return long.select("cohort", "Cluster", "m.metric", profiles.metric_order("m.metric").alias("metric_order"),
+                       "m.value")
+
+
+def fitted_transform(features: DataFrame, cols: list[str]) -> power.YeoJohnsonScalerModel:
+    """The normalisation of ``cols``, in place, fitted on ``features``."""
+    params = {r["metric"]: r for r in power.fit_power_standardise(features, cols).collect()}
+
+    def value(c, name):
+        v = params[c][name] if c in params else None
+        return float("nan") if v is None else float(v)
+    return power.YeoJohnsonScalerModel(inputCols=cols, outputCols=cols, lambdas=[value(c, "lambda") for c in cols],
+                                       means=[value(c, "mean") for c in cols], sds=[value(c, "sd") for c in cols])
 
 
 def fitted_pipeline(features: DataFrame, cols: list[str]) -> PipelineModel:
     """Fit the transform and auto-k k-means once and assemble them into one
-    persistable ``PipelineModel``: transform in place, fill missing metrics,
-    vector, k-means, and the 1-based relabelled ``Cluster``."""
-    params = {r["metric"]: r for r in power.fit_power_standardise(features, cols).collect()}
-    nan = float("nan")
-    scaler = power.YeoJohnsonScalerModel(
-        inputCols=cols, outputCols=cols,
-        lambdas=[nan if params[c]["lambda"] is None else params[c]["lambda"] for c in cols],
-        means=[nan if params[c]["mean"] is None else params[c]["mean"] for c in cols],
-        sds=[nan if params[c]["sd"] is None else params[c]["sd"] for c in cols])
-    data = clusters.prepare(scaler.transform(features.select(KEY, *cols)))
+    persistable ``PipelineModel``: transform in place, then the 1-based ``Cluster``
+    of the nearest centre (a missing metric takes the training mean)."""
+    scaler = fitted_transform(features, cols)
+    data = written(scaler.transform(features.select(KEY, *cols)), "normalised")
     model, _ = clusters.auto_k(data, cols)
-    ids = ", ".join(str(v) for v in model.relabel)
-    label = SQLTransformer(
-        statement=f"SELECT *, element_at(array({ids}), int(prediction) + 1) AS Cluster FROM __THIS__")
-    return PipelineModel(stages=[scaler, *model.model.stages, label])
+    return PipelineModel(stages=[scaler, model.stage()])
 
 
 def train(features: DataFrame, cols: list[str], path: str) -> None:
@@ -185,8 +141,8 @@ def score(path: str, features: DataFrame, cols: list[str], refit: bool = False)
     row per customer, ``Customer_Key, Cluster, metrics``.  ``refit=True`` re-fits
     the transform on the scoring data, as the reference's scoring script does."""
     model = PipelineModel.load(path)
-    if refit:
-        model = PipelineModel(stages=[fitted_pipeline(features, cols).stages[0], *model.stages[1:]])
+    if refit:               # the transform alone: one fit of λ, mean and SD, no k-means
+        model = PipelineModel(stages=[fitted_transform(features, cols), *model.stages[1:]])
     return model.transform(features.select(KEY, *cols)).select(KEY, F.col("Cluster").cast("int"), *cols)
 
 
@@ -201,10 +157,9 @@ def model_roundtrip(spark: SparkSession, features: DataFrame, cols: list[str], p
                     ) -> DataFrame:
     """Predictions before and after save/load: ``Customer_Key, Cluster,
     Cluster_loaded`` (they must be equal on every row)."""
-    model = scoring_pipeline(cols, 4).fit(features)
+    model = fitted_pipeline(features, cols)
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
-    a = model.transform(features).select(KEY, (F.col("prediction") + 1).cast("int").alias("Cluster"))
-    b = loaded.transform(features).select(KEY, (F.col("prediction") + 1).cast("int")
-                                          .alias("Cluster_loaded"))
+    a = model.transform(features).select(KEY, F.col("Cluster").cast("int"))
+    b = loaded.transform(features).select(KEY, F.col("Cluster").cast("int").alias("Cluster_loaded"))
     return a.join(b, KEY)

@@ -8,6 +8,8 @@ independently of the Spark code.
 
 from __future__ import annotations
 
+from custseg.plans.kmeans_sql import dist, fit_ctes, grow_ctes, label_ctes
+
 ORDERS_AS_OF = "DATE '2001-08-01'"
 READER_AS_OF = "DATE '2024-01-30'"
 
@@ -406,9 +408,115 @@ def _cohort_features_sql() -> str:
     return W(*ctes) + "\n" + "\nUNION ALL ".join(body)
 
 
+def R(*ctes: str) -> str:
+    """``W`` with recursive CTEs."""
+    return W(*ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _auto(p: str, src: str, cols: list[str]) -> list[str]:
+    return [*fit_ctes(p, src, cols, list(range(1, 11)), 10), *grow_ctes(p, len(cols)), *label_ctes(p, f"{p}_best", cols)]
+
+
+def _source(name: str, table: str, cols: list[str], g: str = "''") -> str:
+    return f"{name} AS (SELECT {g} AS g, Customer_Key AS id, {', '.join(cols)} FROM {table})"
+
+
+AUTO = [*NORM_RFMTS, _source("ka_src", "nr_z", RFMTS_COLS), *_auto("ka", "ka_src", RFMTS_COLS)]
+FIXED = [*NORM_RFMTS,
+         "kst AS (SELECT " + ", ".join(f"avg({c}) AS {c}_mean, stddev_samp({c}) AS {c}_sd" for c in RFMTS_COLS) + " FROM nr_z)",
+         "kf_src AS (SELECT '' AS g, Customer_Key AS id, " + ", ".join(
+             f"CASE WHEN {c}_sd = 0 THEN 0.0 ELSE ({c} - {c}_mean) / {c}_sd END AS {c}" for c in RFMTS_COLS) + " FROM nr_z, kst)",
+         *fit_ctes("kf", "kf_src", RFMTS_COLS, [7], 10),
+         *label_ctes("kf", "kf_models", RFMTS_COLS,
+                     "c[{j}] * (SELECT {c}_sd FROM kst) + (SELECT {c}_mean FROM kst) * 1000000")]
+SEGMENTS = [*NORM_SEG, _source("ks_src", "ng_z", RFMTS_COLS, "Segment"), *_auto("ks", "ks_src", RFMTS_COLS),
+            "ks_out AS (SELECT z.Segment, z.Customer_Key, l.Cluster, "
+            + ", ".join(f"round(z.{c}, 6) AS {c}" for c in RFMTS_COLS)
+            + " FROM ng_z z JOIN ks_lab l ON l.id = z.Customer_Key AND l.g = z.Segment)"]
+
+
+def _normal(p: str, src: str, cols: list[str], keys: list[str] = (), ids: list[str] = ("Customer_Key",)) -> list[str]:
+    return [long_cte(f"{p}l", src, cols, [*ids, *keys]),
+            *normalise_ctes(p, f"{p}l", [*keys, "metric"], [*ids, *keys], cols)]
+
+
+BEST = [*_normal("nb", "rfmts_a", RFMTS_COLS), _source("kb_src", "nb_z", RFMTS_COLS), *_auto("kb", "kb_src", RFMTS_COLS),
+        "best AS (SELECT a.* FROM rfmts_a a JOIN kb_lab l ON l.id = a.Customer_Key WHERE l.Cluster = 1)"]
+
+
+def _labelled(lab: str, z: str, extra: str = "") -> str:
+    return ("\nSELECT z.Customer_Key, " + ", ".join(f"round(z.{c}, 6) AS {c}" for c in RFMTS_COLS)
+            + f", l.Cluster{extra} FROM {z} z JOIN {lab} l ON l.id = z.Customer_Key")
+
+
+def _centroids(cen: str, cols: list[str], unit: str = "c[{j}] / 1000000", keep: str = "") -> str:
+    parts = [f"SELECT {keep}Cluster, '{c}' AS metric, {MORDER.replace('metric', repr(c))} AS metric_order, "
+             f"round({unit.format(j=j + 1, c=c)} + 1e-9, 6) AS value FROM {cen}" for j, c in enumerate(cols)]
+    return "\n" + "\nUNION ALL ".join(parts)
+
+
+def _box(src: str, group: str, cols: list[str], limits: str = "") -> str:
+    parts = " UNION ALL ".join(f"SELECT {group} AS grp, '{c}' AS metric, {c} AS value FROM {src}" for c in cols)
+    return f"""
+, bl AS (SELECT * FROM ({parts}) u WHERE value IS NOT NULL {limits}),
+bq AS (SELECT grp, metric, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
+              quantile_cont(value, 0.75) AS q3 FROM bl GROUP BY grp, metric)
+SELECT q.grp AS {{group}}, q.metric, q.n, round(q.q1, 6) AS q1, round(q.median, 6) AS median, round(q.q3, 6) AS q3,
+       round(min(CASE WHEN b.value >= q.q1 - 1.5 * (q.q3 - q.q1) THEN b.value END), 6) AS lower,
+       round(max(CASE WHEN b.value <= q.q3 + 1.5 * (q.q3 - q.q1) THEN b.value END), 6) AS upper
+FROM bl b JOIN bq q ON q.grp = b.grp AND q.metric = b.metric
+GROUP BY q.grp, q.metric, q.n, q.q1, q.median, q.q3"""
+
+
+def kmeans_oracles() -> dict[str, str]:
+    rfm = ["RecencyDays", "Frequency", "Monetary"]
+    cohort = _cohort_features_sql()
+    cohort_ctes, cohort_body = cohort.split("\nSELECT 'premium'", 1)
+    cohort_ctes = cohort_ctes.replace("WITH ", "WITH RECURSIVE ", 1) + ",\ncohf AS (SELECT 'premium'" + cohort_body + "),\n"
+    folds = "range(5) fo(f)"
+    fold_src = "SELECT f AS g, Customer_Key AS id, " + ", ".join(RFMTS_COLS) + f" FROM nr_z, {folds} WHERE Customer_Key % 5 "
+    units = "c[{j}] / 1000000 * (SELECT {c}_sd FROM kst) + (SELECT {c}_mean FROM kst)"
+    sizes = "\nSELECT Cluster, count(*) AS n FROM {}_lab GROUP BY Cluster"
+    other = ("rf AS (SELECT Customer_Key, " + ", ".join(RFMTS_COLS) + " FROM rfmts_seg WHERE Segment <> 'BTC')")
+    return {
+        "kmeans_auto_k": R(*AUTO) + _labelled("ka_lab", "nr_z"),
+        "score_customers": R(*AUTO) + _labelled("ka_lab", "nr_z"),
+        "model_roundtrip_scores": R(*AUTO) + "\nSELECT id AS Customer_Key, Cluster, Cluster AS Cluster_loaded FROM ka_lab",
+        "cluster_sizes": R(*AUTO) + sizes.format("ka"),
+        "cluster_profile": R(*AUTO) + _centroids("ka_cen", RFMTS_COLS),
+        "auto_k_curve": R(*AUTO) + "\nSELECT CAST(m.k AS INTEGER) AS k, m.sse FROM ka_models m, ka_best b "
+                                   "WHERE m.k <= least(b.k + 1, 10, b.n)",
+        "kmeans_fixed_k": R(*FIXED) + _labelled("kf_lab", "nr_z"),
+        "fixed_k_sizes": R(*FIXED) + sizes.format("kf"),
+        "fixed_k_profile": R(*FIXED) + _centroids("kf_cen", RFMTS_COLS, units),
+        "fixed_k_box_stats": R(*FIXED, "fb AS (SELECT l.Cluster, z.* FROM nr_z z JOIN kf_lab l ON l.id = z.Customer_Key)")
+        + _box("fb", "Cluster", RFMTS_COLS).format(group="Cluster"),
+        "export_roundtrip": R(*FIXED) + f"\nSELECT id AS Customer_Key, Cluster, {ORDERS_AS_OF} AS as_of FROM kf_lab",
+        "scree_curve": R(*NORM_RFMTS, f"kc_src AS ({fold_src} <> f)", f"kc_out AS ({fold_src} = f)",
+                         *fit_ctes("kc", "kc_src", RFMTS_COLS, list(range(1, 17)), 25, "kc_out"))
+        + "\nSELECT CAST(k AS INTEGER) AS k, sum(round(sse * 1e9)::HUGEINT)::DOUBLE / 1e9 AS wss FROM kc_models GROUP BY k",
+        "segment_clusters": R(*SEGMENTS) + "\nSELECT * FROM ks_out",
+        "segment_profiles": R(*SEGMENTS) + "\n" + profile_sql("ks_out", "Segment, Cluster", RFMTS_COLS),
+        "segment_box_stats": R(*SEGMENTS, "sb AS (SELECT Segment || '/' || CAST(Cluster AS VARCHAR) AS Grp, * FROM ks_out)")
+        + _box("sb", "Grp", RFMTS_COLS, "AND value BETWEEN -5.0 AND 5.0").format(group='"Group"'),
+        "cohort_comparison": cohort_ctes + ",\n".join([
+            *_normal("nc", "cohf", rfm, ["cohort"]), _source("kh_src", "nc_z", rfm, "cohort"), *_auto("kh", "kh_src", rfm)])
+        + _centroids("kh_cen", rfm, keep="g AS cohort, "),
+        "best_cluster_members": R(*BEST) + "\nSELECT * FROM best",
+        "nested_clusters": R(*BEST, *_normal("n2", "best", RFMTS_COLS), _source("k2_src", "n2_z", RFMTS_COLS),
+                             *_auto("k2", "k2_src", RFMTS_COLS)) + _labelled("k2_lab", "n2_z"),
+        "score_refit": R(*AUTO, other, *_normal("nx", "rf", RFMTS_COLS), "rx AS (SELECT Customer_Key, "
+                         + ", ".join(f"coalesce(round({c} * 1000000), f.{c}_fill) AS {c}" for c in RFMTS_COLS)
+                         + " FROM nx_z, (SELECT " + ", ".join(f"fill[{j + 1}] AS {c}_fill" for j, c in enumerate(RFMTS_COLS))
+                         + " FROM ka_best) f)", "rl AS (SELECT id, Cluster FROM (SELECT x.Customer_Key AS id, n.Cluster, "
+                         "row_number() OVER (PARTITION BY x.Customer_Key ORDER BY " + dist(RFMTS_COLS, "n.c")
+                         + ", n.Cluster) AS rn FROM rx x, ka_cen n) t WHERE rn = 1)") + _labelled("rl", "nx_z"),
+    }
+
+
 def all_oracles() -> dict[str, str]:
     n_t = W(*NORM_TIERS)
-    return {
+    return kmeans_oracles() | {
         "source_orders": W() + "\nSELECT * FROM order_fact",
         "orders_active_premium_3y": W() + "\nSELECT * FROM o3",
         "orders_active_premium_1y": W() + "\nSELECT * FROM o1",
