@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 KEY = "Customer_Key"
 # fixed values: metric display order of the profile plots
 METRIC_ORDER = {"RecencyDays": 1, "Frequency": 2, "Monetary": 3, "Tenure": 4, "Streaming": 5,
-                "Recency": 1}
+                "Recency": 1, "logFrequency": 2, "logMonetary": 3}
 ROUND = 6
 EDGE_EPS = 1e-9
 
@@ -106,7 +106,8 @@ def feature_ranges(df: DataFrame, cols: list[str]) -> DataFrame:
     one = df.agg(*aggs)
     return one.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"min_{c}").alias("min_value"),
-                 F.col(f"max_{c}").alias("max_value")) for c in cols])).alias("r")).select("r.*")
+                 F.col(f"max_{c}").alias("max_value")) for c in cols])).alias("r")).select(
+                     "r.*", metric_order("r.column").alias("metric_order"))
 
 
 def log_features_long(tiers: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def log_features_long(tiers: DataFrame) -> DataFrame:
     long = base.unpivot([KEY, "Customer_Segment"],
                         ["RecencyDays", "logFrequency", "logMonetary", "Tenure"], "name", "value")
     return long.filter(F.col("value").isNotNull()).select(
-        KEY, "Customer_Segment", "name", r6(F.col("value")).alias("value"))
+        KEY, "Customer_Segment", "name", metric_order("name").alias("metric_order"), r6(F.col("value")).alias("value"))
 
 
 def to_long(df: DataFrame, ids: list[str], metrics: list[str], name: str = "metric",
@@ -175,13 +176,63 @@ def histogram_density(long: DataFrame, group_col: str, name_col: str = "name",
     hist = hist.join(counts, [name_col, group_col])
     width = (F.col("_hi") - F.col("_lo")) / bins
     return hist.select(
-        name_col, group_col, "bin",
+        name_col, metric_order(name_col).alias("metric_order"), group_col, "bin",
         r6(F.col("_lo") + F.col("bin") * width).alias("bin_lo"),
         r6(F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
         "n",
         r6(F.when(width > 0, F.col("n") / (F.col("_n") * width))).alias("density"))
 
 
+def bandwidth(n, sd, iqr, low):
+    """Rule-of-thumb bandwidth ``0.9 · min(sd, IQR / 1.34) · n^-0.2``; a spread of 0 is
+    replaced by the SD, then by the size of the least value, then by 1."""
+    spread = F.least(sd, iqr / F.lit(1.34))
+    for other in (sd, F.abs(low)):
+        spread = F.when(spread > 0, spread).otherwise(other)
+    spread = F.when(spread > 0, spread).otherwise(F.lit(1.0))
+    return F.lit(0.9) * spread * F.pow(n.cast("double"), F.lit(-0.2))
+
+
+def kernel_density(long: DataFrame, group_col: str, name_col: str = "name", value_col: str = "value",
+                   points: int = 512, tiebreak: str = KEY) -> DataFrame:
+    """Gaussian kernel density per (name, group) at ``points`` places over the range of
+    the name in all groups, with the group's rule-of-thumb bandwidth.
+
+    Values are binned linearly on the places (a value shares itself between its two
+    neighbours), so the rows shrink map-side to at most ``points`` weights a group, and
+    the kernel is summed over weights, not rows: points² terms a (name, group)
+    whatever the data.  Quartiles for the bandwidth are exact, by distributed rank.
+    Groups of fewer than two values have no curve; a name with one value has one place."""
+    from custseg.operators.quantiles import exact_quantiles
+    long = long.filter(F.col(value_col).isNotNull()).select(
+        group_col, name_col, F.col(value_col).alias("_v"), tiebreak)
+    rng = long.groupBy(name_col).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    step = (F.col("_hi") - F.col("_lo")) / F.lit(points - 1)
+    placed = long.join(F.broadcast(rng), name_col)      # one row per name: bounded
+    at = F.when(step > 0, F.least((F.col("_v") - F.col("_lo")) / step, F.lit(float(points - 1)))).otherwise(F.lit(0.0))
+    low = F.floor(at)
+    share = placed.withColumn("_at", at).withColumn("_b", F.explode(F.array(
+        F.struct(low.cast("int").alias("i"), (F.lit(1.0) - (F.col("_at") - low)).alias("w")),
+        F.struct((low + 1).cast("int").alias("i"), (F.col("_at") - low).alias("w")))))
+    weights = share.filter("_b.w > 0").groupBy(name_col, group_col, F.col("_b.i").alias("_i"), "_lo", "_hi").agg(
+        F.sum("_b.w").alias("_w"))
+    q = exact_quantiles(long, [group_col, name_col], "_v", tiebreak, [0.25, 0.75])
+    spread = long.groupBy(group_col, name_col).agg(F.stddev_samp("_v").alias("_sd"), F.min("_v").alias("_min"))
+    h = q.join(spread, [group_col, name_col]).filter("n > 1").select(
+        group_col, name_col, F.col("n").alias("n"),
+        bandwidth(F.col("n"), F.col("_sd"), F.col("q1") - F.col("q0"), F.col("_min")).alias("bandwidth"))
+    grid = weights.join(h, [group_col, name_col]).withColumn("point", F.explode(F.when(
+        step > 0, F.sequence(F.lit(0), F.lit(points - 1))).otherwise(F.array(F.lit(0)))))
+    z = (F.col("point") - F.col("_i")) * step / F.col("bandwidth")
+    sums = grid.groupBy(name_col, group_col, "point", "_lo", "_hi", "n", "bandwidth").agg(
+        F.sum(F.col("_w") * F.exp(F.lit(-0.5) * z * z)).alias("_k"))
+    root = F.sqrt(F.lit(2.0) * F.pi())
+    return sums.select(
+        name_col, metric_order(name_col).alias("metric_order"), group_col, "point",
+        r6(F.col("_lo") + F.col("point") * step).alias("x"), r6(F.col("bandwidth")).alias("bandwidth"), "n",
+        r6(F.col("_k") / (F.col("n") * F.col("bandwidth") * root)).alias("density"))
+
+
 def box_stats(long: DataFrame, group_col: str, name_col: str = "metric",
               value_col: str = "value", value_range: tuple | None = None,
               tiebreak: str = KEY) -> DataFrame:
@@ -196,15 +247,16 @@ def box_stats(long: DataFrame, group_col: str, name_col: str = "metric",
     q = exact_quantiles(long, [group_col, name_col], value_col, tiebreak, [0.25, 0.5, 0.75])
     q = q.select(group_col, name_col, "n", F.col("q0").alias("q1"),
                  F.col("q1").alias("median"), F.col("q2").alias("q3"))
-    # one row per (group, name): bounded by the number of labels
-    j = long.join(F.broadcast(q), [group_col, name_col])
+    # one row per (group, name); groups may be segments x clusters, so the size of the
+    # broadcast is left to Spark's threshold
+    j = long.join(q, [group_col, name_col])
     iqr = F.col("q3") - F.col("q1")
     inside_lo = F.col(value_col) >= F.col("q1") - 1.5 * iqr
     inside_hi = F.col(value_col) <= F.col("q3") + 1.5 * iqr
     w = j.groupBy(group_col, name_col, "n", "q1", "median", "q3").agg(
         F.min(F.when(inside_lo, F.col(value_col))).alias("lower"),
         F.max(F.when(inside_hi, F.col(value_col))).alias("upper"))
-    return w.select(group_col, name_col, "n", r6(F.col("q1")).alias("q1"),
+    return w.select(group_col, name_col, metric_order(name_col).alias("metric_order"), "n", r6(F.col("q1")).alias("q1"),
                     r6(F.col("median")).alias("median"), r6(F.col("q3")).alias("q3"),
                     r6(F.col("lower")).alias("lower"), r6(F.col("upper")).alias("upper"))
 

@@ -286,6 +286,36 @@ def rounded(src: str, ids: list[str], cols: list[str]) -> str:
     return f"SELECT {', '.join(ids)}, {', '.join(f'{r6(c)} AS {c}' for c in cols)} FROM {src}"
 
 
+def morder(c: str) -> str:
+    return (f"CAST(CASE {c} WHEN 'RecencyDays' THEN 1 WHEN 'Frequency' THEN 2 WHEN 'logFrequency' THEN 2 "
+            f"WHEN 'Monetary' THEN 3 WHEN 'logMonetary' THEN 3 WHEN 'Tenure' THEN 4 WHEN 'Streaming' THEN 5 END AS INTEGER)")
+
+
+def kde_sql(src: str, group: str, points: int = 512) -> str:
+    """Linear binning on the places, then the Gaussian kernel over the weights."""
+    return f"""
+kr AS (SELECT name, min(value) AS lo, max(value) AS hi, (max(value) - min(value)) / {points - 1} AS step FROM {src} GROUP BY name),
+kw AS (
+  SELECT name, {group}, i, sum(w) AS w FROM (
+    SELECT v.name, v.{group}, unnest([floor(a), floor(a) + 1]) AS i, unnest([1 - (a - floor(a)), a - floor(a)]) AS w
+    FROM (SELECT s.name, s.{group}, CASE WHEN r.step > 0 THEN least((s.value - r.lo) / r.step, {points - 1}) ELSE 0 END AS a
+          FROM {src} s JOIN kr r ON r.name = s.name) v) u WHERE w > 0 GROUP BY name, {group}, i),
+ks0 AS (
+  SELECT name, {group}, count(*) AS n, stddev_samp(value) AS sd, min(value) AS low,
+         (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34 AS iqr FROM {src} GROUP BY name, {group}),
+kb AS (
+  SELECT name, {group}, n, 0.9 * CASE WHEN least(sd, iqr) > 0 THEN least(sd, iqr) WHEN sd > 0 THEN sd
+                                      WHEN abs(low) > 0 THEN abs(low) ELSE 1 END * pow(n, -0.2) AS h FROM ks0 WHERE n > 1),
+kp AS (
+  SELECT b.name, b.{group}, r.lo, r.step, b.n, b.h, p.p
+  FROM kb b JOIN kr r ON r.name = b.name, range({points}) p(p) WHERE r.step > 0 OR p.p = 0)
+SELECT k.name, {morder('k.name')} AS metric_order, k.{group}, CAST(k.p AS INTEGER) AS point, round(k.lo + k.p * k.step, 6) AS x,
+       round(k.h, 6) AS bandwidth, k.n,
+       round(sum(w.w * exp(-0.5 * pow((k.p - w.i) * k.step / k.h, 2))) / (k.n * k.h * sqrt(2 * pi())), 6) AS density
+FROM kp k JOIN kw w ON w.name = k.name AND w.{group} IS NOT DISTINCT FROM k.{group}
+GROUP BY k.name, k.{group}, k.p, k.lo, k.step, k.n, k.h"""
+
+
 def hist_sql(src: str, group: str, bins: int = 30) -> str:
     w = f"((r.hi - r.lo) / {bins})"
     return f"""
@@ -295,7 +325,7 @@ hb AS (
   SELECT v.name, v.{group}, r.lo, r.hi,
          CAST(CASE WHEN {w} = 0 THEN 0 ELSE least(floor((v.value - r.lo) / {w} + 1e-9), {bins - 1}) END AS INTEGER) AS bin
   FROM {src} v JOIN hrng r ON r.name = v.name)
-SELECT hb.name, hb.{group}, hb.bin,
+SELECT hb.name, {morder('hb.name')} AS metric_order, hb.{group}, hb.bin,
        round(hb.lo + hb.bin * ((hb.hi - hb.lo) / {bins}), 6) AS bin_lo,
        round(hb.lo + (hb.bin + 1) * ((hb.hi - hb.lo) / {bins}), 6) AS bin_hi,
        count(*) AS n,
@@ -305,13 +335,20 @@ GROUP BY hb.name, hb.{group}, hb.bin, hb.lo, hb.hi, c.nn"""
 
 
 LOG_LONG = """lf AS (
-  SELECT Customer_Key, Customer_Segment, name, round(value, 6) AS value FROM (
+  SELECT Customer_Key, Customer_Segment, name, """ + morder("name") + """ AS metric_order, round(value, 6) AS value FROM (
     SELECT Customer_Key, Customer_Segment, 'RecencyDays' AS name, CASE WHEN RecencyDays > 0 THEN ln(RecencyDays) END AS value FROM t3 WHERE Monetary >= 0
     UNION ALL SELECT Customer_Key, Customer_Segment, 'logFrequency', CASE WHEN Frequency > 0 THEN ln(Frequency) END FROM t3 WHERE Monetary >= 0
     UNION ALL SELECT Customer_Key, Customer_Segment, 'logMonetary', ln(1 + Monetary) FROM t3 WHERE Monetary >= 0
     UNION ALL SELECT Customer_Key, Customer_Segment, 'Tenure', CAST(Tenure AS DOUBLE) FROM t3 WHERE Monetary >= 0) u
   WHERE value IS NOT NULL)"""
 
+NORM_LONG = """dn AS (SELECT Customer_Key, Customer_Segment, name, value FROM (
+  SELECT Customer_Key, Customer_Segment, 'RecencyDays' AS name, RecencyDays AS value FROM nt_z WHERE Monetary BETWEEN -3 AND 3
+  UNION ALL SELECT Customer_Key, Customer_Segment, 'Frequency', Frequency FROM nt_z WHERE Monetary BETWEEN -3 AND 3
+  UNION ALL SELECT Customer_Key, Customer_Segment, 'Monetary', Monetary FROM nt_z WHERE Monetary BETWEEN -3 AND 3
+  UNION ALL SELECT Customer_Key, Customer_Segment, 'Tenure', Tenure FROM nt_z WHERE Monetary BETWEEN -3 AND 3) u
+  WHERE value IS NOT NULL)"""
+
 MORDER = ("CAST(CASE metric WHEN 'RecencyDays' THEN 1 WHEN 'Recency' THEN 1 WHEN 'Frequency' THEN 2 "
           "WHEN 'Monetary' THEN 3 WHEN 'Tenure' THEN 4 WHEN 'Streaming' THEN 5 END AS INTEGER)")
 
@@ -344,7 +381,7 @@ bl AS (SELECT * FROM ({parts}) u WHERE value BETWEEN -5.0 AND 5.0),
 bq AS (SELECT Cluster, metric, count(*) AS n, quantile_cont(value, 0.25) AS q1,
               quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3
        FROM bl GROUP BY Cluster, metric)
-SELECT q.Cluster, q.metric, q.n, round(q.q1, 6) AS q1, round(q.median, 6) AS median, round(q.q3, 6) AS q3,
+SELECT q.Cluster, q.metric, {morder('q.metric')} AS metric_order, q.n, round(q.q1, 6) AS q1, round(q.median, 6) AS median, round(q.q3, 6) AS q3,
        round(min(CASE WHEN b.value >= q.q1 - 1.5 * (q.q3 - q.q1) THEN b.value END), 6) AS lower,
        round(max(CASE WHEN b.value <= q.q3 + 1.5 * (q.q3 - q.q1) THEN b.value END), 6) AS upper
 FROM bl b JOIN bq q ON q.Cluster = b.Cluster AND q.metric = b.metric
@@ -380,8 +417,8 @@ p AS (SELECT avg(RecencyDays) AS r, avg(Frequency) AS f, avg(Monetary) AS m, avg
 
 
 def _feature_ranges_sql() -> str:
-    parts = [f"SELECT '{c}' AS \"column\", CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value FROM rfmts_c"
-             for c in ["Customer_Key", *RFMTS_COLS]]
+    parts = [f"SELECT '{c}' AS \"column\", CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value, "
+             f"{morder(repr(c))} AS metric_order FROM rfmts_c" for c in ["Customer_Key", *RFMTS_COLS]]
     return W() + "\n" + "\nUNION ALL ".join(parts)
 
 
@@ -461,7 +498,7 @@ def _box(src: str, group: str, cols: list[str], limits: str = "") -> str:
 , bl AS (SELECT * FROM ({parts}) u WHERE value IS NOT NULL {limits}),
 bq AS (SELECT grp, metric, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
               quantile_cont(value, 0.75) AS q3 FROM bl GROUP BY grp, metric)
-SELECT q.grp AS {{group}}, q.metric, q.n, round(q.q1, 6) AS q1, round(q.median, 6) AS median, round(q.q3, 6) AS q3,
+SELECT q.grp AS {{group}}, q.metric, {morder('q.metric')} AS metric_order, q.n, round(q.q1, 6) AS q1, round(q.median, 6) AS median, round(q.q3, 6) AS q3,
        round(min(CASE WHEN b.value >= q.q1 - 1.5 * (q.q3 - q.q1) THEN b.value END), 6) AS lower,
        round(max(CASE WHEN b.value <= q.q3 + 1.5 * (q.q3 - q.q1) THEN b.value END), 6) AS upper
 FROM bl b JOIN bq q ON q.grp = b.grp AND q.metric = b.metric
@@ -557,6 +594,8 @@ FROM t3 GROUP BY Customer_Segment, Segment_Order""",
         "feature_ranges": _feature_ranges_sql(),
         "log_features_long": W(LOG_LONG) + "\nSELECT * FROM lf",
         "density_by_tier": W(LOG_LONG) + ",\n" + hist_sql("lf", "Customer_Segment").lstrip(),
+        "kde_by_tier": W(LOG_LONG) + ",\n" + kde_sql("lf", "Customer_Segment").lstrip(),
+        "kde_normalised": n_t + ",\n" + NORM_LONG + "," + kde_sql("dn", "Customer_Segment").lstrip(),
         "legacy_normalise": _legacy_sql(),
         "yeo_johnson_lambda": W(long_cte("lr", "rfmts_c", RFMTS_COLS, ["Customer_Key"]),
                                 *lambda_ctes("nr", "lr", ["metric"]))
@@ -577,13 +616,7 @@ FROM t3 GROUP BY Customer_Segment, Segment_Order""",
         + " FROM tp GROUP BY Customer_Segment",
         "clip_outliers": n_t + "\n" + rounded("nt_z", ["Customer_Key", "Customer_Segment", "Segment_Order"], RFMT_COLS)
         + " WHERE Monetary BETWEEN -3 AND 3",
-        "density_normalised": n_t + """,
-dn AS (SELECT Customer_Key, Customer_Segment, name, value FROM (
-  SELECT Customer_Key, Customer_Segment, 'RecencyDays' AS name, RecencyDays AS value FROM nt_z WHERE Monetary BETWEEN -3 AND 3
-  UNION ALL SELECT Customer_Key, Customer_Segment, 'Frequency', Frequency FROM nt_z WHERE Monetary BETWEEN -3 AND 3
-  UNION ALL SELECT Customer_Key, Customer_Segment, 'Monetary', Monetary FROM nt_z WHERE Monetary BETWEEN -3 AND 3
-  UNION ALL SELECT Customer_Key, Customer_Segment, 'Tenure', Tenure FROM nt_z WHERE Monetary BETWEEN -3 AND 3) u
-  WHERE value IS NOT NULL),""" + hist_sql("dn", "Customer_Segment").lstrip(),
+        "density_normalised": n_t + ",\n" + NORM_LONG + "," + hist_sql("dn", "Customer_Segment").lstrip(),
         "assign_nearest_centroid": n_t + ",\n" + CENTRES + "\nSELECT Customer_Key, Cluster FROM asg",
         "within_sse": n_t + ",\n" + CENTRES + "\nSELECT Cluster, count(*) AS n, round(sum(d), 6) AS sse FROM asg GROUP BY Cluster",
         "cluster_means": n_t + ",\n" + CENTRES + "\n" + profile_sql("asg", "Cluster", RFMT_COLS),

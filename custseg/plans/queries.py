@@ -226,6 +226,10 @@ def density_by_tier(spark, sf):
     return profiles.histogram_density(log_features_long(spark, sf), "Customer_Segment")
 
 
+def kde_by_tier(spark, sf):
+    return profiles.kernel_density(written(log_features_long(spark, sf), "density"), "Customer_Segment")
+
+
 def legacy_normalise(spark, sf):
     return profiles.legacy_normalise(tiers_3y(spark, sf), RFMT, [KEY, "Customer_Segment"])
 
@@ -287,6 +291,12 @@ def density_normalised(spark, sf):
     return profiles.histogram_density(long, "Customer_Segment")
 
 
+def kde_normalised(spark, sf):
+    n = profiles.clip(normalised_tiers(spark, sf), "Monetary", -3, 3)
+    long = profiles.to_long(n, [KEY, "Customer_Segment"], RFMT, "name", "value")
+    return profiles.kernel_density(written(long, "density"), "Customer_Segment")
+
+
 # ------------------------------------------------- fixed (data-derived) centres
 def _tier_centres(spark, sf):
     n = normalised_tiers(spark, sf)
@@ -512,6 +522,7 @@ def queries() -> dict[str, Query]:
         "feature_ranges": feature_ranges,
         "log_features_long": log_features_long,
         "density_by_tier": density_by_tier,
+        "kde_by_tier": kde_by_tier,
         "legacy_normalise": legacy_normalise,
         # transforms and profiles
         "yeo_johnson_lambda": yeo_johnson_lambda,
@@ -525,6 +536,7 @@ def queries() -> dict[str, Query]:
         "tier_profile_wide": tier_profile_wide,
         "clip_outliers": clip_outliers,
         "density_normalised": density_normalised,
+        "kde_normalised": kde_normalised,
         # clustering arithmetic on fixed, data-derived centres
         "assign_nearest_centroid": assign_nearest_centroid,
         "within_sse": within_sse,
