@@ -146,16 +146,28 @@ def assembled_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     return out
 
 
-@dataclass
-class SeededModel:
-    """A Spark ML k-means and its training cost."""
-    model: PipelineModel
-    cost: float
+def _means(df: DataFrame, cols: list[str]) -> list[float]:
+    row = df.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c)
+                   for c in cols]).collect()[0]
+    return [float(row[c] or 0.0) for c in cols]
+
+
+def one_cluster(df: DataFrame, cols: list[str], cost: float) -> Clustering:
+    """The k = 1 model: everybody in cluster 1, the column means as its centre."""
+    mean = [v * lloyd.SCALE for v in _means(df, cols)]
+    return Clustering(cols, [mean], mean, cost)
+
+
+def total_ss(df: DataFrame, cols: list[str]) -> float:
+    """Within-SSE of one cluster (the k = 1 model): Σ over columns of
+    n · var_pop; exact, one aggregate."""
+    row = df.agg(*[(F.var_pop(c) * F.count(c)).alias(c) for c in cols]).collect()[0]
+    return float(sum(row[c] or 0.0 for c in cols))
 
 
 def fit_kmeans(df: DataFrame, cols: list[str], k: int, seed: int = SEED,
                max_iter: int = DEFAULT_MAX_ITER, standardize: bool = False,
-               assembled: DataFrame | None = None, n_init: int = 1) -> SeededModel:
+               assembled: DataFrame | None = None, n_init: int = 1) -> Clustering:
     """Spark ML k-means on ``cols``; ``assembled`` (``df`` with the ``_raw`` vector
     column, ideally persisted) lets a loop of fits share one assembly.
     ``n_init > 1`` fits seeds ``seed, seed+1, …`` and keeps the lowest SSE
@@ -175,7 +187,14 @@ def fit_kmeans(df: DataFrame, cols: list[str], k: int, seed: int = SEED,
         km = KMeans(featuresCol="_raw", k=k, seed=seed, maxIter=max_iter,
                     predictionCol="prediction").fit(data)
         model = PipelineModel(stages=[*_vector_stages(df, cols), km])
-    return SeededModel(model, float(model.stages[-1].summary.trainingCost))
+    km = model.stages[-1]
+    centres = [[float(v) * lloyd.SCALE for v in c] for c in km.clusterCenters()]
+    found = {"centres": centres, "sse": km.summary.trainingCost}
+    if not standardize:
+        return _clustering({**found, "fill": [v * lloyd.SCALE for v in _means(df, cols)]}, cols)
+    scaler = model.stages[-2]
+    return _clustering({**found, "fill": [0.0] * len(cols)}, cols, list(map(float, scaler.mean.toArray())),
+                       list(map(float, scaler.std.toArray())))
 
 
 def auto_k(df: DataFrame, cols: list[str], k_max: int = AUTO_K_MAX, max_iter: int = DEFAULT_MAX_ITER

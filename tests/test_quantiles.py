@@ -71,3 +71,25 @@ def test_exact_sample_size_and_determinism(spark):
     ka = sorted(r["k"] for r in a.collect())
     assert len(ka) == round(997 * 0.2)
     assert ka == sorted(r["k"] for r in b.collect())
+
+
+def test_buckets_are_a_projection(spark, tmp_path):
+    """The order of keys is needed for ties at a border only; all other rows are compared
+    with the borders, without an exchange."""
+    from custseg.operators.quantiles import borders, value_histogram, with_ntiles
+    spark.range(10_000).selectExpr("id as Customer_Key", "cast(id % 7 as double) as v").write.parquet(str(tmp_path / "f"))
+    df = spark.read.parquet(str(tmp_path / "f"))
+    plan = with_ntiles(df, "Customer_Key", SPECS)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Window" not in plan
+    assert value_histogram(df, SPECS).count() == 14
+    ends = borders(df, "Customer_Key", SPECS)
+    assert [len(e) for e in ends] == [3, 3]
+    assert all(k is not None and k % 7 == abs(v) for e in ends for v, k in e)
+
+
+def test_borders_with_string_keys_and_extremes(spark):
+    rows = [(f"c{i:03d}", v) for i, v in enumerate([float("inf"), float("-inf"), -0.0, 0.0, 0.0, 0.0, 1e300, -1e300, 5.0])]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r["q"] for r in exact_ntile(df, "k", [TileSpec("v", "q")]).collect()}
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    assert got == {k: 1 if i < 3 else 2 + (i - 3) // 2 for i, (k, _) in enumerate(order)}
