@@ -14,11 +14,14 @@ probed further.  A block's first rows, scored fully, give the first threshold.
 The shards' k best are merged per query; ties go to the smaller id.
 
 Arithmetic is on integers: in doubles while every sum stays below 2**53, which
-is exact, and on Python integers otherwise.
+is exact, and on Python integers otherwise.  A score beyond the range of a long
+counts as the greatest or least long; blocks in which one is possible are scored
+without bounds.
 
 Cases: vectors null, empty or with null or non-finite components take no part;
 a query with fewer than k candidates gets all of them; rows with equal ids are
-candidates each, but never for their own id; vectors of unlike length never
+candidates each, but never for their own id; a null id is a candidate, last among
+ties, and no query; vectors of unlike length never
 meet; an empty table gives no row.
 """
 
@@ -38,31 +41,55 @@ FIRST_ROWS = 256
 TERM_GROUP = 8
 
 
-def _integers(mat: np.ndarray) -> np.ndarray:
-    return np.floor(mat * float(SCALE))
+LONG = (1 << 63) - 1
+
+
+def _scaled(mat: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """``floor(SCALE * x)`` in doubles, or the vectors themselves (marked ``raw``) where
+    that leaves the range of a double."""
+    with np.errstate(over="ignore"):
+        x = np.floor(mat * float(SCALE))
+    return (x, b"") if np.isfinite(x).all() else (mat, b"raw")
+
+
+def _whole(mat: np.ndarray, raw: bool) -> np.ndarray:
+    """Python integers of a stored matrix."""
+    def one(v):
+        return int(v) if not raw else int(v) * SCALE if abs(v) >= 2.0 ** 53 else int(np.floor(v * SCALE))
+    return np.array([one(v) for v in mat.ravel().tolist()], object).reshape(mat.shape)
 
 
 def _postings(mat: np.ndarray) -> tuple[np.ndarray, bytes]:
-    x = np.ascontiguousarray(_integers(mat).T)           # a row per term
-    return x, np.concatenate([x.min(1), x.max(1)]).tobytes()
+    x, mark = _scaled(mat)
+    x = np.ascontiguousarray(x.T)                        # a row per term
+    return x, mark or np.concatenate([x.min(1), x.max(1)]).tobytes()
 
 
-def _rows(mat: np.ndarray) -> tuple[np.ndarray, bytes]:
-    return _integers(mat), b""
+def _every_row(q_ids, queries, ids, terms):
+    """Scores of all rows, exactly, kept in the range of a long."""
+    for qid, q in zip(q_ids, queries):
+        other = np.flatnonzero(ids != qid)
+        scores = [min(max(int(v), -LONG - 1), LONG) for v in (q @ terms[:, other]).tolist()]
+        yield int(qid), ids[other], np.array(scores, np.int64)
 
 
 def _find(row: dict, k: int):
     dim = row["dim"]
     ids, q_ids = vectors.ids_of(row["ids"]), vectors.ids_of(row["q_ids"])
     terms = np.frombuffer(row["mat"], "<f8").reshape(dim, -1)
-    low, high = np.frombuffer(row["extra"], "<f8").reshape(2, dim)
     queries = np.frombuffer(row["q_mat"], "<f8").reshape(-1, dim)
-    reach = max(float(np.abs(low).max()), float(np.abs(high).max())) * float(np.abs(queries).max()) * dim
+    raw, q_raw = row["extra"] == b"raw", row["q_extra"] == b"raw"
+    reach = np.inf
+    if not raw and not q_raw:
+        low, high = np.frombuffer(row["extra"], "<f8").reshape(2, dim)
+        with np.errstate(over="ignore"):
+            reach = max(float(np.abs(low).max()), float(np.abs(high).max())) * float(np.abs(queries).max()) * dim
     if reach >= 2.0 ** 53:
-        terms, low, high, queries = (
-            np.array([[int(v) for v in r] for r in a], object).reshape(a.shape)
-            for a in (terms, low[None, :], high[None, :], queries))
-        low, high = low[0], high[0]
+        terms, queries = _whole(terms, raw), _whole(queries, q_raw)
+        if reach >= 2.0 ** 62:
+            yield from _every_row(q_ids, queries, ids, terms)
+            return
+        low, high = _whole(low, False), _whole(high, False)
     for qid, q in zip(q_ids, queries):
         most = np.maximum(q * low, q * high)
         least = np.minimum(q * low, q * high)
@@ -95,7 +122,7 @@ def _find(row: dict, k: int):
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """``query_id, rank, vec_id, score`` for rows ``vec_id, v`` on both sides."""
     blocks = vectors.packed(candidates, BLOCK_ROWS, "maxscore-blocks", _postings)
-    chunks = vectors.packed(queries, CHUNK_ROWS, "maxscore-queries", _rows)
+    chunks = vectors.packed(queries, CHUNK_ROWS, "maxscore-queries", _scaled)
     return vectors.search(chunks, blocks, k, "long", lambda row: _find(row, k))
 
 

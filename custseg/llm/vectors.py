@@ -18,17 +18,19 @@ from pyspark.sql import functions as F
 
 from custseg.llm.common import saved
 
+NULL_ID = (1 << 63) - 1      # stands for a null id: a candidate like any other, last among ties
 _PACKED = "ids binary, mat binary, extra binary, dim int"
 _NAMES = ["ids", "mat", "extra", "dim"]
 
 
 def clean(df: DataFrame, id_col: str, vec_col: str, drop_zero: bool) -> DataFrame:
     """``vec_id, v`` (array<double>) without vectors that are null, empty, hold
-    null or non-finite components or (``drop_zero``) are zero."""
+    null or non-finite components or (``drop_zero``) are zero.  Rows with a null id
+    stay as candidates."""
     v = F.col(f"`{vec_col}`").cast("array<double>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v")) \
-        .filter("vec_id is not null and v is not null and size(v) > 0").filter(~bad)
+    rows = df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("vec_id"), v.alias("v")) \
+        .filter("v is not null and size(v) > 0").filter(~bad)
     return rows.filter(F.exists("v", lambda x: x != 0.0)) if drop_zero else rows
 
 
@@ -75,7 +77,7 @@ def search(queries: DataFrame, blocks: DataFrame, k: int, score_type: str,
     """``query_id, rank, vec_id, score``: ``find(q_ids, q, ids, x, extra)`` yields for each
     query the ids and scores of at least its ``k`` best rows of the block (all, if fewer)."""
     q = queries.select(F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"),
-                       F.col("dim").alias("q_dim"))
+                       F.col("extra").alias("q_extra"), F.col("dim").alias("q_dim"))
     arrow = pa.int64() if score_type == "long" else pa.float64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +103,7 @@ def search(queries: DataFrame, blocks: DataFrame, k: int, score_type: str,
     found = pairs.mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k) \
-        .select("query_id", "rank", "vec_id", "score")
+        .select("query_id", "rank", F.when(F.col("vec_id") != NULL_ID, F.col("vec_id")).alias("vec_id"), "score")
 
 
 def every(n: int) -> Column:

@@ -21,9 +21,13 @@ else its Last-Modified; ``status`` is ``resolved`` when it matches,
 asked for, ``changed`` when it differs and ``missing`` when no earlier full
 response exists.  Only resolved and unverified revisits get a target and
 merged headers: names in ``UPDATABLE`` come from the revisit, all others from
-the response.
+the response.  Header names ignore case and come out in lower case; of two
+spellings in one record the first in byte order counts.
 
-Cases: null URL, time or kind never meets a response (``missing``); of full
+Cases: a null URL or time never meets a response (``missing``) and takes no part in
+the windows; a row whose kind is neither response nor revisit, or null, is no
+revisit and has no row; of full responses with one time and id the greatest
+(etag, last_modified, payload, headers) counts; of full
 responses with the same time the greater record id counts; a response at the
 revisit's own time is not earlier; repeated revisits are resolved each; null
 headers are empty; an empty table gives an empty result.
@@ -55,9 +59,16 @@ def _plain_etag(e: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(e, "^W/", ""), '"', "")
 
 
+def lower_names(headers: Column) -> Column:
+    """The headers with lower-case names (null: none)."""
+    entries = F.coalesce(F.array_sort(F.map_entries(headers)), F.array().cast("array<struct<key:string,value:string>>"))
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.filter(
+        entries, lambda e: F.lower(e["key"]) == n)[0]["value"]))
+
+
 def merged_headers(stored: Column, update: Column) -> Column:
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    stored, update = F.coalesce(stored, empty), F.coalesce(update, empty)
+    stored, update = lower_names(stored), lower_names(update)
     allowed = F.map_filter(update, lambda k, v: k.isin(*UPDATABLE))
     kept = F.map_filter(stored, lambda k, v: ~F.array_contains(F.map_keys(allowed), k))
     return F.map_concat(kept, allowed)
@@ -74,11 +85,13 @@ def resolve(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame
         .filter("_full or _revisit").withColumn("_s", F.floor(F.col("_time") / slice_seconds))
     rows = rows.withColumn("_f", F.col("_full") & F.col("_u").isNotNull() & F.col("_time").isNotNull())
     place = F.when(F.col("_f"), F.struct(F.col("_time").alias("t"), F.col("record_id").alias("r")))
+    known = F.col("_u").isNotNull() & F.col("_time").isNotNull()
+    placed = rows.filter(known)
     slice_ = Window.partitionBy("_u", "_s")
     # responses of the same second are not earlier: frame by time, up to the second before
     earlier = slice_.orderBy("_time").rangeBetween(Window.unboundedPreceding, -1)
-    light = rows.withColumn("_own", F.max(place).over(earlier))
-    summary = rows.groupBy("_u", "_s").agg(F.max(place).alias("_last"))
+    light = placed.withColumn("_own", F.max(place).over(earlier))
+    summary = placed.groupBy("_u", "_s").agg(F.max(place).alias("_last"))
     forward = Window.partitionBy("_u").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.withColumn("_before", F.max("_last").over(forward)) \
         .select(F.col("_u").alias("_cu"), F.col("_s").alias("_cs"), "_before").filter("_before is not null")
@@ -87,11 +100,15 @@ def resolve(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame
         .withColumn("_at", F.coalesce("_own", "_before")) \
         .select("record_id", "_u", "etag", "last_modified", "headers", F.col("_at.t").alias("_at_t"),
                 F.col("_at.r").alias("_at_r"))
+    lost = rows.filter(~known & F.col("_revisit")).select(
+        "record_id", "_u", "etag", "last_modified", "headers", F.lit(None).cast("long").alias("_at_t"),
+        F.lit(None).cast("long").alias("_at_r"))
+    revisits = revisits.unionByName(lost)
     targets = rows.filter("_f").groupBy("_u", "_time", "record_id").agg(
-        F.max(F.struct("etag", "last_modified", "payload")).alias("_v"), F.first("headers").alias("_h")) \
+        F.max(F.struct("etag", "last_modified", "payload", F.array_sort(F.map_entries("headers")).alias("h"))).alias("_v")) \
         .select(F.col("_u").alias("_tu"), F.col("_time").alias("_tt"), F.col("record_id").alias("_tr"),
                 F.col("_v.etag").alias("_te"), F.col("_v.last_modified").alias("_tl"),
-                F.col("_v.payload").alias("_tp"), F.col("_h").alias("_th"))
+                F.col("_v.payload").alias("_tp"), F.map_from_entries("_v.h").alias("_th"))
     got = revisits.join(targets, (F.col("_u") == F.col("_tu")) & (F.col("_at_t") == F.col("_tt"))
                         & (F.col("_at_r") == F.col("_tr")), "left")
     same = F.when(F.col("etag").isNotNull(), _plain_etag(F.col("etag")) == _plain_etag(F.col("_te"))) \
