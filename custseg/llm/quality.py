@@ -252,22 +252,35 @@ def weigh(slots: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(n, 1 / np.sqrt(max(n, 1))), np.ones(TEXT_VOTES)])
 
 
-def fit_scorer(slots: list[np.ndarray], target: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
-    """Softmax regression (full gradients, diagonal scaling) on soft targets."""
+def fit_scorer(slots: np.ndarray, at: np.ndarray, target: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
+    """Softmax regression (full gradients, diagonal scaling) on soft targets.
+
+    ``slots`` holds the texts' slots end to end, ``at`` their n + 1 offsets.  Sums
+    run over the texts as they lie and over one order by slot, so only two narrow
+    arrays of that length stay in memory."""
     w = np.zeros((DIM + 3 * TEXT_VOTES, 3), np.float32)
-    if not slots:
+    if not len(slots):
         return w
-    row = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
-    used, col = np.unique(np.concatenate(slots), return_inverse=True)
-    val = np.concatenate([weigh(s) for s in slots])
+    n = np.diff(at)
+    used, col = np.unique(slots, return_inverse=True)
+    col = col.astype(np.int32)
+    # a text's words weigh alike; its votes, the last slots, weigh 1
+    word = 1 / np.sqrt(np.maximum(n - TEXT_VOTES, 1))
+    val = np.repeat(word, n).astype(np.float32)
+    val[(at[1:, None] - 1 - np.arange(TEXT_VOTES)).ravel()] = 1
+    by_slot = np.argsort(col, kind="stable").astype(np.int32)
+    row_of = np.repeat(np.arange(len(n), dtype=np.int32), n)[by_slot]
+    val_of = val[by_slot]
+    begin = np.concatenate([[0], np.cumsum(np.bincount(col))[:-1]])
+    del by_slot
     part = np.zeros((len(used), 3))
     square = np.full((len(used), 3), 1e-6)
     for _ in range(epochs):
-        z = np.stack([np.bincount(row, val * part[col, c], minlength=len(slots)) for c in range(3)], 1)
+        z = np.stack([np.add.reduceat(val * part[col, c], at[:-1]) for c in range(3)], 1)
         e = np.exp(z - z.max(1, keepdims=True))
         d = e / e.sum(1, keepdims=True) - target
-        grad = np.stack([np.bincount(col, val * d[row, c], minlength=len(used)) for c in range(3)], 1)
-        grad = grad / len(slots) + 1e-6 * part
+        grad = np.stack([np.add.reduceat(val_of * d[row_of, c], begin) for c in range(3)], 1)
+        grad = grad / len(n) + 1e-6 * part
         square += grad ** 2
         part -= 0.5 * grad / np.sqrt(square)
     w[used] = part
@@ -314,14 +327,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = fit_label_model(sorted(counts))
     total = sum(c for _, c in counts)
     if not total:
-        return insults, fit_scorer([], np.zeros((0, 3)))
+        return insults, fit_scorer(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros((0, 3)))
     sampled = F.pmod(F.xxhash64("_d", "_t", F.lit(9)), F.lit(1 << 30)) < (1 << 30) * min(1.0, train_rows / total)
     got = _slots_of(keys.filter(sampled), insults).withColumnsRenamed({"_d": "_sd", "_t": "_st"}).join(
         voted.filter(sampled), (F.col("_sd") == F.col("_d")) & (F.col("_st") == F.col("_t"))) \
-        .dropDuplicates(["_d", "_t"]).select("_d", "_t", "slots", "said").collect()
-    got.sort(key=lambda r: (r["_d"], r["_t"]))
-    slots = [np.frombuffer(bytes(r["slots"]), np.int32).astype(np.int64) for r in got]
-    return insults, fit_scorer(slots, np.array([model[r["said"]] for r in got]).reshape(-1, 3))
+        .dropDuplicates(["_d", "_t"]).orderBy("_d", "_t").select("slots", "said").toArrow()
+    data, at = utf8(got.column("slots").combine_chunks())
+    target = np.array([model[said] for said in got.column("said").to_pylist()]).reshape(-1, 3)
+    return insults, fit_scorer(np.frombuffer(data.tobytes(), np.int32), at // 4, target)
 
 
 def _score(insults: np.ndarray, weights, names: list[str]):
