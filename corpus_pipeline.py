@@ -54,7 +54,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: SQL cannot express the stages; tests/llm compares them with brute force.
+#: SQL cannot express the stages; tests/llm compares the operators with brute force.
 ORACLE_SQL = None
 
 
