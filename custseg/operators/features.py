@@ -26,7 +26,7 @@ RFM = ["RecencyDays", "Frequency", "Monetary"]
 
 
 def order_lines(orders: DataFrame) -> DataFrame:
-    """``mutate(Date = ymd(DateOrdered_Key)) %>% select(Customer_Key, Date, DB2 = 5_DB2)``."""
+    """Customer, order day (from the integer key) and money of every order row."""
     return orders.select(
         F.col(KEY),
         parse_date_key("DateOrdered_Key").alias("Date"),
@@ -161,6 +161,11 @@ def order_aggregates_premium(src, years: int, as_of, require_active: bool = True
         # it runs at customer grain on the aggregate's key partitioning instead
         # of shuffling every order line for the semi join
         agg = agg.join(customers, KEY, "left_semi")
+    return times_premium(agg, src, require_active)
+
+
+def times_premium(agg: DataFrame, src, require_active: bool = True) -> DataFrame:
+    """Aggregates ``_n, _m`` of premium customers times the key's rows in that table."""
     prem = src.premium_active
     if require_active:
         prem = prem.filter(F.col("IsActive") == 1)

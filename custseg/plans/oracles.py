@@ -571,6 +571,7 @@ def all_oracles() -> dict[str, str]:
         "monetary": W() + "\nSELECT Customer_Key, Monetary FROM f3",
         "tenure": W() + "\nSELECT Customer_Key, Tenure FROM f3",
         "rfmt_features": W() + "\nSELECT * FROM f3",
+        "rolling_features": W() + "\nSELECT * FROM f1",
         "rfmts_features": W() + "\nSELECT * FROM rfmts_c",
         "rfmts_features_all": W() + "\nSELECT * FROM rfmts_a",
         "rfmts_features_by_segment": W() + "\nSELECT * FROM rfmts_seg",

@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custseg.operators import clusters, cohorts, power, profiles, scoring
+from custseg.operators import clusters, cohorts, daily, power, profiles, scoring
 from custseg.operators import features as feat
 from custseg.session import shared_path, written
 from custseg.sources import extracts, relations
@@ -145,6 +145,16 @@ def rfmt_features(spark, sf):
     return features_3y(spark, sf)
 
 
+def rolling_features(spark, sf):
+    """The one-year features from daily state: a window of a month ago, then the new days."""
+    src = _src(spark, sf)
+    path = shared_path(spark, f"daily/orders-{uuid.uuid4().hex}")
+    before = relations.ORDERS_AS_OF - _dt.timedelta(days=30)
+    daily.build(path, src, before, 1, until=before)
+    daily.refresh(path, src)
+    return daily.features(path, src, relations.ORDERS_AS_OF, 1)
+
+
 def rfmts_features(spark, sf):
     return rfmts_btc(spark, sf, "cohort")
 
@@ -500,6 +510,7 @@ def queries() -> dict[str, Query]:
         "monetary": _one_metric("Monetary"),
         "tenure": _one_metric("Tenure"),
         "rfmt_features": rfmt_features,
+        "rolling_features": rolling_features,
         "rfmts_features": rfmts_features,
         "rfmts_features_all": rfmts_features_all,
         "rfmts_features_by_segment": rfmts_features_by_segment,
