@@ -8,24 +8,32 @@ hash is the window's anchor (the last one of equals).  It depends on the
 window's bytes alone, so equal windows have equal anchors at equal places.
 Consecutive windows with one anchor form a run, about 75 windows; a run's
 context is the text that its windows cover.  Suffixes are kept per run, not per
-byte, so a shard (a partition of documents) holds its transform in run-length
-form: a suffix begins with its gram and goes on with its context, and the bytes
-left of the anchor are its preceding symbol.
-
-*Interleave refinement.*  The shards' suffixes are interleaved into blocks of
-equal prefix, which are refined; a block of one suffix is settled and leaves.
-1. Blocks by gram (common prefix of ``GRAM`` bytes).  A run whose gram occurs
-   once has no repeated window.  Only counts meet here.
-2. Blocks by context (common prefix and left symbol): in a gram block with a
-   single context, or for a context that occurs twice, every window repeats.
-3. What is left are gram blocks with several contexts, where repeats end.  One
-   representative of each context is split into its windows of ``length``
-   bytes; those found in two contexts are the repeated intervals.
-
-Copies are thus one block with a count, never pairs.  Blocks are 64-bit hashes
-of the bytes (non-linear mixing).  A gram in a large share of all documents
-(more than ``HOT`` runs) is not handled in one task: its windows are counted by
-a shuffle on the window hash instead, with map-side sums.
+byte: one begins at its anchor, its context says how it goes on to the right and
+which bytes precede it on the left.
+
+*Interleave refinement.*  The shards' (partitions') suffixes are interleaved into
+blocks of equal common text, and only blocks whose members still differ are
+refined; every other block is settled.
+1. Blocks by gram (``GRAM`` common bytes).  A run whose gram occurs once has no
+   repeated window.  In a gram block with a single context every window repeats,
+   and so do all windows of a context that occurs twice.
+2. What is left are gram blocks with several contexts, where repeats begin or
+   end.  A window is known by how many bytes of it lie left of the anchor.  A
+   node is a stretch of ``step`` such numbers; all its windows share ``length`` -
+   ``step`` + 1 bytes around the anchor, the common text of the node's block.
+   A node without a partner has no repeated window.  A node whose members agree
+   in all windows of the stretch repeats whole.  Any other node contains the
+   border of a repeated interval and is refined to the nodes of the next of
+   ``STEPS``; at the last one a node is a window, and its block decides.
+
+This is the merge's refinement by common prefixes, with long steps in place of a
+byte a pass, over hashes of the common texts in place of a written transform.  A
+context has at most ``length`` / ``STEPS[0]`` nodes in the first pass and one or
+two borders with each later pass, however many runs a block holds: no step works on
+pairs, none takes a block into one task, and none depends on a block's size.
+Copies are one context with a count.  Blocks are known by the 64-bit hash of the
+gram and, inside it, by a second 64-bit hash of the longer text (non-linear
+mixing), so a false match needs two equal grams with differing contexts.
 
 Result: each byte covered by a repeated ``length``-byte string is removed, both
 in all copies and inside one document; strings are judged on the input.
@@ -53,7 +61,7 @@ from custseg.llm.common import CHUNK_BYTES, runs_of, saved, seeds, utf8
 
 LENGTH = 200
 GRAM = 32
-HOT = 1024                       # runs of one gram handled together in a task
+STEPS = (28, 7, 1)               # windows of a node in each pass of the refinement
 SHIFT = 1 << 16
 
 U = np.uint64
@@ -171,93 +179,120 @@ def _scan_runs(length: int, blocks_only: bool):
 
 
 def _contexts(length: int):
-    """Text of the wanted contexts of a document: gram, context, hot, text, places."""
+    """Text of the wanted contexts of a document, and the place of the anchor in it."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = utf8(b.column("_sd_text"))
             wanted = b.column("wanted").to_pylist()
             for row, _, part, o in pieces(data, off, length):
                 r = Runs(part, o, length)
-                ours = r.context.view(np.int64)
-                out: dict[str, list] = {"gram": [], "context": [], "hot": [], "text": []}
+                grams, ours = r.gram.view(np.int64), r.context.view(np.int64)
+                out: dict[str, list] = {"gram": [], "context": [], "anchor": [], "text": []}
                 for i in np.unique(r.row):
                     mine = np.flatnonzero(r.row == i)
-                    want = {w["context"]: w["hot"] for w in wanted[row + i]}
-                    for j in mine[np.isin(ours[mine], np.fromiter(want, np.int64, len(want)))]:
-                        c = int(ours[j])
-                        if c not in want:
+                    want = {(w["gram"], w["context"]) for w in wanted[row + i]}
+                    known = np.fromiter((c for _, c in want), np.int64, len(want))
+                    for j in mine[np.isin(ours[mine], known)]:
+                        block = int(grams[j]), int(ours[j])
+                        if block not in want:
                             continue
-                        out["hot"].append(want.pop(c))
-                        out["gram"].append(int(r.gram.view(np.int64)[j]))
-                        out["context"].append(c)
+                        want.remove(block)
+                        out["gram"].append(block[0])
+                        out["context"].append(block[1])
+                        out["anchor"].append(int(r.anchor[j] - r.s[j]))
                         out["text"].append(part[r.s[j]:r.e[j] + length].tobytes())
                 if out["gram"]:
                     yield _batch(gram=pa.array(out["gram"], pa.int64()),
                                  context=pa.array(out["context"], pa.int64()),
-                                 hot=pa.array(out["hot"], pa.bool_()),
+                                 anchor=pa.array(out["anchor"], pa.int32()),
                                  text=pa.array(out["text"], pa.binary()))
     return scan
 
 
-def _window_table(contexts: np.ndarray, texts: pa.Array, length: int):
-    """Context, place and hash of every window of the given context texts."""
-    data, off = utf8(texts)
-    if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    _, h = hashes(data, length)
-    n = np.diff(off) - length + 1
+def _children(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every number from ``first`` to ``last`` of each row, and its row."""
+    n = np.maximum(last - first + 1, 0)
     row = np.repeat(np.arange(len(n)), n)
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return contexts[row], place, h[off[row] + place].view(np.int64)
-
-
-def _windows(length: int):
+    return row, first[row] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def nodes_of(anchor: np.ndarray, data: np.ndarray, off: np.ndarray, length: int, step: int,
+             above: tuple[np.ndarray, np.ndarray, int] | None = None):
+    """The nodes of contexts (``data, off``) for one pass: row, node, hash of the common
+    text, hash of the text of all own windows in the stretch, and these windows' least and
+    greatest number of bytes left of the anchor.  ``above`` = rows, nodes and step of the
+    nodes that are refined (none: all nodes)."""
+    high = anchor
+    low = anchor - (np.diff(off) - length)
+    if above is None:
+        row, node = _children(low // step, high // step)
+    else:
+        rows, nodes, wide = above
+        at, node = _children(np.maximum(nodes * wide, low[rows]) // step,
+                             np.minimum(nodes * wide + wide - 1, high[rows]) // step)
+        row = rows[at]
+    first = node * step
+    last = np.minimum(first + step - 1, length - GRAM)
+    lo, hi = np.maximum(first, low[row]), np.minimum(last, high[row])
+    if above is not None:                    # steps need not divide each other
+        lo = np.maximum(lo, nodes[at] * wide)
+        hi = np.minimum(hi, nodes[at] * wide + wide - 1)
+    size = 2 * length // 3                   # two such hashes cover any text asked for here
+    _, h = hashes(data, size)
+    zero = off[row] + anchor[row]            # the anchor
+
+    def text_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Of the bytes from ``left`` before the anchor to ``length - right`` after it."""
+        a, z = zero - left, zero + length - right
+        return _join(_join(h[a], h[z - size], 42), (left * SHIFT + right).astype(U), 43)
+    return row, node, text_hash(first, last), text_hash(hi, lo), lo, hi
+
+
+def _nodes(length: int, step: int, wide: int | None):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 2048):
                 part = b.slice(i, 2048)
-                c, p, h = _window_table(part.column("context").to_numpy(), part.column("text"), length)
-                yield _batch(context=_long(c), place=_long(p), h=_long(h))
+                data, off = utf8(part.column("text"))
+                above = None
+                if wide is not None:
+                    held = part.column("nodes").to_pylist()
+                    rows = np.repeat(np.arange(len(held)), [len(x) for x in held])
+                    above = rows, np.array([x for one in held for x in one], np.int64), wide
+                anchor = part.column("anchor").to_numpy().astype(np.int64)
+                row, node, key, whole, lo, hi = nodes_of(anchor, data, off, length, step, above)
+                yield _batch(gram=_long(part.column("gram").to_numpy()[row]),
+                             context=_long(part.column("context").to_numpy()[row]),
+                             node=pa.array(node.astype(np.int32), pa.int32()), key=_long(key), whole=_long(whole),
+                             place=pa.array((anchor[row] - hi).astype(np.int32), pa.int32()),
+                             many=pa.array((hi - lo + 1).astype(np.int32), pa.int32()))
     return scan
 
 
-def _repeated_windows(length: int):
-    """Windows that two contexts of a gram share; rows come sorted by gram."""
-    def solve(c, texts):
-        cc, p, h = _window_table(np.concatenate(c), pa.concat_arrays(texts), length)
-        order = np.argsort(h, kind="stable")
-        hs = h[order]
-        same = np.zeros(len(hs), bool)
-        eq = hs[1:] == hs[:-1]
-        same[1:] |= eq
-        same[:-1] |= eq
-        hit = order[same]
-        return _batch(context=_long(cc[hit]), place=_long(p[hit]))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, texts, held, last = [], [], 0, None
-        for b in batches:
-            gram = b.column("gram").to_numpy()
-            if not len(gram):
-                continue
-            # close the block that is held where the gram changes, once enough has come
-            change = np.concatenate([[last is not None and gram[0] != last], np.diff(gram) != 0])
-            start = 0
-            for at in np.flatnonzero(change):
-                if held + at - start >= HOT:
-                    if at > start:
-                        c.append(b.column("context").slice(start, at - start).to_numpy())
-                        texts.append(b.column("text").slice(start, at - start))
-                    if c:
-                        yield solve(c, texts)
-                    c, texts, held, start = [], [], 0, int(at)
-            c.append(b.column("context").slice(start).to_numpy())
-            texts.append(b.column("text").slice(start))
-            held += len(gram) - start
-            last = gram[-1]
-        if c:
-            yield solve(c, texts)
-    return scan
+def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
+    """``gram, context, place, many``: stretches of windows that another context of the
+    gram has too.  ``texts``: one row per context (gram, context, anchor, text)."""
+    found, live, wide = [], texts, None
+    for step in STEPS:
+        nodes = saved(live.mapInArrow(_nodes(length, step, wide), "gram long, context long, node int, "
+                                      "key long, whole long, place int, many int"), "repeats-nodes")
+        blocks = nodes.groupBy("gram", "node", "key").agg(
+            F.min("context").alias("c0"), F.max("context").alias("c1"),
+            (F.min("whole") == F.max("whole")).alias("same")).filter("c0 <> c1").select(
+            F.col("gram").alias("_g"), F.col("node").alias("_n"), F.col("key").alias("_k"), "same")
+        met = saved(nodes.join(blocks, (F.col("gram") == F.col("_g")) & (F.col("node") == F.col("_n"))
+                               & (F.col("key") == F.col("_k")))
+                    .select("gram", "context", "node", "place", "many", "same"), "repeats-met")
+        found.append(met.filter("same").select("gram", "context", "place", "many"))
+        open_ = met.filter("not same").groupBy(F.col("gram").alias("_g"), F.col("context").alias("_c")).agg(
+            F.array_sort(F.collect_set("node")).alias("nodes"))
+        live = texts.join(open_, (F.col("gram") == F.col("_g")) & (F.col("context") == F.col("_c"))).select(
+            "gram", "context", "anchor", "text", "nodes")
+        wide = step
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _cut(length: int, names: list[str], as_text: bool):
@@ -271,13 +306,9 @@ def _cut(length: int, names: list[str], as_text: bool):
                 if spans[i]:
                     step = np.zeros(len(text) + 1, np.int32)
                     for s in spans[i]:
-                        if s["places"] is None:
-                            step[s["s"]] += 1
-                            step[s["s"] + s["n"] - 1 + length] -= 1
-                        else:
-                            at = s["s"] + np.asarray(s["places"])
-                            np.add.at(step, at, 1)
-                            np.add.at(step, at + length, -1)
+                        for p in s["places"] or [{"place": 0, "many": s["n"]}]:
+                            step[s["s"] + p["place"]] += 1
+                            step[s["s"] + p["place"] + p["many"] - 1 + length] -= 1
                     covered = np.cumsum(step)[:-1] > 0
                     n_removed.append(int(covered.sum()))
                     n_spans.append(int(covered[:1].sum() + (covered[1:] & ~covered[:-1]).sum()))
@@ -306,45 +337,37 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     short = docs.select(key.alias("k"), F.col(f"`{text_col}`").alias("_sd_text"))
 
-    # 1: blocks by gram; only counts and the extreme contexts meet
+    # 1: blocks by gram; only counts and the least and greatest context meet
     grams = short.mapInArrow(_scan_runs(length, True), "gram long, context long")
     blocks = saved(grams.groupBy("gram").agg(
         F.count(F.lit(1)).alias("runs"), F.min("context").alias("c0"), F.max("context").alias("c1"))
         .filter("runs > 1").select(F.col("gram").alias("_gram"), "runs", (F.col("c0") == F.col("c1")).alias("one")),
         "repeats-blocks")
-    # 2: the suffixes of those blocks
+    # 1: the suffixes of those blocks
     runs = short.mapInArrow(_scan_runs(length, False), "k long, s long, n int, gram long, context long")
     active = saved(runs.join(blocks, F.col("gram") == F.col("_gram"))
-                   .select("k", "s", "n", "gram", "context", "one", (F.col("runs") > HOT).alias("hot")),
-                   "repeats-runs")
-    contexts = saved(active.filter("not one").groupBy("context").agg(
-        F.count(F.lit(1)).alias("times"), F.min("k").alias("k"), F.max("hot").alias("hot")),
-        "repeats-contexts")
-    # 3: windows of one representative of each context
+                   .select("k", "s", "n", "gram", "context", "one"), "repeats-runs")
+    contexts = saved(active.filter("not one").groupBy("gram", "context").agg(
+        F.count(F.lit(1)).alias("times"), F.min("k").alias("k")), "repeats-contexts")
+    # 2: one representative of each context is refined
     placed = docs.select(key.alias("_sd_k"), F.col(f"`{text_col}`").alias("_sd_text"),
                          *[F.col(f"`{c}`").alias(f"_sd_c{i}") for i, c in enumerate(keep)])
     wanted = contexts.groupBy(F.col("k").alias("_k")).agg(
-        F.collect_list(F.struct("context", "hot")).alias("wanted"))
+        F.collect_list(F.struct("gram", "context")).alias("wanted"))
     names = [f"_sd_c{i}" for i in range(len(keep))]
-    texts = saved(placed.join(wanted, F.col("_sd_k") == F.col("_k"))
-                  .select("_sd_k", "_sd_text", *names, "wanted")
-                  .mapInArrow(_contexts(length), "gram long, context long, hot boolean, text binary"),
-                  "repeats-texts")     # a context that comes twice here has times > 1 anyway
-    plain = texts.filter("not hot").repartition("gram").sortWithinPartitions("gram") \
-        .mapInArrow(_repeated_windows(length), "context long, place long")
-    hot = saved(texts.filter("hot").mapInArrow(_windows(length), "context long, place long, h long"),
-                "repeats-windows")
-    twice = saved(hot.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-                  .select(F.col("h").alias("_h")), "repeats-hot")
-    found = plain.unionByName(hot.join(twice, F.col("h") == F.col("_h")).select("context", "place"))
-    places = found.groupBy("context").agg(F.collect_list("place").alias("places")) \
-        .join(contexts.filter("times = 1").select("context"), "context", "left_semi")
-    whole = contexts.filter("times > 1").select(
-        "context", F.lit(None).cast("array<long>").alias("places"))
-    status = saved(places.unionByName(whole).withColumnRenamed("context", "_context"), "repeats-status")
-    none = F.lit(None).cast("array<long>").alias("places")
+    # rows with one id and text are one source here: such contexts have times > 1 anyway
+    texts = saved(short.join(wanted, F.col("k") == F.col("_k")).select("_sd_text", "wanted")
+                  .mapInArrow(_contexts(length), "gram long, context long, anchor int, text binary"),
+                  "repeats-texts")
+    block = ["gram", "context"]
+    places = repeated_windows(texts, length).groupBy(*block).agg(
+        F.collect_set(F.struct("place", "many")).alias("places")) \
+        .join(contexts.filter("times = 1").select(*block), block, "left_semi")
+    none = F.lit(None).cast("array<struct<place:int,many:int>>").alias("places")     # all windows
+    status = saved(places.unionByName(contexts.filter("times > 1").select(*block, none)).select(
+        F.col("gram").alias("_g"), F.col("context").alias("_c"), "places"), "repeats-status")
     spans = active.filter("one").select("k", "s", "n", none).unionByName(
-        active.filter("not one").join(status, F.col("context") == F.col("_context"))
+        active.filter("not one").join(status, (F.col("gram") == F.col("_g")) & (F.col("context") == F.col("_c")))
         .select("k", "s", "n", "places"))
     per_doc = spans.groupBy(F.col("k").alias("_k")).agg(
         F.collect_list(F.struct("s", "n", "places")).alias("spans"))

@@ -60,9 +60,36 @@ def test_repeats(spark):
     assert [got[i] for i in range(len(texts))] == removed_by_force([(t or "").encode() for t in texts], 200)
 
 
-def test_repeats_hot_gram(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", 2)
-    test_repeats(spark)
+def test_repeats_of_one_passage_in_many_contexts(spark):
+    """Stretches of one passage, from 150 to 420 bytes and begun anywhere, between other texts:
+    every border of a repeated interval lies elsewhere; passages meet themselves and others."""
+    rng = np.random.default_rng(7)
+    def noise(n):
+        return "".join(rng.choice(list("abcdefgh é"), n))
+    passage, texts = noise(900), []
+    for i in range(120):
+        s, n = int(rng.integers(0, 500)), int(rng.integers(150, 420))
+        texts.append(noise(int(rng.integers(0, 150))) + passage[s:s + n] + noise(int(rng.integers(0, 150)))
+                     + (passage[s + 40:s + 260] if i % 7 == 0 else ""))
+    docs = frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).repartition(9)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
+           for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == removed_by_force([t.encode() for t in texts], 200)
+
+
+def test_repeats_borders_in_a_common_gram(spark):
+    """Thousands of texts share a passage of 200 to 230 bytes: the refinement's tables stay
+    linear in the texts, and all that repeats is found."""
+    rng = np.random.default_rng(8)
+    letters = np.frombuffer(b"abcdefghijklmnop ", np.uint8)
+    def noise(n):
+        return bytes(rng.choice(letters, n)).decode()
+    passage = noise(230)
+    texts = [noise(60) + passage[i % 16:len(passage) - i % 15] + noise(60) for i in range(2000)]
+    docs = frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
+           for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == removed_by_force([t.encode() for t in texts], 200)
 
 
 def test_near_duplicates(spark):
