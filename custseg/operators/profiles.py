@@ -235,16 +235,23 @@ def kernel_density(long: DataFrame, group_col: str, name_col: str = "name", valu
 
 def box_stats(long: DataFrame, group_col: str, name_col: str = "metric",
               value_col: str = "value", value_range: tuple | None = None,
-              tiebreak: str = KEY) -> DataFrame:
+              tiebreak: str = KEY, accuracy: float | None = None) -> DataFrame:
     """Tukey box statistics per (group, name): quartiles by linear
     interpolation (R type 7), whiskers = most extreme values within 1.5·IQR.
     ``value_range`` first removes values outside the axis limits, as ggplot
     does before computing the boxes.  Quartiles come from a distributed exact
-    rank (no group is gathered into one task); whiskers are plain min/max."""
+    rank (no group is gathered into one task); whiskers are plain min/max.
+    With ``accuracy`` the quartiles come from a mergeable sketch instead
+    (``operators.sketch``): no sort of the rows, quartiles within that share."""
+    from custseg.operators import sketch
     from custseg.operators.quantiles import exact_quantiles
     if value_range is not None:
         long = long.filter(F.col(value_col).between(*value_range))
-    q = exact_quantiles(long, [group_col, name_col], value_col, tiebreak, [0.25, 0.5, 0.75])
+    by, probs = [group_col, name_col], [0.25, 0.5, 0.75]
+    if accuracy is None:
+        q = exact_quantiles(long, by, value_col, tiebreak, probs)
+    else:
+        q = sketch.quantiles(sketch.sketch(long, by, value_col, accuracy), by, probs, accuracy)
     q = q.select(group_col, name_col, "n", F.col("q0").alias("q1"),
                  F.col("q1").alias("median"), F.col("q2").alias("q3"))
     # one row per (group, name); groups may be segments x clusters, so the size of the

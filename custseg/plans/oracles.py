@@ -8,6 +8,8 @@ independently of the Spark code.
 
 from __future__ import annotations
 
+import math
+
 from custseg.plans.kmeans_sql import dist, fit_ctes, grow_ctes, label_ctes
 
 ORDERS_AS_OF = "DATE '2001-08-01'"
@@ -388,6 +390,42 @@ FROM bl b JOIN bq q ON q.Cluster = b.Cluster AND q.metric = b.metric
 GROUP BY q.Cluster, q.metric, q.n, q.q1, q.median, q.q3"""
 
 
+def sketch_ctes(name: str, src: str, keys: str, value: str, probs: list[float], accuracy: float = 0.01) -> str:
+    """Quantiles ``q0, q1, …`` per ``keys`` from counts on a logarithmic scale."""
+    step = math.log1p(2 * accuracy / (1 - accuracy))
+    here = [f"CAST(floor((total - 1) * CAST({p} AS DOUBLE)) AS BIGINT) + 1" for p in probs]
+    return f"""
+{name}_s AS (
+  SELECT {keys}, CAST(sign(x) AS INTEGER) AS side, CAST(CASE WHEN x = 0 THEN 0
+         ELSE ceil(ln(abs(CASE WHEN x = 0 THEN 1 ELSE x END)) / CAST({step!r} AS DOUBLE) - 1e-9) END AS INTEGER) AS slot, count(*) AS w
+  FROM (SELECT {keys}, CAST({value} AS DOUBLE) AS x FROM {src}) t WHERE x IS NOT NULL GROUP BY {keys}, side, slot),
+{name}_u AS (
+  SELECT *, sum(w) OVER (PARTITION BY {keys} ORDER BY side, side * slot) AS upto, sum(w) OVER (PARTITION BY {keys}) AS total,
+         side * CAST({2 / (math.exp(step) + 1)!r} AS DOUBLE) * exp(slot * CAST({step!r} AS DOUBLE)) AS mid FROM {name}_s),
+{name} AS (
+  SELECT {keys}, CAST(total AS BIGINT) AS n, {", ".join(
+        f"max(CASE WHEN upto >= {r} AND upto - w < {r} THEN mid END) AS q{j}" for j, r in enumerate(here))}
+  FROM {name}_u GROUP BY {keys}, total)"""
+
+
+def _order_value_sql() -> str:
+    probs = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+    return W("ov AS (SELECT g.Segment, o.\"5_DB2\" AS v FROM o1 o JOIN segs g ON g.Customer_Key = o.Customer_Key)",
+             sketch_ctes("oq", "ov", "Segment", "v", probs)) + "\nSELECT Segment, n, " + ", ".join(
+        f"round(q{j}, 6) AS p{round(100 * p):02d}" for j, p in enumerate(probs)) + " FROM oq"
+
+
+def _tier_box_sql() -> str:
+    parts = " UNION ALL ".join(f"SELECT Customer_Segment, '{c}' AS metric, CAST({c} AS DOUBLE) AS value FROM t3" for c in RFMT_COLS)
+    return W(f"tl AS (SELECT * FROM ({parts}) u WHERE value IS NOT NULL)",
+             sketch_ctes("tq", "tl", "Customer_Segment, metric", "value", [0.25, 0.5, 0.75])) + f"""
+SELECT q.Customer_Segment, q.metric, {morder('q.metric')} AS metric_order, q.n, round(q0, 6) AS q1, round(q.q1, 6) AS median, round(q2, 6) AS q3,
+       round(min(CASE WHEN b.value >= q0 - 1.5 * (q2 - q0) THEN b.value END), 6) AS lower,
+       round(max(CASE WHEN b.value <= q2 + 1.5 * (q2 - q0) THEN b.value END), 6) AS upper
+FROM tl b JOIN tq q ON q.Customer_Segment = b.Customer_Segment AND q.metric = b.metric
+GROUP BY q.Customer_Segment, q.metric, q.n, q0, q.q1, q2"""
+
+
 def _quartile_sql(metric: str, out: str, desc: bool = False) -> str:
     order = f"{metric} DESC, Customer_Key" if desc else f"{metric}, Customer_Key"
     return W() + f"\nSELECT Customer_Key, {metric}, CAST(NTILE(4) OVER (ORDER BY {order}) AS INTEGER) AS {out} FROM f3"
@@ -575,6 +613,10 @@ def all_oracles() -> dict[str, str]:
         "rfmts_features": W() + "\nSELECT * FROM rfmts_c",
         "rfmts_features_all": W() + "\nSELECT * FROM rfmts_a",
         "rfmts_features_by_segment": W() + "\nSELECT * FROM rfmts_seg",
+        "cohort_bloom_semi_join": W() + "\nSELECT * FROM l1 WHERE Customer_Key IN (SELECT Customer_Key FROM btc)",
+        "rfmts_features_bucketed": W() + "\nSELECT * FROM rfmts_c",
+        "order_value_quantiles": _order_value_sql(),
+        "tier_box_sketch": _tier_box_sql(),
         "cohort_semi_join": W() + "\nSELECT * FROM l1 WHERE Customer_Key IN (SELECT Customer_Key FROM btc)",
         "cohort_features": _cohort_features_sql(),
         "r_quartile": _quartile_sql("RecencyDays", "R_Quantile", desc=True),

@@ -7,6 +7,7 @@ names equal those of the oracle SQL in ``custseg.plans.oracles``.
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as _dt
 import uuid
 from collections.abc import Callable
@@ -15,10 +16,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custseg.operators import clusters, cohorts, daily, power, profiles, scoring
+from custseg.operators import clusters, cohorts, daily, membership, power, profiles, scoring, sketch
 from custseg.operators import features as feat
 from custseg.session import shared_path, written
-from custseg.sources import extracts, relations
+from custseg.sources import bucketed, extracts, relations
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEY = "Customer_Key"
@@ -173,6 +174,45 @@ def cohort_semi_join(spark, sf):
     return lines.join(extracts.segment_lookup(src, "BTC").select(KEY), KEY, "left_semi")
 
 
+def cohort_bloom_semi_join(spark, sf):
+    """The same cohort; orders outside it leave the fact by a Bloom filter, before any shuffle."""
+    src = _src(spark, sf)
+    keys = extracts.segment_lookup(src, "BTC").select(KEY)
+    fact = membership.bloom_semi_join(src.order_fact, keys, KEY, keys_bound=1_000_000)
+    return feat.order_lines(extracts.orders_extract(dataclasses.replace(src, order_fact=fact), 1, relations.ORDERS_AS_OF))
+
+
+def rfmts_features_bucketed(spark, sf):
+    """The BTC features from tables bucketed on the customer."""
+    prefix = f"custseg_{uuid.uuid4().hex}"
+    bucketed.build(_src(spark, sf), prefix, shared_path(spark, "bucketed"), buckets=16)
+    return bucketed.premium_features(spark, prefix, relations.ORDERS_AS_OF, 1, "BTC", relations.READER_AS_OF)
+
+
+ORDER_VALUE_PROBS = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+
+
+def order_value_quantiles(spark, sf):
+    """Order values of premium customers per segment in the last year, from sketches kept by
+    day: the days up to a month ago are written first, the later ones added."""
+    src = _src(spark, sf)
+    lines = extracts.orders_extract(src, 1, relations.ORDERS_AS_OF).join(extracts.segment_lookup(src), KEY).select(
+        "Segment", F.col("DateOrdered_Key").alias("day"), "5_DB2")
+    path = shared_path(spark, f"daily/order-values-{uuid.uuid4().hex}")
+    first, before, last = (int((relations.ORDERS_AS_OF - _dt.timedelta(days=d)).strftime("%Y%m%d")) for d in (365, 30, 0))
+    for part in (F.col("day") <= before, F.col("day") > before):
+        sketch.put(sketch.sketch(lines.filter(part), ["Segment", "day"], "`5_DB2`"), path)
+    q = sketch.quantiles(sketch.merged(spark, path, ["Segment"], first, last), ["Segment"], ORDER_VALUE_PROBS)
+    names = [f"p{round(100 * p):02d}" for p in ORDER_VALUE_PROBS]
+    return q.select("Segment", "n", *[F.round(f"q{j}", 6).alias(n) for j, n in enumerate(names)])
+
+
+def tier_box_sketch(spark, sf):
+    """Box statistics of the raw features per tier, quartiles within 1 % by sketch."""
+    long = profiles.to_long(tiers_3y(spark, sf), [KEY, "Customer_Segment"], RFMT)
+    return profiles.box_stats(long, "Customer_Segment", accuracy=sketch.ACCURACY)
+
+
 def cohort_features(spark, sf):
     return cohorts.premium_cohort_features(_src(spark, sf), relations.ORDERS_AS_OF)
 
@@ -511,6 +551,10 @@ def queries() -> dict[str, Query]:
         "tenure": _one_metric("Tenure"),
         "rfmt_features": rfmt_features,
         "rolling_features": rolling_features,
+        "rfmts_features_bucketed": rfmts_features_bucketed,
+        "cohort_bloom_semi_join": cohort_bloom_semi_join,
+        "order_value_quantiles": order_value_quantiles,
+        "tier_box_sketch": tier_box_sketch,
         "rfmts_features": rfmts_features,
         "rfmts_features_all": rfmts_features_all,
         "rfmts_features_by_segment": rfmts_features_by_segment,
