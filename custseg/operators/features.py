@@ -193,11 +193,12 @@ def order_aggregates_non_premium(src, years: int, as_of,
 
 
 def features_from_aggregates(agg: DataFrame, reference: str | _dt.date = "frame",
-                             na_policy: str = "propagate", metrics: list[str] | None = None
-                             ) -> DataFrame:
-    """RFMT columns from per-customer aggregates (see ``rfmt_features``)."""
+                             na_policy: str = "propagate", metrics: list[str] | None = None,
+                             keep: bool = True) -> DataFrame:
+    """RFMT columns from per-customer aggregates (see ``rfmt_features``).  ``keep=False``
+    reads ``agg`` twice instead of persisting it (and losing its partitioning)."""
     metrics = metrics or RFMT
-    if not isinstance(reference, _dt.date):
+    if keep and not isinstance(reference, _dt.date):
         agg = agg.persist(StorageLevel.MEMORY_AND_DISK)
     ref = _ref_column(agg, reference, na_policy)
     cols = {

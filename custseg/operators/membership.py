@@ -2,16 +2,17 @@
 
 ``Customer_Key %in% keys`` over a fact is a semi join; when the key set is too large
 to broadcast, every fact row is shuffled although most have no partner.  Here the
-keys are first folded into a Bloom filter: a table of ``words`` 64-bit words, each key
-setting ``HASHES`` bits of one word (``bit_or``, combined map-side).  Its size is a
-parameter, not a property of the data, so its broadcast is bounded (``MAX_WORDS``
-rows).  A fact row whose bits are not all set has no partner and leaves before the
-shuffle; what passes -- the members and a few false positives -- meets the exact semi
-join.  More keys than ``keys_bound`` let more false positives pass; the result is exact
-in any case.
+keys are first folded into a Bloom filter: ``words`` 64-bit words, each key setting
+``HASHES`` bits of one word (``bit_or``, combined map-side).  Its size is a parameter,
+not a property of the data: at most ``MAX_WORDS`` words, 2 MB.  The fact is filtered by
+the words as a scalar subquery -- a plain predicate, since a semi join would be moved
+below a join with a table of words, and the shuffle with it.  A fact row whose bits
+are not all set has no partner and leaves before the shuffle; what passes -- the
+members and a few false positives -- meets the exact semi join.  More keys than
+``keys_bound`` let more false positives pass; the result is exact in any case.
 
 Cases: NULL keys are in no set; repeated keys keep one copy of each fact row; an empty
-set gives no row; other columns pass through (internal names start with ``_bloom_``).
+set gives no row; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 HASHES = 4
 BITS_PER_KEY = 16
-MAX_WORDS = 1 << 18                 # rows of the broadcast table, about 12 MB
+MAX_WORDS = 1 << 18                 # 2 MB
 _EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.StringType, T.DateType)
 
 
@@ -45,19 +46,20 @@ def _bits(key: str) -> Column:
     return out
 
 
-def bloom_table(keys: DataFrame, key: str, words: int) -> DataFrame:
-    """``_bloom_word, _bloom_bits``: at most ``words`` rows."""
-    return keys.filter(F.col(key).isNotNull()).groupBy(_word(key, words).alias("_bloom_word")).agg(
-        F.bit_or(_bits(key)).alias("_bloom_bits"))
+def bloom_words(keys: DataFrame, key: str, words: int) -> DataFrame:
+    """One row, one array of ``words`` longs."""
+    some = keys.filter(F.col(key).isNotNull()).select(_word(key, words).alias("w"), _bits(key).alias("b"))
+    every = keys.sparkSession.range(words).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("b"))
+    full = some.unionByName(every).groupBy("w").agg(F.bit_or("b").alias("b"))
+    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("words"))
 
 
 def may_contain(facts: DataFrame, keys: DataFrame, key: str, keys_bound: int) -> DataFrame:
     """The rows of ``facts`` that pass the filter of ``keys``: all members, few others."""
     _same_type(facts, keys, key)
     words = words_for(keys_bound)
-    table = F.broadcast(bloom_table(keys, key, words))      # at most MAX_WORDS rows
-    return facts.withColumn("_bloom_word", _word(key, words)).join(table, "_bloom_word") \
-        .filter(F.col("_bloom_bits").bitwiseAND(_bits(key)) == _bits(key)).select(*[f"`{c}`" for c in facts.columns])
+    held = F.get(bloom_words(keys, key, words).scalar(), _word(key, words))
+    return facts.filter(F.col(key).isNotNull() & (held.bitwiseAND(_bits(key)) == _bits(key)))
 
 
 def bloom_semi_join(facts: DataFrame, keys: DataFrame, key: str, keys_bound: int) -> DataFrame:

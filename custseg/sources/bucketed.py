@@ -90,5 +90,6 @@ def premium_features(spark: SparkSession, prefix: str, as_of: _dt.date, years: i
         stream = stream.join(cohort, KEY, "left_semi") if stream is not None else None
     premium = spark.table(f"{prefix}_premium")
     src = Sources(state, premium, premium, state, premium, premium)      # times_premium reads premium_active alone
-    out = feat.features_from_aggregates(feat.times_premium(agg, src, require_active), "frame", metrics=metrics)
+    out = feat.features_from_aggregates(feat.times_premium(agg, src, require_active), "frame", metrics=metrics,
+                                        keep=False)      # the buckets are read twice, nothing is shuffled
     return out if stream is None else out.join(stream, KEY, "inner")
