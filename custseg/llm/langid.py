@@ -10,14 +10,16 @@ Model.  ``LANDMARKS`` training texts span a Nystroem space: with K the kernel of
 the landmarks, a text maps to ``k(x, landmarks) K^(-1/2)``.  One-versus-rest
 ridge regression in that space gives a weight column per language.  The sample
 holds at most ``SAMPLE_PER_LANG`` texts a language (expected; see ``fit``); the
-driver gets the n-grams of the landmarks and a row of ``LANDMARKS`` counts for
-each other text of the sample.  The kernel is linear in x, so the solved model
-is a weight per language for every n-gram of the landmarks.
+driver gets the n-grams of the landmarks, texts of at most ``LANDMARK_BYTES`` bytes
+(longer ones train but are no landmarks, unless there are no others), and a row of
+``LANDMARKS`` counts for each other text of the sample.  The languages take turns in
+giving landmarks; beyond ``LANDMARKS`` languages the last ones have none of their own.
 
-Scoring.  The distinct n-grams of every whole text are looked up among those of
-the landmarks; their weights are summed and divided by the root of the text's
-own number of distinct n-grams.  No row leaves its partition: one scan, no
-shuffle.
+Scoring.  The distinct n-grams of every whole text of a batch are looked up among
+those of the landmarks and counted per landmark; the batch's counts, divided by the
+norms, are its kernel matrix (texts x landmarks), and one matrix product with the
+solved coefficients (landmarks x languages) scores the batch.  No row leaves its
+partition: one scan, no shuffle.
 
 Cases: null text and text without a letter give ``und`` with score 0; text of
 any length is used whole; ties go to the first language in code-point order; a
@@ -40,6 +42,8 @@ from custseg.llm.common import CHUNK_BYTES, saved, utf8
 LENGTHS = (1, 2, 3, 4, 5)
 SAMPLE_PER_LANG = 400
 LANDMARKS = 160
+LANDMARK_BYTES = 1 << 16
+BATCH_GRAMS = 1 << 14           # n-grams counted together in a task
 RIDGE = 0.05
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -85,18 +89,57 @@ def places(vocab: np.ndarray, own: np.ndarray) -> np.ndarray:
     return at[vocab[at] == own]
 
 
+class Landmarks:
+    """The distinct n-grams of the landmarks, which landmarks hold each, and their norms."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.vocab, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        self.holder = owner[np.argsort(flat, kind="stable")].astype(np.int32)
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(self.vocab)))])
+        self.norm = np.sqrt(np.maximum([len(s) for s in sets], 1))
+
+    def kernel(self, data: np.ndarray, off: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Kernel matrix (``rows`` x landmarks) of texts given end to end."""
+        shared = np.zeros((len(rows), len(self.norm)))
+        size = np.ones(len(rows))
+        held, texts, n = [], [], 0
+        for i, r in enumerate(rows):
+            own = grams(data[off[r]:off[r + 1]])
+            size[i] = max(len(own), 1)
+            at = places(self.vocab, own)
+            for j in range(0, len(at), BATCH_GRAMS):
+                held.append(at[j:j + BATCH_GRAMS])
+                texts.append(i)
+                n += len(held[-1])
+                if n >= BATCH_GRAMS:
+                    self._count(shared, held, texts)
+                    held, texts, n = [], [], 0
+        if held:
+            self._count(shared, held, texts)
+        return shared / self.norm / np.sqrt(size)[:, None]
+
+    def _count(self, shared: np.ndarray, held: list[np.ndarray], texts: list[int]) -> None:
+        at = np.concatenate(held)
+        low = texts[0]
+        many = self.start[at + 1] - self.start[at]
+        flat = np.repeat(self.start[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        text = np.repeat(np.repeat(np.array(texts) - low, [len(h) for h in held]), many)
+        wide, high = len(self.norm), texts[-1] + 1
+        shared[low:high] += np.bincount(text * wide + self.holder[flat], minlength=(high - low) * wide).reshape(-1, wide)
+
+
 class Model:
-    """Languages and, for each n-gram of the landmarks, a weight per language."""
+    """Languages, landmarks and the coefficients (landmarks x languages)."""
 
-    def __init__(self, langs: list[str], vocab: np.ndarray, weights: np.ndarray):
-        self.langs, self.vocab, self.weights = langs, vocab, weights
+    def __init__(self, langs: list[str], landmarks: Landmarks, weights: np.ndarray):
+        self.langs, self.landmarks, self.weights = langs, landmarks, weights
 
-    def decide(self, text: np.ndarray) -> tuple[int, float]:
-        """Language index and score in [0, 1] of a text."""
-        own = grams(text)
-        f = self.weights[places(self.vocab, own)].sum(0, dtype=np.float64) / np.sqrt(max(len(own), 1))
-        e = np.exp(6.0 * (f - f.max()))
-        return int(f.argmax()), 1.0 / e.sum()
+    def decide(self, data: np.ndarray, off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Language index and score in [0, 1] of the texts ``rows``."""
+        f = self.landmarks.kernel(data, off, rows) @ self.weights
+        e = np.exp(6.0 * (f - f.max(1, keepdims=True)))
+        return f.argmax(1), 1.0 / e.sum(1)
 
 
 def _grams_of(rows: DataFrame) -> DataFrame:
@@ -111,25 +154,17 @@ def _grams_of(rows: DataFrame) -> DataFrame:
     return rows.select("_o", "_t", "text").mapInArrow(make, "_o long, _t long, grams binary")
 
 
-def _shared_of(rows: DataFrame, vocab, start, holder, landmarks: int) -> DataFrame:
-    """``_o, _t, size, shared``: how many n-grams each text has, and shares with each landmark."""
-    sent = rows.sparkSession.sparkContext.broadcast((vocab, start, holder))     # the landmarks' n-grams
+def _kernel_of(rows: DataFrame, landmarks: Landmarks) -> DataFrame:
+    """``_o, _t, k``: the kernel of each text with every landmark."""
+    sent = rows.sparkSession.sparkContext.broadcast(landmarks)     # at most LANDMARKS bounded texts
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, start, holder = sent.value
         for b in batches:
             data, off = utf8(b.column(2))
-            size, shared = [], []
-            for i in range(len(off) - 1):
-                own = grams(data[off[i]:off[i + 1]])
-                at = places(vocab, own)
-                many = start[at + 1] - start[at]
-                flat = np.repeat(start[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
-                size.append(len(own))
-                shared.append(np.bincount(holder[flat], minlength=landmarks).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()),
-                                              pa.array(shared, pa.binary())], names=["_o", "_t", "size", "shared"])
-    return rows.select("_o", "_t", "text").mapInArrow(make, "_o long, _t long, size long, shared binary")
+            k = sent.value.kernel(data, off, np.arange(len(off) - 1)).astype("<f8")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in k], pa.binary())],
+                                             names=["_o", "_t", "k"])
+    return rows.select("_o", "_t", "text").mapInArrow(make, "_o long, _t long, k binary")
 
 
 def fit(train: DataFrame, order: Column, per_lang: int = SAMPLE_PER_LANG, landmarks: int = LANDMARKS,
@@ -145,29 +180,25 @@ def fit(train: DataFrame, order: Column, per_lang: int = SAMPLE_PER_LANG, landma
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_lang / r["_n"]))])
     unit = F.pmod(F.col("_o"), F.lit(1 << 40)) / float(1 << 40)
     sample = saved(rows.filter(unit < share[F.col("lang")]).withColumn("_t", F.xxhash64("text")), "langid-sample")
-    keys = sorted((r["lang"].encode(), r["_o"], r["_t"]) for r in sample.select("lang", "_o", "_t").collect())
+    got = sample.select("lang", "_o", "_t", (F.octet_length("text") > LANDMARK_BYTES).alias("_long")).collect()
+    keys = sorted((r["lang"].encode(), r["_o"], r["_t"]) for r in got)
+    long = {r["_t"] for r in got if r["_long"]}
+    long = long if len(long) < len({r["_t"] for r in got}) else set()
     if not keys:
         return None
     names = sorted({k[0] for k in keys})
     # landmarks: the languages in turn, each in the order of ``order``; a text once
     seen, turn, queue = set(), dict.fromkeys(names, 0), []
     for lang, o, t in keys:
-        if t not in seen:
+        if t not in seen and t not in long:
             seen.add(t)
             queue.append((turn[lang], lang, o, t))
             turn[lang] += 1
     chosen = [t for _, _, _, t in sorted(queue)[:landmarks]]
     held = {r["_t"]: np.frombuffer(bytes(r["grams"]), np.uint64) for r in
             _grams_of(sample.filter(F.col("_t").isin(chosen)).dropDuplicates(["_t"])).collect()}
-    sets = [held[t] for t in chosen]
-    vocab, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    holder = owner[np.argsort(flat, kind="stable")]
-    start = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(vocab)))])
-    norm = np.sqrt(np.maximum([len(s) for s in sets], 1))
-    got = {}
-    for r in _shared_of(sample, vocab, start, holder, len(sets)).collect():
-        got[r["_o"], r["_t"]] = np.frombuffer(bytes(r["shared"]), "<i8") / norm / np.sqrt(max(r["size"], 1))
+    marks = Landmarks([held[t] for t in chosen])
+    got = {(r["_o"], r["_t"]): np.frombuffer(bytes(r["k"]), "<f8") for r in _kernel_of(sample, marks).collect()}
     y = np.array([names.index(k[0]) for k in keys])
     k = np.stack([got[o, t] for _, o, t in keys])
     where = {t: i for i, (_, _, t) in enumerate(keys)}
@@ -180,15 +211,13 @@ def fit(train: DataFrame, order: Column, per_lang: int = SAMPLE_PER_LANG, landma
     weight = 1.0 / np.bincount(y, minlength=len(names))[y][:, None]        # languages weigh alike
     reg = ridge * np.eye(phi.shape[1]) * (weight * phi ** 2).sum() / phi.shape[1]
     w = np.linalg.solve(phi.T @ (weight * phi) + reg, phi.T @ (weight * target))
-    per = (root @ w) / norm[:, None]                    # the root folded into the weights
-    weights = np.stack([np.bincount(flat, per[owner, c], minlength=len(vocab)) for c in range(len(names))], 1)
-    return Model([n.decode() for n in names], vocab, weights.astype(np.float32))
+    return Model([n.decode() for n in names], marks, root @ w)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score`` for every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)     # the landmarks' n-grams and weights
+    sent = docs.sparkSession.sparkContext.broadcast(model)     # bounded: LANDMARKS texts of LANDMARK_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -196,10 +225,10 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
             data, off = utf8(b.column(1))
             n = len(off) - 1
             pred, score = [UNKNOWN] * n, np.zeros(n)
-            for r in range(n):
-                text = data[off[r]:off[r + 1]]
-                if model is not None and _has_letter(text):
-                    c, score[r] = model.decide(text)
+            rows = np.array([r for r in range(n) if model is not None and _has_letter(data[off[r]:off[r + 1]])], np.int64)
+            if len(rows):
+                lang, score[rows] = model.decide(data, off, rows)
+                for r, c in zip(rows, lang):
                     pred[r] = model.langs[c]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), pa.array(pred, pa.string()), pa.array(score, pa.float64())],

@@ -350,6 +350,34 @@ def test_language(spark):
     assert langid.identify(frame(spark, [])).count() == 0
 
 
+def test_language_by_direct_kernel(spark):
+    """Kernel, landmarks, ridge and score against a direct computation with sets."""
+    rng = np.random.default_rng(5)
+    ends = {"aa": ["ing ", "the "], "bb": ["ção ", "os "], "cc": ["ung ", "ein "]}
+    rows = [(i, "".join(str(rng.choice(["ba", "lo", "mi"])) + str(rng.choice(ends[g])) for _ in range(int(rng.integers(1, 9)))),
+             g, "s") for i, g in enumerate(["aa", "bb", "cc"] * 12)]
+    got = {r["doc_id"]: r for r in langid.identify(frame(spark, rows)).collect()}
+
+    def own(t):
+        b = bytes(c if c > 127 else (c | 32 if chr(c).isalpha() else 32) for c in t.encode())
+        return {b[i:i + n] for n in (1, 2, 3, 4, 5) for i in range(len(b) - n + 1)}
+    train = [(own(t), g) for i, t, g, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    marks = list({frozenset(o): o for o in {t: own(t) for i, t, g, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2}.values()}.values())
+    kern = lambda xs: np.array([[len(x & m) / np.sqrt(len(x) * len(m)) for m in marks] for x in xs])
+    names = sorted(ends)
+    values, vectors = np.linalg.eigh(kern(marks))
+    keep = values > values[-1] * 1e-7
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    phi, y = kern([x for x, _ in train]) @ root, np.array([names.index(g) for _, g in train])
+    weight = 1.0 / np.bincount(y)[y][:, None]
+    reg = langid.RIDGE * np.eye(phi.shape[1]) * (weight * phi ** 2).sum() / phi.shape[1]
+    w = np.linalg.solve(phi.T @ (weight * phi) + reg, phi.T @ (weight * np.where(y[:, None] == np.arange(3), 1.0, -1.0)))
+    f = kern([own(t) for _, t, _, _ in rows]) @ root @ w
+    e = np.exp(6 * (f - f.max(1, keepdims=True)))
+    for i, *_ in rows:
+        assert got[i]["lang_pred"] == names[int(f[i].argmax())] and abs(got[i]["score"] - 1 / e[i].sum()) < 1e-6
+
+
 def test_language_of_very_long_texts(spark):
     """Megabytes of varied words, all of them new, keep their language; so do short ones."""
     rng = np.random.default_rng(17)
