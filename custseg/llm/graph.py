@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from custseg.llm.common import saved
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``links`` (``a, b``, longs): the label is the
     component's least node.  Each round takes the least label of the neighbours
     (partial sums, so a hub is no hot task) and then the label of the label;
-    tables are written between rounds, so nothing is recomputed or held."""
+    tables are written between rounds, so nothing is recomputed or held.  Labels only
+    fall, so the rounds end; they go on until none changes."""
     both = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
                  .filter("a <> b").distinct(), "cc-links")
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_m"))
                    .select("node", F.least("node", "_m").alias("label")), "cc-labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("_l")), "b") \
             .groupBy(F.col("a").alias("node")).agg(F.min("_l").alias("_l"))
         least = saved(labels.join(near, "node", "left").select(
@@ -29,5 +30,4 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         changed = labels.filter("label <> _old").limit(1).count()
         labels = labels.drop("_old")
         if not changed:
-            break
-    return labels
+            return labels
