@@ -34,21 +34,25 @@ def clean(df: DataFrame, id_col: str, vec_col: str, drop_zero: bool) -> DataFram
     return rows.filter(F.exists("v", lambda x: x != 0.0)) if drop_zero else rows
 
 
-def packed(rows: DataFrame, block_rows: int, name: str,
+def packed(rows: DataFrame, block_rows: int | Callable[[int], int], name: str,
            prepare: Callable[[np.ndarray], tuple[np.ndarray, bytes]]) -> DataFrame:
-    """Blocks of ``rows``; ``prepare`` turns the matrix into what is stored and its index.
+    """Blocks of ``rows``, of at most ``block_rows`` (a number, or one for each vector length);
+    ``prepare`` turns the matrix into what is stored and its index.
     Vectors of different lengths never share a block."""
+    most = block_rows if callable(block_rows) else lambda dim: block_rows
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
 
         def emit(dim):
             ids, mats = held.pop(dim)
             ids, mat = np.concatenate(ids), np.concatenate(mats)
-            for i in range(0, len(ids), block_rows):
-                order = np.argsort(ids[i:i + block_rows], kind="stable")
-                m, extra = prepare(mat[i:i + block_rows][order])
+            n = most(dim)
+            for i in range(0, len(ids), n):
+                order = np.argsort(ids[i:i + n], kind="stable")
+                m, extra = prepare(mat[i:i + n][order])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i:i + block_rows][order].astype("<i8").tobytes()], pa.binary()),
+                    [pa.array([ids[i:i + n][order].astype("<i8").tobytes()], pa.binary()),
                      pa.array([m.tobytes()], pa.binary()), pa.array([extra], pa.binary()),
                      pa.array([dim], pa.int32())], names=_NAMES)
 
@@ -64,7 +68,7 @@ def packed(rows: DataFrame, block_rows: int, name: str,
                 a, m = held.setdefault(int(dim), ([], []))
                 a.append(ids[own])
                 m.append(mat)
-                if sum(map(len, a)) >= block_rows:
+                if sum(map(len, a)) >= most(int(dim)):
                     yield from emit(int(dim))
         for dim in list(held):
             yield from emit(dim)
@@ -74,8 +78,8 @@ def packed(rows: DataFrame, block_rows: int, name: str,
 
 def search(queries: DataFrame, blocks: DataFrame, k: int, score_type: str,
            find: Callable[..., Iterator[tuple[int, np.ndarray, np.ndarray]]]) -> DataFrame:
-    """``query_id, rank, vec_id, score``: ``find(q_ids, q, ids, x, extra)`` yields for each
-    query the ids and scores of at least its ``k`` best rows of the block (all, if fewer)."""
+    """``query_id, rank, vec_id, score``: ``find(row)`` yields for each query of a (block,
+    chunk) pair ids and scores of the block, among them all that belong to its ``k`` best."""
     q = queries.select(F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"),
                        F.col("extra").alias("q_extra"), F.col("dim").alias("q_dim"))
     arrow = pa.int64() if score_type == "long" else pa.float64()
@@ -88,7 +92,8 @@ def search(queries: DataFrame, blocks: DataFrame, k: int, score_type: str,
                     continue
                 out_q, out_v, out_s = [], [], []
                 for qid, ids, scores in find(row):
-                    order = np.lexsort((ids, -scores))[:k]
+                    down = ~scores if score_type == "long" else -scores     # the least long has no negative
+                    order = np.lexsort((ids, down))[:k]
                     out_q.append(np.full(len(order), qid, np.int64))
                     out_v.append(ids[order])
                     out_s.append(scores[order])

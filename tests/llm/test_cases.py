@@ -1,5 +1,11 @@
 """Cases of the searches and of revisits that were undefined before."""
 
+from collections import OrderedDict
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from custseg.llm import ann, maxscore, warc
@@ -71,3 +77,77 @@ def test_revisit_cases(spark):
     assert warc.resolve(df.limit(0)).count() == 0
     plan = warc.resolve(df.filter(F.col("url").isNull()))
     assert {r["status"] for r in plan.collect()} == {"missing"}
+
+
+def test_least_long_is_last_in_a_block(spark):
+    rows = [(100, [1e306, 1.0])] + [(i, [float(i), 0.0]) for i in range(1, 12)] + [(50, [-1e306, 0.0])]
+    want = scores_by_hand(rows)
+    got = {q: [] for q in want}
+    for r in maxscore.search_embeddings(vectors_frame(spark, rows).coalesce(1)).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got == want
+
+
+def normal_rows(n, dim, seed=5):
+    return np.random.default_rng(seed).standard_normal((n, dim))
+
+
+def test_maxscore_carries_the_score_to_beat(spark, tmp_path):
+    x = normal_rows(9000, 24)
+    x[4000:4020] = x[100] * 2                                      # ties, over two blocks with 8100
+    x[8100] = x[4000]
+    pq.write_table(pa.table({"vec_id": np.arange(9000), "embedding": list(x)}), tmp_path / "e.parquet")
+    df = spark.read.parquet(str(tmp_path / "e.parquet"))
+    assert df.rdd.glom().map(len).filter(lambda n: n > 0).count() == 1         # three blocks in one task
+    whole = np.floor(x * 1024).astype(np.int64)
+    got = {}
+    for r in maxscore.search_embeddings(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in range(0, 9000, 100):
+        s = whole @ whole[q]
+        best = [i for i in np.lexsort((np.arange(9000), -s)) if i != q][:10]
+        assert got[q] == [(int(i), int(s[i])) for i in best]
+
+
+def test_maxscore_splits_terms_by_bounds():
+    x = normal_rows(3000, 24)
+    x[:, 12:] *= 0.01                                              # half of the terms cannot lift a row
+    ids = np.arange(3000, dtype="<i8")
+    row = {"dim": 24, "q_ids": ids[:1].tobytes(), "ids": ids.tobytes()}
+    m, row["extra"] = maxscore._postings(x)
+    row["mat"] = m.tobytes()
+    q, row["q_extra"] = maxscore._scaled(x[:1])
+    row["q_mat"] = q.tobytes()
+    low, high = np.frombuffer(row["extra"], "<f8").reshape(2, 24)
+    least, most = np.minimum(q[0] * low, q[0] * high), np.maximum(q[0] * low, q[0] * high)
+    scores = np.floor(x * 1024) @ q[0]
+    bar = np.sort(scores[1:])[-10]
+    order, essential, rest = maxscore._split(least, most, bar)
+    assert 0 < essential <= 12 and set(order[:essential]) <= set(range(12))
+    assert least.sum() + (most - least)[order[essential:]].sum() < bar
+    assert least.sum() + (most - least)[order[essential - 1:]].sum() >= bar
+    carried = OrderedDict()
+    (_, _, first), = maxscore._find(row, 10, carried)
+    (_, again, _), = maxscore._find(row, 10, carried)
+    assert len(first) >= 256 and sorted(again) == sorted(np.argsort(-scores[1:], kind="stable")[:10] + 1)
+
+
+@pytest.mark.parametrize("dim", [16, 64, 384, 1024])
+def test_ann_recall_on_a_full_block(dim):
+    """Normal vectors have no clusters: the nearest are hardly nearer than the rest."""
+    n, queries = ann._block_rows(dim), 30
+    x = normal_rows(n, dim)
+    mat, extra = ann._sorted_arrays(x)
+    ids = np.arange(n, dtype="<i8")
+    row = {"dim": dim, "ids": ids.tobytes(), "mat": mat.tobytes(), "extra": extra,
+           "q_ids": ids[:queries].tobytes(), "q_mat": x[:queries].tobytes()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = verified = 0
+    for q, found, scores in ann._find(row, 5):
+        verified += len(found)
+        s = unit @ unit[q]
+        assert np.allclose(s[found], scores)
+        s[q] = -2
+        hit += len(set(found[np.argsort(-scores)[:5]]) & set(np.argsort(-s)[:5]))
+    assert hit >= 0.9 * 5 * queries
+    assert verified <= 0.35 * n * queries                          # the windows chose; not all was compared
