@@ -88,7 +88,7 @@ def _find(row: dict, k: int):
     values = np.frombuffer(row["extra"], "<f4", m * n).reshape(m, n)
     order = np.frombuffer(row["extra"], "<u2", m * n, offset=4 * m * n).reshape(m, n)
     centre = (q_unit.astype(np.float32) @ _directions(dim)).T                # m x queries
-    found = _collide(values, order, centre, 1 + GROWTH / dim ** 0.5, min(n, max(LEAST, int(SHARE * n)) + k))
+    found = _collide(values, order.astype(np.int64), centre, 1 + GROWTH / dim ** 0.5, min(n, max(LEAST, int(SHARE * n)) + k))
     for i, qid in enumerate(q_ids):
         c = np.flatnonzero(found[i] & (ids != qid))
         yield int(qid), ids[c], np.clip(unit[c] @ q_unit[i], -1.0, 1.0)
